@@ -43,6 +43,18 @@ def balanced(df: DataFrame, label: str) -> tuple[DataFrame, dict[str, float]]:
     return df.select(F.col(label).cast("double").alias(LABEL), weight.alias(WEIGHT), FEATURES), row
 
 
+ROWS_PER_PARTITION = 20_000
+
+
+def training_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Materialised training rows; a small table gets few partitions.
+
+    Fits pass over the rows hundreds of times, so for a small table the task
+    count is the cost. Only ever lowers the number of partitions.
+    """
+    return materialize(df.coalesce(max(1, -(-int(rows) // ROWS_PER_PARTITION))))
+
+
 def run_parallel(jobs: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
     """Independent fits submitted from driver threads; each fit is distributed."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -57,7 +69,7 @@ def logistic(c: float, weight_sum: float) -> LogisticRegression:
 
 def fit_logistic_grid(train: DataFrame, label: str, grid=presets.LOGISTIC_GRID, parallelism: int = 4) -> list[Fitted]:
     rows, sizes = balanced(train, label)
-    rows = materialize(rows)
+    rows = training_rows(rows, sizes["n"])
     fits = run_parallel([lambda c=c: logistic(c, sizes["n"]).fit(rows) for c in grid], parallelism)
     return [Fitted("logistic", f"logistic_{i}", {"C": c}, m) for i, (c, m) in enumerate(zip(grid, fits))]
 
@@ -65,8 +77,8 @@ def fit_logistic_grid(train: DataFrame, label: str, grid=presets.LOGISTIC_GRID,
 def fit_forest_grid(train: DataFrame, label: str, grid=presets.FOREST_GRID, seed: int = 42,
                     parallelism: int = 4) -> list[Fitted]:
     """Random forests; the smallest leaf stands in for the smallest splittable node."""
-    rows, _ = balanced(train, label)
-    rows = materialize(rows)
+    rows, sizes = balanced(train, label)
+    rows = training_rows(rows, sizes["n"])
 
     def fit(g: dict) -> Any:
         return RandomForestClassifier(
@@ -83,7 +95,8 @@ def fit_boosted_grid(train: DataFrame, label: str, grid=presets.BOOSTED_GRID, se
     """Gradient-boosted trees with positives weighted by the class ratio."""
     sizes = class_weights(train, label).first()
     weight = F.when(F.col(label) == 1, F.lit(float(sizes["scale_pos_weight"]))).otherwise(F.lit(1.0))
-    rows = materialize(train.select(F.col(label).cast("double").alias(LABEL), weight.alias(WEIGHT), FEATURES))
+    rows = training_rows(
+        train.select(F.col(label).cast("double").alias(LABEL), weight.alias(WEIGHT), FEATURES), sizes["n"])
     checkpoint_dir(train.sparkSession)
 
     def fit(g: dict) -> Any:

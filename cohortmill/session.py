@@ -22,6 +22,7 @@ def local_session(app: str = "cohortmill", cores: str = "*", partitions: int = 8
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
