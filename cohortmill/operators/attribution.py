@@ -108,14 +108,13 @@ def shap_matrix(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     return out
 
 
-def tree_shap(df: DataFrame, key: str, leaves: list[Leaf], names: list[str], rows_per_block: int = 2048) -> DataFrame:
-    """Long table (key, feature, feature_value, shap_value, base_value).
+def tree_shap_rows(df: DataFrame, key: str, leaves: list[Leaf], rows_per_block: int = 2048) -> DataFrame:
+    """(key, feature_values, shap_values, base_value): one row per entity, arrays in vector order.
 
     Rows are attributed where they are; the leaves travel to each Python worker
     once, as a broadcast.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(leaves)
     base = base_value(leaves)
 
     def attribute(batches):
@@ -130,10 +129,40 @@ def tree_shap(df: DataFrame, key: str, leaves: list[Leaf], names: list[str], row
     key_type = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("entity"), vector_to_array("features").alias("x"))
     done = rows.mapInPandas(attribute, f"entity {key_type}, x array<double>, phi array<double>")
-    labels = F.array(*[F.lit(n) for n in names])
-    return done.select(F.col("entity").alias(key), F.inline(F.arrays_zip(
-        labels.alias("feature"), F.col("x").alias("feature_value"), F.col("phi").alias("shap_value")))
-    ).withColumn("base_value", F.lit(base))
+    return done.select(F.col("entity").alias(key), F.col("x").alias("feature_values"), F.col("phi").alias("shap_values"),
+                       F.lit(base).alias("base_value"))
+
+
+def zipped(names: list[str]) -> Column:
+    """The arrays of an attributed row as structs (feature, feature_value, shap_value)."""
+    labels = F.split(F.lit("\x1f".join(names)), "\x1f")
+    return F.arrays_zip(labels.alias("feature"), F.col("feature_values").alias("feature_value"),
+                        F.col("shap_values").alias("shap_value"))
+
+
+def long_contributions(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Long table (key, base_value, feature, feature_value, shap_value)."""
+    return rows.select(key, "base_value", F.inline(zipped(names)))
+
+
+def tree_shap(df: DataFrame, key: str, leaves: list[Leaf], names: list[str], rows_per_block: int = 2048) -> DataFrame:
+    """Long attributions of a saved tree model's leaves."""
+    return long_contributions(tree_shap_rows(df, key, leaves, rows_per_block), key, names)
+
+
+def local_from_rows(rows: DataFrame, key: str, names: list[str], k: int = 5) -> DataFrame:
+    """Per entity: base, sum, margin and top contributions, computed inside the row (no shuffle)."""
+    def top(sign: float) -> Column:
+        kept = F.filter(zipped(names), lambda e: e["shap_value"] * sign > 0)
+        ordered = F.array_sort(F.transform(kept, lambda e: F.struct(
+            (-F.abs(e["shap_value"])).alias("order"), e["feature"].alias("feature"),
+            e["feature_value"].alias("feature_value"), e["shap_value"].alias("shap_value"))))
+        return F.transform(F.slice(ordered, 1, k), lambda e: F.struct(
+            e["feature"].alias("feature"), e["feature_value"].alias("feature_value"), e["shap_value"].alias("shap_value")))
+
+    total = F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(key, "base_value", total.alias("total_shap"), (F.col("base_value") + total).alias("margin"),
+                       top(1.0).alias("top_increasing"), top(-1.0).alias("top_decreasing"))
 
 
 def linear_contributions(df: DataFrame, key: str, weights: dict[str, float], means: dict[str, float]) -> DataFrame:

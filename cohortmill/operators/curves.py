@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill.functions.columns import add_all, clip, count_true, share
-from cohortmill.operators.running import exact_quantiles, running_totals, same_keys
+from cohortmill.operators.running import attach, exact_quantiles, running_totals, same_keys
 from cohortmill.session import materialize
 
 
@@ -28,10 +28,7 @@ def class_totals(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def with_totals(counts: DataFrame, by: list[str]) -> DataFrame:
     """Add n_pos, n_neg of the group (one row per group, or a single row)."""
-    totals = class_totals(counts, by)
-    if by:
-        return same_keys(counts, totals, by, "inner")
-    return counts.join(F.broadcast(totals))
+    return attach(counts, class_totals(counts, by), by)
 
 
 def ranked_scores(df: DataFrame, y: str, p: str, by: list[str] | None = None, **sizing) -> DataFrame:
@@ -226,7 +223,7 @@ def quantile_bins(df: DataFrame, y: str, p: str, by: list[str] | None = None, n_
     uniform = F.array(*[F.lit(e) for e in uniform_edges(n_bins)])
     edges = quantiles.select(*by, F.when(F.size(found) < 3, uniform).otherwise(found).alias("edges"))
     counts = score_counts(df, y, p, by)
-    joined = same_keys(counts, edges, by, "inner") if by else counts.join(F.broadcast(edges))
+    joined = attach(counts, edges, by)
     reached = F.size(F.filter("edges", lambda e: e <= F.col("score"))) - 1
     index = F.greatest(F.lit(0), F.least(reached, F.size("edges") - 2))
     return bin_table(joined, by, index)
@@ -257,7 +254,7 @@ def metrics_from_ranked(ranked: DataFrame, by: list[str], threshold: float, low:
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         auroc_column().alias("auroc"), average_precision_column().alias("average_precision"),
         squared_error_column().alias("brier"))
-    rows = same_keys(ranked, totals, by, "inner") if by else ranked.join(F.broadcast(totals))
+    rows = attach(ranked, totals, by)
     wide = "decimal(19,0)"
     gain = (F.col("tp").cast(wide) * F.col("n_neg").cast(wide)
             - F.col("fp").cast(wide) * F.col("n_pos").cast(wide))
@@ -282,8 +279,7 @@ def metrics_from_ranked(ranked: DataFrame, by: list[str], threshold: float, low:
 
 def counts_at(points: DataFrame, ranked: DataFrame, by: list[str], threshold: str, prefix: str) -> DataFrame:
     """Add tp and fp at a per-group threshold: those of the last score at or above it."""
-    cut = points.select(*by, threshold)
-    rows = same_keys(ranked, cut, by, "inner") if by else ranked.join(F.broadcast(cut))
+    rows = attach(ranked, points.select(*by, threshold), by)
     at = rows.where(F.col("score") >= F.col(threshold)).groupBy(*by).agg(
         F.max("tp").alias(f"__{prefix}_tp"), F.max("fp").alias(f"__{prefix}_fp"))
     merged = same_keys(points, at, by, "left") if by else points.join(F.broadcast(at), how="left")

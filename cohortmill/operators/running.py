@@ -17,6 +17,7 @@ from cohortmill.session import materialize
 BUCKET = "__range"
 ROWS_PER_RANGE = 500_000
 MAX_RANGES = 1024
+BROADCAST_ROWS = 1_000_000
 
 
 def range_edges(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE,
@@ -58,17 +59,31 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(renamed, condition, how).drop(*[f"__k_{k}" for k in keys])
 
 
+def attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """Add a per-group table to many rows without moving the rows.
+
+    Few groups would mean few, huge partitions in a shuffled join. The group
+    table is written and counted first; up to a million rows it is broadcast.
+    Only with more groups than that, when the key spreads well, is it shuffled.
+    """
+    small = materialize(per_group)
+    if small.count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    return same_keys(rows, small, keys, "inner") if keys else rows.join(small)
+
+
 def running_totals(df: DataFrame, by: list[str], order: str, totals: dict[str, Column],
                    descending: bool = False, rows_per_range: int = ROWS_PER_RANGE,
                    max_ranges: int = MAX_RANGES, edges: list[float] | None = None) -> DataFrame:
     """Add inclusive running sums of ``totals`` over ``order`` inside each group.
 
     ``df`` holds one row per (by, order) and is read more than once, so pass a
-    materialised table.
+    materialised table. If it already carries range numbers (with their
+    ``edges``) and is laid out by them, it is not moved again.
     """
     if edges is None:
         edges = range_edges(df, order, rows_per_range, max_ranges)
-    ranged = assign_range(df, order, edges)
+    ranged = df if BUCKET in df.columns else assign_range(df, order, edges)
     key = F.col(order).desc() if descending else F.col(order).asc()
     inside = (Window.partitionBy(*by, BUCKET).orderBy(key)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -82,8 +97,7 @@ def running_totals(df: DataFrame, by: list[str], order: str, totals: dict[str, C
     offsets = sums.select(
         *by, BUCKET,
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in totals])
-    joined = same_keys(local, offsets, [*by, BUCKET], "inner")
-    return joined.withColumns(
+    return attach(local, offsets, [*by, BUCKET]).withColumns(
         {n: F.col(n) + F.col(f"__b_{n}") for n in totals}
     ).drop(BUCKET, *[f"__b_{n}" for n in totals])
 
@@ -97,30 +111,68 @@ def value_counts_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None,
-                    rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                    rows_per_range: int = ROWS_PER_RANGE, narrow: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per group, columns ``q0, q1, ...``.
 
     Equal values are merged before the shuffle, so a value shared by a third of
-    the rows is one row here. Also returns ``n``, the number of values.
+    the rows is one row here. ``narrow`` reads the rows twice more but shuffles
+    only the values near the wanted ranks: worth it when most values differ.
+    Also returns ``n``, the number of values.
     """
     by = by or []
-    counts = value_counts_table(df, by, value)
+    present = df.where(F.col(value).isNotNull())
+    if narrow:
+        present, sizes = near_ranks(present, value, probabilities, by)
+    counts = value_counts_table(present, by, value)
+    if not narrow:
+        sizes = counts.groupBy(*by).agg(F.sum("copies").alias("n"), *[
+            F.lit(0).cast("bigint").alias(f"__skip{i}") for i in range(len(probabilities))])
     ranked = running_totals(counts, by, "value", {"upto": F.col("copies")}, rows_per_range=rows_per_range)
-    sizes = counts.groupBy(*by).agg(F.sum("copies").alias("n"))
-    ranked = same_keys(ranked, sizes, by, "inner") if by else ranked.join(F.broadcast(sizes))
+    ranked = attach(ranked, sizes, by)
     picks, outs = [], []
     for i, q in enumerate(probabilities):
         position = (F.col("n") - 1) * F.lit(float(q))
+        upto = F.col("upto") + F.col(f"__skip{i}")
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            holds = (F.col("upto") - F.col("copies") <= rank) & (rank < F.col("upto"))
+            holds = (upto - F.col("copies") <= rank) & (rank < upto)
             picks.append(F.max(F.when(holds, F.col("value"))).alias(f"__{side}{i}"))
         picks.append(F.max(position - F.floor(position)).alias(f"__t{i}"))
         outs.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__t{i}")).alias(f"q{i}"))
     return ranked.groupBy(*by, "n").agg(*picks).select(*by, "n", *outs)
 
 
+def near_ranks(df: DataFrame, value: str, probabilities: list[float], by: list[str],
+               accuracy: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Rows whose value can hold a wanted rank, and per group n and the skipped counts.
+
+    An approximate quantile is off by at most n / accuracy ranks, so the values
+    between the approximate quantiles two such steps below and above enclose
+    the wanted ranks. ``__skip{i}`` is what must be added to a rank among the
+    kept rows to get the rank among all rows, valid inside bracket i.
+    """
+    v = F.col(value).cast("double")
+    margin = 2.0 / accuracy
+    edges = [e for q in probabilities for e in (max(0.0, q - margin), min(1.0, q + margin))]
+    sketch = df.groupBy(*by).agg(F.percentile_approx(v, edges, accuracy).alias("__e"))
+    marked = attach(df.select(*by, v.alias(value)), sketch, by)
+    pairs = range(len(probabilities))
+    low = [F.element_at("__e", 2 * i + 1) for i in pairs]
+    high = [F.element_at("__e", 2 * i + 2) for i in pairs]
+    kept = None
+    for i in pairs:
+        inside = F.col(value).between(low[i], high[i])
+        kept = inside if kept is None else kept | inside
+    sizes = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
+        (F.count_if(F.col(value) < low[i]) - F.count_if((F.col(value) < low[i]) & kept)).alias(f"__skip{i}") for i in pairs])
+    return marked.where(kept).select(*by, value), sizes
+
+
+NARROW_CELLS = 50_000_000
+
+
 def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, q0): exact median of every column in one pass over the rows."""
+    """(feature, n, q0): exact median of every column, all columns together."""
     cells = ", ".join(f"struct({sql_text(c)} as feature, cast(`{c}` as double) as v)" for c in columns)
     long = df.select(F.expr(f"inline(array({cells}))"))
-    return exact_quantiles(long, "v", [0.5], ["feature"])
+    narrow = df.count() * len(columns) > NARROW_CELLS
+    return exact_quantiles(long, "v", [0.5], ["feature"], narrow=narrow)

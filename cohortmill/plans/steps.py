@@ -209,12 +209,12 @@ def calibrate_and_select(training: Training, preset: Preset, split_for_score: st
 def explain_scores(rows: DataFrame, fitted: models.Fitted, names: list[str], key: str, model_path: str,
                    k: int = 5) -> dict[str, DataFrame]:
     """Attributions of a tree model with global and local summaries; saves the model first."""
-    spark = rows.sparkSession
     fitted.model.write().overwrite().save(model_path)
-    leaves = attribution.read_leaves(spark, model_path, fitted.family)
-    long = attribution.tree_shap(rows, key, leaves, names)
+    leaves = attribution.read_leaves(rows.sparkSession, model_path, fitted.family)
+    attributed = materialize(attribution.tree_shap_rows(rows, key, leaves))
+    long = attribution.long_contributions(attributed, key, names)
     return {"contributions": long, "global_importance": attribution.global_importance(long),
-            "local_contributions": attribution.local_contributions(long, key, k),
+            "local_contributions": attribution.local_from_rows(attributed, key, names, k),
             "drivers": attribution.driver_text(long, key)}
 
 

@@ -24,9 +24,9 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def read_json_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric tree written as one (multi-line) JSON document, or JSON lines."""
-    return spark.read.json(path, multiLine=True)
+def read_json_metrics(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Metrics as one JSON document per file, or, with ``lines``, one object per line."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def try_read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

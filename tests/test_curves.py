@@ -67,6 +67,20 @@ def test_quantiles_interpolate(spark):
     assert got[None]["q1"] == 7.0
 
 
+def test_narrowed_quantiles_are_exact(spark):
+    rng = np.random.default_rng(9)
+    groups = {"even": rng.normal(size=6000), "heavy": np.round(rng.exponential(size=5000), 1), "one": np.array([3.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("even", None)], "g string, v double")
+    qs = [0.0, 0.05, 0.5, 0.51, 0.9, 1.0]
+    got = {r["g"]: r for r in running.exact_quantiles(df, "v", qs, ["g"], rows_per_range=100, narrow=True).collect()}
+    for g, vs in groups.items():
+        assert got[g]["n"] == len(vs)
+        for i, q in enumerate(qs):
+            assert got[g][f"q{i}"] == pytest.approx(float(np.percentile(vs, q * 100)), abs=1e-12)
+    kept, _ = running.near_ranks(df.where("v is not null and g = 'even'"), "v", [0.5], ["g"])
+    assert kept.count() < 100
+
+
 def test_running_totals_many_ranges(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
     out = running.running_totals(df, ["g"], "v", {"c": F.lit(1)}, rows_per_range=50)
