@@ -64,7 +64,7 @@ def _(spark, sf):
 
 @query("mask_long", f"select patientunitstayid, labid, labname, {d('labresult_num')} from lmask")
 def _(spark, sf):
-    return clean.mask_long_by_table(view(spark, sf, "fx_lab"), R.long_name, R.long_value, P.long_bounds).select(
+    return clean.mask_long(view(spark, sf, "fx_lab"), R.long_name, R.long_value, P.long_bounds).select(
         KEY, "labid", R.long_name, "labresult_num")
 
 

@@ -12,6 +12,7 @@ from cohortmill import presets
 from cohortmill.functions.columns import poisson_one_cdf
 from cohortmill.operators import attribution, bootstrap, clean, measures, reliability
 from cohortmill.plans import steps
+from cohortmill.session import materialize
 
 KEY = R.entity
 T = reliability.Thresholds(SPREAD_CUT, QUALITY_CUT)
@@ -33,9 +34,7 @@ select resample::bigint resample, y::bigint y, sum({poisson_sql("u")})::bigint c
 from (select resample, y, (('0x' || substr(md5((42 + resample)::varchar || ':' || patientunitstayid::varchar), 1, 8))::bigint
         / 4294967296.0)::double u from fx_scored cross join range(30) b(resample)) group by 1, 2""")
 def _(spark, sf):
-    rows = scored(spark, sf)
-    cells = [F.struct(F.lit(b).alias("resample"), bootstrap.resample_count(KEY, b).alias("copies")) for b in range(30)]
-    return rows.select("y", F.inline(F.array(*cells))).groupBy("resample", "y").agg(
+    return bootstrap.resample_weights(scored(spark, sf), KEY, 30, keep=["y"]).groupBy("resample", "y").agg(
         F.sum("copies").alias("copies"), F.count_if(F.col("copies") > 0).alias("used"))
 
 
@@ -149,7 +148,7 @@ from ucut cross join qcut left join cellmetrics c on c.u = ucut.u and c.q = qcut
 
 
 def grid(spark, sf):
-    rows = scored(spark, sf)
+    rows = materialize(scored(spark, sf))
     u, q = reliability.distinct_cuts(reliability.candidate_thresholds(rows, "ustd", "dq"))
     return reliability.threshold_grid(rows, *ARGS, u, q)
 
@@ -188,7 +187,7 @@ from sweepcuts left join sweepmetrics using (i)""")
 @query("risk_coverage", "select point::bigint point, " + ", ".join([d("thresh_u"), n("n_accepted")] + [
     d(c) for c in ("coverage", "auroc", "pr_auc", "brier")]) + " from sweep")
 def _(spark, sf):
-    return reliability.risk_coverage(scored(spark, sf), *ARGS, POINTS)
+    return reliability.risk_coverage(materialize(scored(spark, sf)), *ARGS, POINTS)
 
 
 TARGETS = [0.60, 0.75, 0.90, 1.00]
@@ -201,7 +200,7 @@ one as (select * from near qualify row_number() over (partition by r order by ta
 select target target_coverage, point::bigint point, """ + ", ".join([d("thresh_u"), d("coverage"), n("n_accepted")] + [
     d(c) for c in ("auroc", "pr_auc", "brier")]) + " from one")
 def _(spark, sf):
-    return reliability.sweep_at_targets(reliability.risk_coverage(scored(spark, sf), *ARGS, POINTS), TARGETS)
+    return reliability.sweep_at_targets(reliability.risk_coverage(materialize(scored(spark, sf)), *ARGS, POINTS), TARGETS)
 
 
 # --- per-entity records ---------------------------------------------------------------------

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortmill.functions.columns import sql_text
+
 
 @dataclass(frozen=True)
 class Bound:
@@ -83,6 +85,8 @@ class Preset:
 
 
 def bounds_frame(spark: SparkSession, bounds: tuple[Bound, ...]) -> DataFrame:
-    """Bounds as a table; its size is that of the configuration, not of the data."""
-    return spark.createDataFrame([(b.name, float(b.low), float(b.high)) for b in bounds],
-                                 "bound_name string, low double, high double")
+    """Bounds as a local table; its size is that of the configuration, not of the data."""
+    if not bounds:
+        return spark.sql("select '' as bound_name, 0.0D as low, 0.0D as high where false")
+    rows = ", ".join(f"({sql_text(b.name)}, {float(b.low)!r}D, {float(b.high)!r}D)" for b in bounds)
+    return spark.sql(f"select * from values {rows} as t(bound_name, low, high)")

@@ -55,14 +55,13 @@ def mask_wide(df: DataFrame, bounds: tuple[Bound, ...]) -> DataFrame:
         for b in present})
 
 
-def long_bounds_case(name: str, bounds: tuple[Bound, ...], side: str) -> Column:
-    """Bound of the row's measurement name as a CASE; null where there is none."""
-    out = None
-    for b in bounds:
-        hit = F.col(name) == b.name
-        value = F.lit(float(getattr(b, side)))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return F.lit(None).cast("double") if out is None else out
+def with_bounds(df: DataFrame, name: str, bounds: tuple[Bound, ...], how: str = "left") -> DataFrame:
+    """Add ``low`` and ``high`` of the row's measurement name; null where there is none.
+
+    The bounds are configuration, so their table is always small enough to broadcast.
+    """
+    table = F.broadcast(bounds_frame(df.sparkSession, bounds))
+    return df.join(table, F.col(name) == F.col("bound_name"), how).drop("bound_name")
 
 
 def mask_long(df: DataFrame, name: str, value: str, bounds: tuple[Bound, ...],
@@ -72,18 +71,8 @@ def mask_long(df: DataFrame, name: str, value: str, bounds: tuple[Bound, ...],
     A name without bounds passes through.
     """
     number = lenient_double(value)
-    bad = outside(number, long_bounds_case(name, bounds, "low"), long_bounds_case(name, bounds, "high"))
-    return df.withColumn(output, F.when(F.coalesce(bad, F.lit(False)), F.lit(None)).otherwise(number))
-
-
-def mask_long_by_table(df: DataFrame, name: str, value: str, bounds: tuple[Bound, ...],
-                       output: str = "labresult_num") -> DataFrame:
-    """The same mask for long bound lists: a join with the broadcast bounds table."""
-    table = F.broadcast(bounds_frame(df.sparkSession, bounds))
-    joined = df.join(table, F.col(name) == F.col("bound_name"), "left")
-    number = lenient_double(value)
     bad = F.coalesce(outside(number, F.col("low"), F.col("high")), F.lit(False))
-    return joined.withColumn(output, F.when(~bad, number)).drop("bound_name", "low", "high")
+    return with_bounds(df, name, bounds).withColumn(output, F.when(~bad, number)).drop("low", "high")
 
 
 def fill_unknown(df: DataFrame, columns: tuple[str, ...], word: str = "Unknown") -> DataFrame:

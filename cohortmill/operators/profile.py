@@ -9,7 +9,7 @@ from cohortmill.functions.columns import (
     add_all, as_int, contains_any, count_true, is_missing, lenient_double, outside, percent, share,
     sql_text,
 )
-from cohortmill.operators.clean import long_bounds_case, time_flags
+from cohortmill.operators.clean import time_flags, with_bounds
 from cohortmill.operators.running import exact_quantiles, same_keys
 from cohortmill.presets import LEAKAGE_PARTS
 
@@ -238,11 +238,9 @@ def plausibility_wide(df: DataFrame, bounds: tuple[Bound, ...]) -> DataFrame:
 
 def plausibility_long(df: DataFrame, name: str, value: str, bounds: tuple[Bound, ...]) -> DataFrame:
     """The same per bounded measurement name; names without values are absent."""
-    v = lenient_double(value)
-    low, high = long_bounds_case(name, bounds, "low"), long_bounds_case(name, bounds, "high")
-    rows = df.select(F.col(name), v.alias("v"), low.alias("low"), high.alias("high"))
+    rows = with_bounds(df, name, bounds, "inner").select(name, "low", "high", lenient_double(value).alias("v"))
     bad = F.count_if(outside(F.col("v"), F.col("low"), F.col("high")))
-    return rows.where(F.col("low").isNotNull() & F.col("v").isNotNull()).groupBy(name, "low", "high").agg(
+    return rows.where(F.col("v").isNotNull()).groupBy(name, "low", "high").agg(
         F.count(F.lit(1)).alias("total_non_null"), F.count_if(F.col("v") < 0).alias("negative_count"),
         bad.alias("out_of_bounds"), percent(bad, F.count(F.lit(1))).alias("out_of_bounds_pct"))
 
@@ -261,12 +259,11 @@ def invalid_by_entity(preset: Preset, lab: DataFrame, vital: DataFrame) -> tuple
         if b.name in vital.columns:
             test = F.coalesce(outside(lenient_double(b.name), b.low, b.high), F.lit(False))
             wide_bad = test if wide_bad is None else wide_bad | test
-    long_bad = F.coalesce(outside(
-        lenient_double(r.long_value), long_bounds_case(r.long_name, preset.long_bounds, "low"),
-        long_bounds_case(r.long_name, preset.long_bounds, "high")), F.lit(False))
+    long_bad = F.coalesce(outside(lenient_double(r.long_value), F.col("low"), F.col("high")), F.lit(False))
     vitals = vital.where(F.col(r.wide_offset).between(w.start, w.end)).groupBy(r.entity).agg(
         F.bool_or(wide_bad if wide_bad is not None else F.lit(False)).alias("vital_bad"))
-    labs = lab.where(F.col(r.long_offset).between(w.start, w.end)).groupBy(r.entity).agg(
+    inside = lab.where(F.col(r.long_offset).between(w.start, w.end))
+    labs = with_bounds(inside, r.long_name, preset.long_bounds).groupBy(r.entity).agg(
         F.bool_or(long_bad).alias("lab_bad"))
     return labs, vitals
 

@@ -94,10 +94,11 @@ def test_masks_are_inclusive_and_idempotent(spark):
 def test_long_mask_passes_unbounded_names(spark):
     df = spark.createDataFrame([("a", 5.0), ("a", 11.0), ("free", -1e9), ("a", None), (None, 3.0)], "name string, v double")
     bounds = (Bound("a", 0.0, 10.0),)
-    for masked in (clean.mask_long(df, "name", "v", bounds), clean.mask_long_by_table(df, "name", "v", bounds)):
-        got = sorted((str(r["name"]), str(r["v"]), str(r["labresult_num"])) for r in masked.collect())
-        assert got == sorted([("a", "5.0", "5.0"), ("a", "11.0", "None"), ("free", "-1000000000.0", "-1000000000.0"),
-                              ("a", "None", "None"), ("None", "3.0", "3.0")])
+    masked = clean.mask_long(df, "name", "v", bounds)
+    got = sorted((str(r["name"]), str(r["v"]), str(r["labresult_num"])) for r in masked.collect())
+    assert got == sorted([("a", "5.0", "5.0"), ("a", "11.0", "None"), ("free", "-1000000000.0", "-1000000000.0"),
+                          ("a", "None", "None"), ("None", "3.0", "3.0")])
+    assert clean.mask_long(df, "name", "v", ()).where("v is not null and labresult_num is null").count() == 0
 
 
 def test_wide_summary_single_reading_has_no_std(spark):
