@@ -11,6 +11,7 @@ from checks.views import view
 from cohortmill import presets
 from cohortmill.operators import clean, cohort, measures, profile, split
 from cohortmill.plans import steps
+from cohortmill.session import materialize
 
 KEY = R.entity
 
@@ -276,6 +277,14 @@ def _(spark, sf):
     return profile.missingness_bands(profile.missingness(feature_table(spark, sf), VALUES, "features"))
 
 
+@query("missingness_totals", "with m as (" + " union all ".join(
+    f"select 100.0 * count(*) filter (where {c} is null) / count(*) pct from ftable" for c in VALUES) + """)
+select count(*) features, count(*) filter (where pct > 0) any_missing, count(*) filter (where pct > 20) over_20_pct,
+  count(*) filter (where pct > 50) over_50_pct from m""")
+def _(spark, sf):
+    return profile.missingness_totals(profile.missingness(feature_table(spark, sf), VALUES, "features"))
+
+
 @query("kpi_summary", f"""
 select count(*) entities, {d(pct("count(*) filter (where missing_feature_count > 0)", "count(*)"), "any_missing_pct")},
   {d("avg(missing_feature_count)", "mean_missing")},
@@ -369,7 +378,7 @@ ENCODE_NUM = ["age_numeric", "admissionheight", "admissionweight"]
     f"select '{c}' feature, count({c}) n, quantile_cont({c}, 0.5) q from ftable" for c in VALUES + ENCODE_NUM) + ") where n > 0")
 def _(spark, sf):
     from cohortmill.operators.running import exact_medians
-    return exact_medians(feature_table(spark, sf), VALUES + ENCODE_NUM).withColumnRenamed("q0", "median")
+    return exact_medians(materialize(feature_table(spark, sf)), VALUES + ENCODE_NUM).withColumnRenamed("q0", "median")
 
 
 SCALED = ["age_numeric", "admissionheight", "admissionweight"]

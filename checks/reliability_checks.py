@@ -240,11 +240,12 @@ def _(spark, sf):
 
 
 @query("case_studies", f"""
-select quadrant, patientunitstayid, {d("p", "probability")}, case when y = 1 then 'Deceased' else 'Survived' end actual_outcome
+select quadrant, patientunitstayid, uniquepid, unittype, {d("p", "probability")}, case when y = 1 then 'Deceased' else 'Survived' end actual_outcome
 from (select *, case when y = 1 and p >= 0.2 then 'TP' when y = 0 and p < 0.2 then 'TN' when y = 0 then 'FP' else 'FN' end quadrant from fx_scored)
 qualify row_number() over (partition by quadrant order by case when p >= 0.2 then -p else p end, patientunitstayid) = 1""")
 def _(spark, sf):
-    return attribution.case_studies(scored(spark, sf), KEY, "y", "p", 0.2)
+    rows = scored(spark, sf)
+    return attribution.with_metadata(attribution.case_studies(rows, KEY, "y", "p", 0.2), rows, KEY, ["uniquepid", "unittype"])
 
 
 # --- attributions of a linear model over the signal means --------------------------------------

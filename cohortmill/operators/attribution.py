@@ -245,6 +245,11 @@ def case_studies(df: DataFrame, key: str, y: str, p: str, threshold: float) -> D
                     F.when(F.col("c.y") == 1, "Deceased").otherwise("Survived").alias("actual_outcome")))
 
 
+def with_metadata(cases: DataFrame, entities: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Add entity columns to the case studies, of which there are at most four."""
+    return entities.select(key, *columns).join(F.broadcast(cases), key, "right")
+
+
 # --- display names -----------------------------------------------------------------
 
 def display_name(column: Column) -> Column:

@@ -67,7 +67,7 @@ def logistic(c: float, weight_sum: float) -> LogisticRegression:
                               regParam=1.0 / (c * weight_sum), standardization=False, maxIter=1000, tol=1e-8)
 
 
-def fit_logistic_grid(train: DataFrame, label: str, grid=presets.LOGISTIC_GRID, parallelism: int = 4) -> list[Fitted]:
+def fit_logistic_grid(train: DataFrame, label: str, grid=presets.LOGISTIC_GRID, parallelism: int = 8) -> list[Fitted]:
     rows, sizes = balanced(train, label)
     rows = training_rows(rows, sizes["n"])
     fits = run_parallel([lambda c=c: logistic(c, sizes["n"]).fit(rows) for c in grid], parallelism)
@@ -75,7 +75,7 @@ def fit_logistic_grid(train: DataFrame, label: str, grid=presets.LOGISTIC_GRID,
 
 
 def fit_forest_grid(train: DataFrame, label: str, grid=presets.FOREST_GRID, seed: int = 42,
-                    parallelism: int = 4) -> list[Fitted]:
+                    parallelism: int = 8) -> list[Fitted]:
     """Random forests; the smallest leaf stands in for the smallest splittable node."""
     rows, sizes = balanced(train, label)
     rows = training_rows(rows, sizes["n"])
@@ -91,7 +91,7 @@ def fit_forest_grid(train: DataFrame, label: str, grid=presets.FOREST_GRID, seed
 
 
 def fit_boosted_grid(train: DataFrame, label: str, grid=presets.BOOSTED_GRID, seed: int = 42,
-                     parallelism: int = 4) -> list[Fitted]:
+                     parallelism: int = 8) -> list[Fitted]:
     """Gradient-boosted trees with positives weighted by the class ratio."""
     sizes = class_weights(train, label).first()
     weight = F.when(F.col(label) == 1, F.lit(float(sizes["scale_pos_weight"]))).otherwise(F.lit(1.0))

@@ -399,6 +399,14 @@ def missingness_bands(missing: DataFrame, top: int = 25) -> DataFrame:
             .orderBy(F.desc("missing_pct"), "column_name").limit(top))
 
 
+def missingness_totals(missing: DataFrame) -> DataFrame:
+    """How many features have any, over 20 % and over 50 % missing values."""
+    share_missing = F.col("missing_pct")
+    return missing.agg(
+        F.count(F.lit(1)).alias("features"), F.count_if(share_missing > 0).alias("any_missing"),
+        F.count_if(share_missing > 20).alias("over_20_pct"), F.count_if(share_missing > 50).alias("over_50_pct"))
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts in equal bins of [low, high]; empty bins are kept, the last bin is closed."""
     step = (high - low) / bins

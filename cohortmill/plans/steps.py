@@ -161,7 +161,7 @@ def split_and_encode(features: DataFrame, entities: DataFrame, preset: Preset, s
 
 def train_candidates(features: DataFrame, entities: DataFrame, preset: Preset, seed: int = 42,
                      logistic_grid=presets.LOGISTIC_GRID, forest_grid=presets.FOREST_GRID,
-                     boosted_grid=presets.BOOSTED_GRID, parallelism: int = 4) -> Training:
+                     boosted_grid=presets.BOOSTED_GRID, parallelism: int = 8) -> Training:
     """Fit every candidate of the three families and rank them on validation."""
     target = preset.features.target
     rows, encoder = split_and_encode(features, entities, preset, seed)
@@ -259,6 +259,7 @@ def dashboard_tables(features: DataFrame, flags: DataFrame, preset: Preset) -> d
         "rate_by_category": profile.rate_by_category(features, "unittype", f.target),
         "age_histogram": profile.histogram(features, "age_numeric", 0.0, 100.0, 25),
         "missingness_bands": profile.missingness_bands(missing),
+        "missingness_totals": profile.missingness_totals(missing),
         "clean_entities": profile.clean_entities(flags, r.entity, profile.FLAGS[0], presets.CLEAN_WORDS),
         "baseline_profile": profile.baseline_profile(features, numeric, categorical),
     }
