@@ -28,16 +28,25 @@ SIZES = (BUCKETS, BUCKETS, SHAPES)
 TOTAL = sum(SIZES)
 #: Labelled target documents that are used: those with the smallest hash of their key.
 TARGET_DOCUMENTS = 20_000
-#: Counts by which a ratio is drawn towards one.
-SHRINK = 2.0
-#: A document is out of the sample's size if its log-weight is below minus this.
-MARGIN = 5.0
+#: Counts by which a ratio is drawn towards one, so that rare n-grams say little.
+SHRINK = 30.0
+#: A longer document weighs what an average stretch of so many of its n-grams does.
+STRETCH = 200
+#: A document does not count for the sample's size if its log-weight is below minus this.
+MARGIN = 16.0
 #: Rows that may come to the driver to settle the cut exactly.
 CUT_ROWS = 10_000
 
 
+class Model(NamedTuple):
+    """Counts of target and raw text by bucket, and the target's share of the stream that a bucket is in."""
+    target: np.ndarray
+    raw: np.ndarray
+    share: np.ndarray
+
+
 class Cut(NamedTuple):
-    ratios: np.ndarray
+    model: Model
     cut: float
 
 
@@ -54,34 +63,55 @@ def features(group: Group) -> tuple[np.ndarray, np.ndarray]:
                             2 * BUCKETS + (kinds[:-1] * 64 + kinds[1:])[same_row])))
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Per bucket: observed target count against the count expected from raw text, both shrunk."""
-    out, at = np.zeros(TOTAL), 0
+def model_of(target: np.ndarray, raw: np.ndarray) -> Model:
+    share, at = np.zeros(TOTAL), 0
     for size in SIZES:
-        t, r = target[at:at + size], raw[at:at + size]
-        if t.sum() and r.sum():
-            out[at:at + size] = np.log((t + SHRINK) / (r * (t.sum() / r.sum()) + SHRINK))
+        part = slice(at, at + size)
+        share[part] = target[part].sum() / max(1, raw[part].sum())
         at += size
-    return out
+    return Model(target, raw, share)
+
+
+def log_weights(group: Group, good: np.ndarray, model: Model) -> np.ndarray:
+    """Sum over a row's n-grams of the log of observed over expected target count, both shrunk.
+
+    Beyond ``STRETCH`` n-grams the sum is scaled down to so many, so that a
+    language or topic that the target holds a little less of doesn't sink a
+    document by its length alone. A document's own n-grams are taken out of the counts it is held against, of
+    the target's too if it is one of the target documents.
+    """
+    n = len(group.bounds) - 1
+    row, bucket = features(group)
+    cells, own = np.unique(row * TOTAL + bucket, return_counts=True)
+    row, bucket = cells // TOTAL, cells % TOTAL
+    target = model.target[bucket] - np.where(good[row], own, 0)
+    expected = (model.raw[bucket] - own) * model.share[bucket]
+    total = np.bincount(row, own * np.log((target + SHRINK) / (expected + SHRINK)), minlength=n)
+    return total * (STRETCH / np.maximum(np.bincount(row, own, minlength=n), STRETCH))
+
+
+def target_rows(docs: DataFrame, labels: DataFrame, key: str, documents: int) -> DataFrame:
+    """``docs`` with ``_good``: whether the row is one of the target documents."""
+    good = (labels.filter("quality = 1").select(base.named(key).alias("_id")).filter("_id is not null").distinct()
+            .orderBy(F.xxhash64("_id"), "_id").limit(documents).withColumn("_hit", F.lit(True)))
+    return docs.join(F.broadcast(good), base.named(key) == F.col("_id"), "left").withColumn(
+        "_good", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-        documents: int = TARGET_DOCUMENTS) -> np.ndarray:
-    """Log-ratios of all buckets.
+        documents: int = TARGET_DOCUMENTS) -> Model:
+    """Counts of all buckets.
 
     ``labels`` has the key and ``quality`` (1: good). Raw counts cover all
     documents; target counts cover up to ``documents`` labelled ones. Without
-    any target text all ratios are 0.
+    any target text all log-weights are 0.
     """
-    good = (labels.filter("quality = 1").select(base.named(key).alias("_id")).filter("_id is not null").distinct()
-            .orderBy(F.xxhash64("_id"), "_id").limit(documents).withColumn("_good", F.lit(True)))
-    rows = docs.select(base.named(key).alias("_id"), base.named(text).cast("string").alias("_text")).join(
-        F.broadcast(good), "_id", "left").select(F.coalesce("_good", F.lit(False)).alias("good"), "_text")
+    rows = target_rows(docs, labels, key, documents).select("_good", base.named(text).cast("string").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, TOTAL), np.int64)
         for batch in batches:
-            good = batch.column("good").to_numpy(zero_copy_only=False)
+            good = batch.column("_good").to_numpy(zero_copy_only=False)
             for group in groups(batch.column("_text"), spelling(BLANK, lower=False)):
                 row, bucket = features(group)
                 totals[0] += np.bincount(bucket, minlength=TOTAL)
@@ -94,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     raw, target = np.zeros(TOTAL), np.zeros(TOTAL)
     for r in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    return log_ratios(target, raw)
+    return model_of(target, raw)
 
 
 def noise(*columns: Column) -> Column:
@@ -103,32 +133,34 @@ def noise(*columns: Column) -> Column:
     return -F.log(-F.log(share))
 
 
-def score(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text", keep_text: bool = False,
-          cut: float | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, labels: DataFrame, key: str = "doc_id", text: str = "text",
+          documents: int = TARGET_DOCUMENTS, keep_text: bool = False, cut: float | None = None) -> DataFrame:
     """Columns of ``docs`` (the text only if asked), ``log_weight`` and ``draw`` (log-weight plus noise).
 
     Rows with a draw below ``cut`` are left out. A text without words (also a
     null one) has log-weight 0.
     """
     carried = [c for c in base.beside(docs, ["log_weight", "draw"]) if keep_text or c != text]
-    rows = docs.select(*[base.named(c) for c in carried], noise(base.named(key), base.named(text)).alias("_noise"),
-                       base.named(text).cast("string").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    rows = target_rows(docs, labels, key, documents).select(
+        *[base.named(c) for c in carried], noise(base.named(key), base.named(text)).alias("_noise"), "_good",
+        base.named(text).cast("string").alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = bool(model.target.any())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = np.zeros(batch.num_rows)
-            for group in groups(batch.column("_text"), spelling(BLANK, lower=False)):
-                row, bucket = features(group)
-                n = len(group.bounds) - 1
-                weights[group.first:group.first + n] = np.bincount(row, shared.value[bucket], minlength=n)
+            good = batch.column("_good").to_numpy(zero_copy_only=False)
+            for group in groups(batch.column("_text"), spelling(BLANK, lower=False)) if known else ():
+                part = slice(group.first, group.first + len(group.bounds) - 1)
+                weights[part] = log_weights(group, good[part], shared.value)
             weights = np.round(weights, 6)
             draw = weights + batch.column("_noise").to_numpy(zero_copy_only=False)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(weights), pa.array(draw)],
-                                             [*batch.schema.names[:-2], "log_weight", "draw"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(weights), pa.array(draw)],
+                                             [*batch.schema.names[:-3], "log_weight", "draw"])
             yield out if cut is None else out.filter(pa.array(draw >= cut))
 
-    schema = rows.drop("_noise", "_text").schema.add("log_weight", T.DoubleType()).add("draw", T.DoubleType())
+    schema = rows.drop("_noise", "_good", "_text").schema.add("log_weight", T.DoubleType()).add("draw", T.DoubleType())
     return rows.mapInArrow(run, schema)
 
 
@@ -168,16 +200,16 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ``k`` is by default the number of documents whose log-weight is at least
     ``-MARGIN``. Rows that tie with the k-th are all in.
     """
-    ratios = fit(docs, labels, key, text, documents)
-    scored = base.stored(score(docs, ratios, key, text), "quality-scores")
+    model = fit(docs, labels, key, text, documents)
+    scored = base.stored(score(docs, model, labels, key, text, documents), "quality-scores")
     if k is None:
         k = scored.filter(F.col("log_weight") >= -MARGIN).count()
-    return scored, Cut(ratios, kth_largest(scored, "draw", k))
+    return scored, Cut(model, kth_largest(scored, "draw", k))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
     """The rows of ``docs`` that the sample of ``resample`` holds, with all columns."""
     marked = docs.withColumnsRenamed({"log_weight": "_own_weight", "draw": "_own_draw"})
     _, cut = resample(docs.select(base.named(key), base.named(text)), labels, key, text, k)
-    kept = score(marked, cut.ratios, key, text, keep_text=True, cut=cut.cut).drop("log_weight", "draw")
+    kept = score(marked, cut.model, labels, key, text, keep_text=True, cut=cut.cut).drop("log_weight", "draw")
     return kept.withColumnsRenamed({"_own_weight": "log_weight", "_own_draw": "draw"})
