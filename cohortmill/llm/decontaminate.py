@@ -10,7 +10,7 @@ words to a longer string, staying on a word or moving on by a random bit of the
 word, so that a small edit distance becomes a small Hamming distance. A key is a
 few sampled places of that string; windows and items that share a key in one of
 the repetitions are compared exactly. Before the walk, windows that hold too few
-of the items' words to be within the edits are left out, which loses nothing.
+words of an item to be within the edits are left out, which loses nothing.
 
 Texts are not shuffled: the items go to the texts, in blocks of bounded size.
 """
@@ -42,14 +42,22 @@ TEXT_BYTES = 1 << 22
 
 
 class Items(NamedTuple):
-    """Items of a block, by length, with what the search needs of them."""
+    """Items of a block with what the search needs of them.
+
+    telling and telling_items: the items' telling words, sorted, each with its
+    item. needed: telling words that a stretch must hold; where that is none,
+    the item's length class is plain.
+    """
     ids: list[Any]
     words: list[np.ndarray]
     budgets: np.ndarray
     lengths: np.ndarray
+    classes: np.ndarray
     known: np.ndarray
     telling: np.ndarray
-    least_telling: np.ndarray
+    telling_items: np.ndarray
+    needed: np.ndarray
+    plain: np.ndarray
     length_budgets: np.ndarray
     walks: np.ndarray
     sampled: np.ndarray
@@ -90,12 +98,15 @@ def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS, repetitio
     budgets = np.floor(sizes * edits + 1e-9).astype(np.int64)
     lengths, classes = np.unique(sizes, return_inverse=True)
     distinct, counts = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
-    known, telling = np.zeros(1 << MAP_BITS, bool), np.zeros(1 << MAP_BITS, bool)
+    known = np.zeros(1 << MAP_BITS, bool)
     known[_place(distinct)] = True
     rare = distinct[counts <= TELLING_ITEMS]
-    telling[_place(rare)] = True
-    spare = np.array([int(telling[_place(w)].sum()) for w in words]) - budgets
-    least = np.array([spare[classes == c].min() for c in range(len(lengths))])
+    own = [np.intersect1d(w, rare) for w in words]
+    # Each edit takes away one of the item's telling words at most.
+    needed = np.array([len(w) for w in own]) - budgets
+    pairs = np.array([(w, i) for i, ws in enumerate(own) for w in ws.tolist()], np.uint64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    plain = np.isin(np.arange(len(lengths)), classes[needed < 1])
     rng = np.random.default_rng(SEED)
     steps = 2 * int(lengths.max())
     walks = rng.integers(0, 1 << 63, (repetitions, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,30 +118,56 @@ def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS, repetitio
     keys = keys_of(flat, starts, sizes, classes, walks, sampled)
     owner = np.broadcast_to(np.arange(len(ids)), keys.shape).ravel()
     order = np.argsort(keys.ravel(), kind="stable")
-    return Items(ids, words, budgets, lengths, known, telling, least, np.floor(lengths * edits + 1e-9).astype(np.int64),
-                 walks, sampled, keys.ravel()[order], owner[order])
+    return Items(ids, words, budgets, lengths, classes, known, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), needed,
+                 plain, np.floor(lengths * edits + 1e-9).astype(np.int64), walks, sampled, keys.ravel()[order], owner[order])
+
+
+def gathered(group: Group, items: Items, known: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, item) of windows in places that hold enough telling words of an item."""
+    words = group.hashes
+    hits = np.flatnonzero(known)
+    low = np.searchsorted(items.telling, words[hits])
+    high = np.searchsorted(items.telling, words[hits], side="right")
+    times = high - low
+    at = np.repeat(hits, times)
+    item = items.telling_items[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))]
+    ready = items.needed[item] > 0
+    at, item = at[ready], item[ready]
+    order = np.lexsort((at, item))
+    at, item = at[order], item[order]
+    last = np.arange(len(at)) + items.needed[item] - 1
+    there = np.flatnonzero(last < len(at))
+    last = last[there]
+    reach = np.array([len(w) for w in items.words]) + items.budgets
+    enough = (item[last] == item[there]) & (at[last] - at[there] < reach[item[there]]) & (ends[at[last]] == ends[at[there]])
+    first, last, item = at[there[enough]], at[last[enough]], item[there[enough]]
+    # The nearest stretch can be taken to begin with a word of the item, up to the first telling one.
+    begin = np.maximum(last - reach[item] + 1, np.concatenate((group.bounds, [0]))[
+        np.searchsorted(group.bounds, first, side="right") - 1])
+    times = first - begin + 1
+    start = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+    item = np.repeat(item, times)
+    keep = known[start]
+    both = np.unique(item[keep] * (len(words) + 1) + start[keep])
+    return both % (len(words) + 1), both // (len(words) + 1)
 
 
 def lanes(group: Group, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, size, length class) of the windows that hold enough of the items' words."""
-    words = group.hashes
-    place = _place(words)
-    known, telling = items.known[place], items.telling[place]
-    known_before = np.concatenate(([0], np.cumsum(known)))
-    telling_before = np.concatenate(([0], np.cumsum(telling)))
+    known = items.known[_place(group.hashes)]
     ends = np.repeat(group.bounds[1:], np.diff(group.bounds))
-    # The best stretch can be taken to begin with a word of the item.
-    starts = np.flatnonzero(known)
-    far = np.minimum(starts + int(items.lengths.max()), ends[starts])
-    starts = starts[telling_before[far] - telling_before[starts] >= items.least_telling.min()]
-    found = []
-    for c, n in enumerate(items.lengths.tolist()):
-        stop = np.minimum(starts + n, ends[starts])
-        fits = known_before[stop] - known_before[starts] >= n - items.length_budgets[c]
-        fits &= telling_before[stop] - telling_before[starts] >= items.least_telling[c]
-        chosen = np.flatnonzero(fits)
-        found.append((starts[chosen], (stop - starts)[chosen], np.full(len(chosen), c)))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    start, item = gathered(group, items, known, ends)
+    both = np.unique(start * len(items.lengths) + items.classes[item])
+    starts, classes = [both // len(items.lengths)], [both % len(items.lengths)]
+    # Items without enough telling words: windows with enough words of any item.
+    before, every = np.concatenate(([0], np.cumsum(known))), np.flatnonzero(known)
+    for c in np.flatnonzero(items.plain):
+        stop = np.minimum(every + items.lengths[c], ends[every])
+        chosen = every[before[stop] - before[every] >= items.lengths[c] - items.length_budgets[c]]
+        starts.append(chosen)
+        classes.append(np.full(len(chosen), c))
+    start, c = np.concatenate(starts), np.concatenate(classes)
+    return start, np.minimum(start + items.lengths[c], ends[start]) - start, c
 
 
 def candidates(group: Group, items: Items) -> list[tuple[int, int, int]]:
