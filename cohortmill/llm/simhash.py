@@ -96,18 +96,20 @@ def _mask(low: int, width: int) -> int:
 
 
 def index_keys(fp: Column, distance: int) -> Column:
-    """Keys of a fingerprint: (start, bit left out, remaining bits of the first two links)."""
+    """Keys of a fingerprint: hashes of start, bit left out, and remaining bits of the first two links.
+
+    Where two keys share a hash, the check of the chain still tells them apart.
+    """
     parts = segments(distance)
     keys = []
     for i, (low, width) in enumerate(parts):
         if distance == 0:
-            keys.append(F.struct(F.lit(i).cast("short").alias("p"), fp.alias("k")))
+            keys.append(fp)
             continue
         low2, width2 = parts[(i + 1) % len(parts)]
         pair = _mask(low, width) | _mask(low2, width2)
         # The budget of two links is floor(2 n / m): one bit as soon as n >= 1.
-        keys += [F.struct(F.lit(i * BITS + bit).cast("short").alias("p"),
-                          fp.bitwiseAND(F.lit(pair & ~_signed(1 << bit))).alias("k"))
+        keys += [F.xxhash64(F.lit(i * BITS + bit), fp.bitwiseAND(F.lit(pair & ~_signed(1 << bit))))
                  for bit in range(low2, low2 + width2)]
     return F.array(*keys)
 
@@ -180,20 +182,22 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     dealt out in blocks. Connected through the result are exactly the
     fingerprints connected through pairs at most ``distance`` bits apart.
     """
-    posts = fps.select("fp", F.explode(index_keys(F.col("fp"), distance)).alias("key")).select("fp", "key.p", "key.k")
+    # A few bytes per document become many keys: spread them over the cluster first.
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posts = fps.repartition(spread, "fp").select("fp", F.explode(index_keys(F.col("fp"), distance)).alias("k"))
     keys = base.stored(
-        posts.groupBy("p", "k").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        posts.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .filter("n > 1"), "simhash-keys")
     pairs = keys.filter("n = 2").select("a", "b").distinct().filter(linked(F.col("a"), F.col("b"), distance))
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    full = (posts.join(keys.filter("n > 2").select("p", "k", blocks.alias("blocks")), ["p", "k"])
+    full = (posts.join(keys.filter("n > 2").select("k", blocks.alias("blocks")).hint("merge"), "k")
             .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (full.select("p", "k", "fp", "own", other.alias("other"))
-             .select("p", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    dealt = (full.select("k", "fp", "own", other.alias("other"))
+             .select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      F.struct((F.col("own") > F.col("other")).alias("second"), "fp").alias("member")))
-    cells = (dealt.groupBy("p", "k", "i", "j").agg(F.sort_array(F.collect_list("member")).alias("m"))
+    cells = (dealt.groupBy("k", "i", "j").agg(F.sort_array(F.collect_list("member")).alias("m"))
              .select((F.col("i") == F.col("j")).alias("same"), "m").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
