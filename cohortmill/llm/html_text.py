@@ -2,7 +2,7 @@
 
 The builder opens and closes elements as a browser would for the usual
 omissions (``p``, ``li``, ``dt``/``dd``, ``option``, table parts) and never fails
-on broken markup. The renderer emits all visible text: blocks on lines of their
+on broken markup; a quote that never closes ends with its tag. The renderer emits all visible text: blocks on lines of their
 own with blank lines between paragraphs, list items with marks and indents, and
 tables with aligned columns. Work is linear in the page, without recursion.
 """

@@ -52,7 +52,7 @@ def pivots_of(rows: DataFrame) -> tuple[np.ndarray, int]:
     n = rows.count()
     wanted = min(MOST_PIVOTS, max(1, int(PIVOT_RATE * math.sqrt(n))))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
-    return np.array([r["v"] for r in chosen], np.float32).reshape(len(chosen), -1), n
+    return np.array([r["v"] for r in chosen], np.float32), n
 
 
 def permuted(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
