@@ -74,14 +74,21 @@ def permuted(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, f"id {kind}, v {values}, near array<smallint>")
 
 
-def footrule(query: np.ndarray, near: np.ndarray, pivots: int) -> np.ndarray:
-    """Footrule distances of one pivot order to many; a pivot that is missing stands behind the last."""
-    m = near.shape[1]
-    place = np.full(pivots, m, np.int32)
+def footrule_table(query: np.ndarray, length: int, pivots: int) -> tuple[np.ndarray, int]:
+    """What a pivot at a place of another order adds to the footrule distance, by place and pivot, and a constant.
+
+    A pivot that one of the two orders lacks stands behind its last place.
+    """
+    place = np.full(pivots, length, np.int32)
     place[query] = np.arange(len(query))
-    theirs = place[near]
-    apart = np.abs(theirs - np.arange(m)).sum(axis=1)
-    return apart + (m - np.arange(len(query))).sum() - (m - theirs).sum(axis=1)
+    table = np.abs(place[None, :] - np.arange(length)[:, None]) + (place - length)[None, :]
+    return table.ravel(), int((length - np.arange(len(query))).sum())
+
+
+def footrule(query: np.ndarray, near: np.ndarray, pivots: int) -> np.ndarray:
+    """Footrule distances of one pivot order to many, of one length."""
+    table, constant = footrule_table(query, near.shape[1], pivots)
+    return table.take(near + np.arange(near.shape[1]) * pivots).sum(axis=1) + constant
 
 
 def search_cells(queries: DataFrame, files: DataFrame, pivots: int, k: int, probed: int, reranked: int) -> DataFrame:
@@ -106,10 +113,13 @@ def search_cells(queries: DataFrame, files: DataFrame, pivots: int, k: int, prob
             ids = posted["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            near = np.stack(posted["near"].to_numpy())[order].astype(np.int32)
+            near = np.stack(posted["near"].to_numpy())[order].astype(np.int64)
+            length = near.shape[1]
+            near += np.arange(length) * pivots
             vectors = np.stack(posted["v"].to_numpy())[order].astype(np.float64)
             for own, v, their in zip(asked["id"], asked["v"], asked["near"]):
-                apart = footrule(np.asarray(their, np.int64), near, pivots)
+                table, constant = footrule_table(np.asarray(their, np.int64), length, pivots)
+                apart = table.take(near).sum(axis=1) + constant
                 apart[ids == own] = np.iinfo(np.int32).max
                 cut = min(reranked, len(ids))
                 # Everything as near as the last one that is reranked goes along.
