@@ -74,12 +74,12 @@ def _(spark, sf):
     return cohort.index_by_visit(encoded(spark, sf), R.visit).select(KEY, R.visit, R.outcome.label)
 
 
-ORDER = [R.visit, KEY]
+ORDER = R.index_order
 
 
 @query("index_stay_first", """
 select patientunitstayid, patienthealthsystemstayid, unitvisitnumber::bigint unitvisitnumber from (
-  select *, row_number() over (partition by patienthealthsystemstayid order by unitvisitnumber, patientunitstayid) rn from enc)
+  select *, row_number() over (partition by patienthealthsystemstayid order by unitvisitnumber, hospitaladmitoffset, patientunitstayid) rn from enc)
 where rn = 1""")
 def _(spark, sf):
     return cohort.index_by_order(encoded(spark, sf), R.encounter, ORDER).select(KEY, R.encounter, R.visit)
@@ -95,7 +95,7 @@ select '{name}' strategy, count(*) initial_stays, count(*) filter (where {remove
   {d(pct(f"count(*) filter (where {kept} and hospital_mortality = 1)", f"count(*) filter (where {kept})"), "retained_mortality_pct")},
   count(*) filter (where {removed} and hospital_mortality = 1) removed_expired,
   {d(pct(f"count(*) filter (where {removed} and hospital_mortality = 1)", f"count(*) filter (where {removed})"), "removed_mortality_pct")}
-from (select *, row_number() over (partition by patienthealthsystemstayid order by unitvisitnumber, patientunitstayid) rn from enc)"""
+from (select *, row_number() over (partition by patienthealthsystemstayid order by unitvisitnumber, hospitaladmitoffset, patientunitstayid) rn from enc)"""
 
 
 @query("index_stay_report", index_sql("visit_number", "unitvisitnumber = 1", "unitvisitnumber > 1") + " union all "
@@ -127,28 +127,37 @@ def _(spark, sf):
     return cohort.landmark_report(cohort.index_by_visit(encoded(spark, sf), R.visit), R, P.landmark)
 
 
-def flow_step(i, name, where, before):
+def flow_step(strategy, source, i, name, where, before):
     return f"""
-select {i}::bigint step_no, '{name}' step, count(*) filter (where {where}) n,
+select '{strategy}' strategy, {i}::bigint step_no, '{name}' step, count(*) filter (where {where}) n,
   count(*) filter (where {where} and hospitaldischargestatus = 'Expired') positives,
   count(*) filter (where {where} and hospitaldischargestatus = 'Alive') negatives,
   count(*) filter (where {before}) - count(*) filter (where {where}) removed,
   {d(pct(f"count(*) filter (where {where} and hospitaldischargestatus = 'Expired')",
          f"count(*) filter (where {where} and hospitaldischargestatus in ('Expired', 'Alive'))"), "prevalence_pct")}
-from fx_patient"""
+from {source}"""
 
 
 KNOWN = "hospitaldischargestatus in ('Alive', 'Expired')"
-INDEX = f"{KNOWN} and unitvisitnumber = 1"
-LAND = f"{INDEX} and unitdischargeoffset >= 1440"
+NUMBERED = f"""(select *, row_number() over (partition by patienthealthsystemstayid, {KNOWN}
+  order by unitvisitnumber, hospitaladmitoffset, patientunitstayid) rn from fx_patient)"""
 
 
-@query("attrition_flow", " union all ".join([
-    flow_step(0, "raw", "true", "true"), flow_step(1, "known_outcome", KNOWN, "true"),
-    flow_step(2, "index_stay", INDEX, KNOWN), flow_step(3, "landmark", LAND, INDEX),
-    flow_step(4, "final_cohort", LAND, LAND)]))
+def flow(strategy, source, rule):
+    index = f"{KNOWN} and {rule}"
+    land = f"{index} and unitdischargeoffset >= 1440"
+    return " union all ".join(flow_step(strategy, source, *s) for s in (
+        (0, "raw", "true", "true"), (1, "known_outcome", KNOWN, "true"), (2, "index_stay", index, KNOWN),
+        (3, "landmark", land, index), (4, "final_cohort", land, land)))
+
+
+@query("attrition_flow", flow("visit_number", "fx_patient", "unitvisitnumber = 1") + " union all "
+       + flow("first_per_encounter", NUMBERED, "rn = 1"))
 def _(spark, sf):
-    return cohort.attrition_flow(view(spark, sf, "fx_patient"), R, P.landmark)
+    patient = view(spark, sf, "fx_patient")
+    both = [cohort.attrition_flow(patient, R, P.landmark, first).withColumn("strategy", F.lit(name))
+            for name, first in (("visit_number", False), ("first_per_encounter", True))]
+    return both[0].unionByName(both[1])
 
 
 @query("window_extract", """
@@ -356,6 +365,18 @@ def _(spark, sf):
     return split.split_overlap(split.with_split(base, folds, R.person), R.person)
 
 
+@query("split_without_person", """
+select case when uniquepid % 9 = 0 then null else uniquepid end is null no_person, count(*) stays
+from cohort group by 1""")
+def _(spark, sf):
+    """Rows in = rows out, also for rows whose person is unknown."""
+    base, _ = folded(spark, sf)
+    holed = base.withColumn(R.person, F.when(F.col(R.person) % 9 != 0, F.col(R.person)))
+    placed = split.with_split(holed, split.group_folds(holed, R.person, R.outcome.label), R.person, KEY)
+    return placed.where("split in ('train', 'validation', 'test')").groupBy(
+        F.col(R.person).isNull().alias("no_person")).agg(F.count(F.lit(1)).alias("stays"))
+
+
 @query("test_metadata", FOLDS_STEP + """
 select patientunitstayid, uniquepid, unittype from cohort join folds using (uniquepid) where fold = 0""")
 def _(spark, sf):

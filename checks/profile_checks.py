@@ -11,7 +11,7 @@ from cohortmill.operators import attribution, clean, measures, profile
 from cohortmill.plans import steps
 
 KEY = R.entity
-WIDTH = {"patient": ("fx_patient", 14), "lab": ("fx_lab", 5), "vitalPeriodic": ("fx_vital", 9)}
+WIDTH = {"patient": ("fx_patient", 15), "lab": ("fx_lab", 5), "vitalPeriodic": ("fx_vital", 9)}
 
 
 @query("schema_check", " union all ".join(

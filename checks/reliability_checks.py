@@ -224,8 +224,8 @@ select patientunitstayid, {d("p", "probability")}, {d("p", "ensemble_mean")}, {d
   case when ustd <= {LOW!r}::double then 'LOW' when ustd >= {SPREAD_CUT} then 'HIGH' else 'MODERATE' end spread_band,
   {d("dq", "data_quality_score")}, case when dq <= {QUALITY_CUT} then 'LOW' when dq >= 0.75 then 'HIGH' else 'MODERATE' end quality_band,
   case when {RULES["combined"]} then 'ACCEPT' else 'ABSTAIN' end decision,
-  concat_ws('; ', case when ustd >= {SPREAD_CUT} then printf('High prediction variability (std=%.3f >= %.3f)', ustd, {SPREAD_CUT}::double) end,
-    case when dq < {QUALITY_CUT} then 'Low data quality score (' || printf('%.2f', floor(dq * 100 + 0.5 + 1e-9) / 100) || printf(' < %.2f)', {QUALITY_CUT}::double) end) reasons
+  concat_ws('; ', case when ustd >= {SPREAD_CUT} then printf('The resampled models disagree: spread %.3f, allowed is less than %.3f', ustd, {SPREAD_CUT}::double) end,
+    case when dq < {QUALITY_CUT} then 'The row rests on too little data: quality ' || printf('%.2f', floor(dq * 100 + 0.5 + 1e-9) / 100) || printf(', needed is %.2f', {QUALITY_CUT}::double) end) reasons
 from fx_scored""")
 def _(spark, sf):
     report = reliability.reliability_report(scored(spark, sf), KEY, "p", "p", "ustd", "dq", T)

@@ -27,6 +27,7 @@ FRAGMENTS = {
 PATIENT = """
 select o_orderkey patientunitstayid, o_custkey uniquepid,
   o_custkey * 10 + year(o_orderdate) % 10 patienthealthsystemstayid,
+  cast(-((o_orderkey * 11) % 13) as bigint) hospitaladmitoffset,
   cast(1 + (o_orderkey * 7 + o_custkey) % 3 as int) unitvisitnumber,
   cast(floor(o_totalprice / 100) as bigint) unitdischargeoffset,
   case when o_custkey % 50 = 0 then null when c_acctbal < 0 then '' when c_acctbal > 9000 then '> 89'
@@ -45,26 +46,26 @@ from <orders> join <customer> on o_custkey = c_custkey
 """
 
 VITAL = """
-select l_orderkey patientunitstayid,
+select case when l_suppkey % 7 = 0 then -l_orderkey else l_orderkey end patientunitstayid,
   cast(((<days> * 7 + l_linenumber * 13) % 2880 + 2880) % 2880 - 480 as bigint) observationoffset,
   l_quantity * 6 heartrate, 100 - l_discount * 600 sao2, l_tax * 1000 respiration,
   case when l_linenumber < 6 then null else 25 + l_quantity * 0.4 end temperature,
   case when l_returnflag = 'R' then l_extendedprice / 300 - 20 end systemicsystolic,
   case when l_returnflag = 'R' then l_extendedprice / 500 - 10 end systemicdiastolic,
   case when l_returnflag = 'R' then l_extendedprice / 400 - 15 end systemicmean
-from <lineitem> join <orders> on l_orderkey = o_orderkey where l_suppkey % 7 <> 0
+from <lineitem> join <orders> on l_orderkey = o_orderkey
 """
 
 LAB = """
 select l_orderkey patientunitstayid,
-  cast((((<days> * 5 + l_linenumber * 29 + l_suppkey * 3 + rep * 7) % 48 + 48) % 48 - 8) * 60 as bigint) labresultoffset,
+  cast((((<days> * 5 + l_linenumber * 29 + l_suppkey * 3 + rep * 7) % 48 + 48) % 48 - 8) * 60 + case when l_partkey % 5 = 0 then 6000 else 0 end as bigint) labresultoffset,
   case (l_partkey + rep % 2) % 16 when 0 then 'creatinine' when 1 then 'BUN' when 2 then 'sodium' when 3 then 'potassium'
     when 4 then 'glucose' when 5 then 'Hgb' when 6 then 'Hct' when 7 then 'WBC x 1000' when 8 then 'platelets x 1000'
     when 9 then 'bicarbonate' when 10 then 'chloride' when 11 then 'calcium' when 12 then 'magnesium'
     when 13 then 'lactate' when 14 then 'pH' when 15 then 'bedside glucose' end labname,
   case when (l_suppkey + rep) % 40 = 0 then null else l_quantity * 4 + rep end labresult,
   l_partkey * 100000 + l_suppkey * 100 + l_linenumber * 10 + rep labid
-from <lineitem> join <orders> on l_orderkey = o_orderkey <reps> where l_partkey % 5 <> 0
+from <lineitem> join <orders> on l_orderkey = o_orderkey <reps>
 """
 
 SCORED = """

@@ -48,6 +48,12 @@ class Roles:
     wide_offset: str
     age_capped_text: str = "> 89"
     age_capped_value: float = 90.0
+    admit_offset: str = ""
+
+    @property
+    def index_order(self) -> list[str]:
+        """What decides which stay of an encounter is the first: visit, admission offset if there is one, key."""
+        return [self.visit, *([self.admit_offset] if self.admit_offset else []), self.entity]
 
 
 @dataclass(frozen=True)

@@ -247,7 +247,8 @@ def case_studies(df: DataFrame, key: str, y: str, p: str, threshold: float) -> D
 
 def with_metadata(cases: DataFrame, entities: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Add entity columns to the case studies, of which there are at most four."""
-    return entities.select(key, *columns).join(F.broadcast(cases), key, "right")
+    known = entities.select(key, *columns).join(F.broadcast(cases.select(key).distinct()), key)
+    return cases.join(known, key, "left").select(key, *columns, *[c for c in cases.columns if c != key])
 
 
 # --- display names -----------------------------------------------------------------

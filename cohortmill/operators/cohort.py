@@ -8,8 +8,6 @@ from cohortmill.config import ObservationWindow, Outcome, Roles
 from cohortmill.functions.columns import count_true, percent
 from cohortmill.operators.clean import in_window, known_outcome
 
-BROADCAST_KEYS = 2_000_000
-
 
 def index_by_visit(df: DataFrame, visit: str) -> DataFrame:
     """Stays whose visit number is 1."""
@@ -117,15 +115,22 @@ def landmark_report(df: DataFrame, roles: Roles, minutes: int) -> DataFrame:
     )
 
 
-def attrition_flow(df: DataFrame, roles: Roles, minutes: int) -> DataFrame:
-    """Long table (step, n, positives, negatives, removed, pct): one pass over the entities.
+def attrition_flow(df: DataFrame, roles: Roles, minutes: int, first_per_encounter: bool = False) -> DataFrame:
+    """Long table (step, n, positives, negatives, removed, pct) of either index rule.
 
-    Each row is given the last step it survives; the steps are then nested
+    Index stays have visit number 1 or, with ``first_per_encounter``, come first
+    among the stays of their encounter that have a known outcome. Each row is given the last step it survives; the steps are then nested
     counts, so no step scans the table again.
     """
     out = roles.outcome
+    index = F.coalesce(F.col(roles.visit) == 1, F.lit(False))
+    if first_per_encounter:
+        first = df.where(known_outcome(out)).groupBy(roles.encounter).agg(
+            F.min(F.struct(*roles.index_order)).alias("f")).select(F.col(f"f.{roles.entity}").alias(roles.entity))
+        df = df.join(first.withColumn("__index", F.lit(True)), roles.entity, "left")
+        index = F.coalesce(F.col("__index"), F.lit(False))
     survived = (F.when(~known_outcome(out), 0)
-                .when(~F.coalesce(F.col(roles.visit) == 1, F.lit(False)), 1)
+                .when(~index, 1)
                 .when(~F.coalesce(F.col(roles.duration) >= minutes, F.lit(False)), 2).otherwise(3))
     steps = ["raw", "known_outcome", "index_stay", "landmark", "final_cohort"]
     depth = df.select(survived.alias("depth"), F.col(out.column).alias("s")).agg(*[
@@ -142,20 +147,14 @@ def attrition_flow(df: DataFrame, roles: Roles, minutes: int) -> DataFrame:
     return depth.select(F.inline(F.array(*rows)))
 
 
-def small_keys(ids: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
-    """True if the key table has at most ``limit`` rows (counts at most limit + 1)."""
-    return ids.limit(limit + 1).count() <= limit
-
-
-def restrict_to(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
+def restrict_to(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ``ids``.
 
-    A counted, small key list is broadcast, so the measurements are filtered
-    where they are read. Beyond the limit it is a shuffled semi join, whose hot
-    keys adaptive execution splits.
+    A key list that was written to files has a known size in bytes, by which
+    Spark decides: a small one is broadcast and filters where the rows are read,
+    a larger one is a shuffled semi join, whose hot keys adaptive execution splits.
     """
-    keys = ids.select(key)
-    return df.join(F.broadcast(keys) if small_keys(keys, limit) else keys, key, "left_semi")
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def extract_window(df: DataFrame, ids: DataFrame, key: str, offset: str,

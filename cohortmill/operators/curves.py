@@ -49,7 +49,7 @@ def auroc_column() -> Column:
 
 def average_precision_column() -> Column:
     """Step-wise average precision over ranked score rows; null for one class."""
-    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    steps = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
     ok = (F.max("tp") > 0) & (F.max("fp") > 0)
     return F.when(ok, steps / F.nullif(F.max("tp"), F.lit(0)))
 

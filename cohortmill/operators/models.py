@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortmill import presets
 from cohortmill.functions.columns import clip, share, sigmoid
@@ -43,16 +43,17 @@ def balanced(df: DataFrame, label: str) -> tuple[DataFrame, dict[str, float]]:
     return df.select(F.col(label).cast("double").alias(LABEL), weight.alias(WEIGHT), FEATURES), row
 
 
-ROWS_PER_PARTITION = 20_000
+#: Partitions of the training rows. Bagging draws per partition, so this is a parameter of the fit:
+#: one value gives one model on every cluster. Raise it together with the training data.
+FIT_PARTITIONS = 4
 
 
-def training_rows(df: DataFrame, rows: int) -> DataFrame:
-    """Materialised training rows; a small table gets few partitions.
-
-    Fits pass over the rows hundreds of times, so for a small table the task
-    count is the cost. Only ever lowers the number of partitions.
-    """
-    return materialize(df.coalesce(max(1, -(-int(rows) // ROWS_PER_PARTITION))))
+def training_rows(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Materialised training rows in a layout that depends on the rows alone, not on how they arrive."""
+    others = [c for c in df.columns if c != FEATURES]
+    place = F.xxhash64(vector_to_array(F.col(FEATURES)), *others)
+    laid = df.withColumn("__place", place).repartition(partitions, "__place").sortWithinPartitions("__place", *others)
+    return materialize(laid.drop("__place"))
 
 
 def run_parallel(jobs: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
@@ -69,7 +70,7 @@ def logistic(c: float, weight_sum: float) -> LogisticRegression:
 
 def fit_logistic_grid(train: DataFrame, label: str, grid=presets.LOGISTIC_GRID, parallelism: int = 8) -> list[Fitted]:
     rows, sizes = balanced(train, label)
-    rows = training_rows(rows, sizes["n"])
+    rows = training_rows(rows)
     fits = run_parallel([lambda c=c: logistic(c, sizes["n"]).fit(rows) for c in grid], parallelism)
     return [Fitted("logistic", f"logistic_{i}", {"C": c}, m) for i, (c, m) in enumerate(zip(grid, fits))]
 
@@ -78,7 +79,7 @@ def fit_forest_grid(train: DataFrame, label: str, grid=presets.FOREST_GRID, seed
                     parallelism: int = 8) -> list[Fitted]:
     """Random forests; the smallest leaf stands in for the smallest splittable node."""
     rows, sizes = balanced(train, label)
-    rows = training_rows(rows, sizes["n"])
+    rows = training_rows(rows)
 
     def fit(g: dict) -> Any:
         return RandomForestClassifier(
@@ -96,7 +97,7 @@ def fit_boosted_grid(train: DataFrame, label: str, grid=presets.BOOSTED_GRID, se
     sizes = class_weights(train, label).first()
     weight = F.when(F.col(label) == 1, F.lit(float(sizes["scale_pos_weight"]))).otherwise(F.lit(1.0))
     rows = training_rows(
-        train.select(F.col(label).cast("double").alias(LABEL), weight.alias(WEIGHT), FEATURES), sizes["n"])
+        train.select(F.col(label).cast("double").alias(LABEL), weight.alias(WEIGHT), FEATURES))
     checkpoint_dir(train.sparkSession)
 
     def fit(g: dict) -> Any:

@@ -65,11 +65,14 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     Few groups would mean few, huge partitions in a shuffled join. The group
     table is written and counted first; up to a million rows it is broadcast.
     Only with more groups than that, when the key spreads well, is it shuffled.
+    Without keys it is one row and broadcast as it is.
     """
+    if not keys:
+        return rows.join(F.broadcast(per_group))
     small = materialize(per_group)
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    return same_keys(rows, small, keys, "inner") if keys else rows.join(small)
+    return same_keys(rows, small, keys, "inner")
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, totals: dict[str, Column],
@@ -127,6 +130,12 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: l
     if not narrow:
         sizes = counts.groupBy(*by).agg(F.sum("copies").alias("n"), *[
             F.lit(0).cast("bigint").alias(f"__skip{i}") for i in range(len(probabilities))])
+    return quantiles_of_counts(counts, sizes, probabilities, by, rows_per_range)
+
+
+def quantiles_of_counts(counts: DataFrame, sizes: DataFrame, probabilities: list[float], by: list[str],
+                        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Quantiles from (by, value, copies) and per group n and the ranks that were left out below (``__skip{i}``)."""
     ranked = running_totals(counts, by, "value", {"upto": F.col("copies")}, rows_per_range=rows_per_range)
     ranked = attach(ranked, sizes, by)
     picks, outs = [], []
@@ -167,12 +176,25 @@ def near_ranks(df: DataFrame, value: str, probabilities: list[float], by: list[s
     return marked.where(kept).select(*by, value), sizes
 
 
-NARROW_CELLS = 50_000_000
-
+def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 2000) -> DataFrame:
+    """(feature, n, q0): exact median of every column with a value, all columns together.
 
-def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, q0): exact median of every column, all columns together."""
-    cells = ", ".join(f"struct({sql_text(c)} as feature, cast(`{c}` as double) as v)" for c in columns)
-    long = df.select(F.expr(f"inline(array({cells}))"))
-    narrow = df.count() * len(columns) > NARROW_CELLS
-    return exact_quantiles(long, "v", [0.5], ["feature"], narrow=narrow)
+    One wide pass brackets every median, a second counts the values below each
+    bracket, and only the values inside are unpivoted and ranked. Brackets and
+    counts are a few numbers per column.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, n bigint, q0 double")
+    cast = {c: F.expr(f"cast(`{c}` as double)") for c in columns}
+    ends = [0.5 - 2.0 / accuracy, 0.5 + 2.0 / accuracy]
+    found = df.agg(*[F.percentile_approx(v, ends, accuracy).alias(f"e{i}") for i, v in enumerate(cast.values())]).first()
+    edges = {c: found[f"e{i}"] for i, c in enumerate(columns) if found[f"e{i}"] is not None}
+    if not edges:
+        return df.sparkSession.createDataFrame([], "feature string, n bigint, q0 double")
+    row = df.agg(*[f for i, c in enumerate(edges) for f in (
+        F.count(cast[c]).alias(f"n{i}"), F.count_if(cast[c] < F.lit(edges[c][0])).alias(f"s{i}"))]).first()
+    sizes = df.sparkSession.createDataFrame(
+        [(c, row[f"n{i}"], row[f"s{i}"]) for i, c in enumerate(edges)], "feature string, n bigint, __skip0 bigint")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(
+        cast[c].between(F.lit(low), F.lit(high)), cast[c]).alias("v")) for c, (low, high) in edges.items()])
+    return quantiles_of_counts(value_counts_table(df.select(F.inline(cells)), ["feature"], "v"), sizes, [0.5], ["feature"])

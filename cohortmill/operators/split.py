@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from cohortmill.functions.columns import percent, share, sql_text
+from cohortmill.functions.columns import percent, share, sql_text, unit_hash
 from cohortmill.operators.running import exact_medians, same_keys
 from cohortmill.session import materialize
 
-MAX_LEVELS = 10_000
-
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42,
                 size_cap: int = 3, prefix_chars: int = 2) -> DataFrame:
     """(group, rows, positives, stratum, fold): every group in exactly one fold.
 
+    Rows without a group are left to ``with_split``.
     Groups are stratified by (has a positive, capped row count) and dealt to the
     folds in the order of a seeded md5. The position inside a stratum is a
     global row number, built from row numbers inside md5-prefix slices (evenly
@@ -25,7 +24,7 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
     sorted in one task.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
-    groups = df.groupBy(group).agg(
+    groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("positives"))
     stratum = (F.col("positives") > 0).cast("int") * 10 + F.least(F.col("rows"), F.lit(size_cap)).cast("int")
     placed = materialize(groups.select(group, "rows", "positives", stratum.alias("stratum"), digest.alias("digest"),
@@ -45,9 +44,16 @@ def split_name(fold: Column) -> Column:
     return F.when(fold == 0, "test").when(fold == 1, "validation").otherwise("train")
 
 
-def with_split(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
-    """Add the split of each row's group."""
-    return df.join(folds.select(group, split_name(F.col("fold")).alias("split")), group)
+def with_split(df: DataFrame, folds: DataFrame, group: str, key: str | None = None, count: int = 5,
+               seed: int = 42) -> DataFrame:
+    """Add the split of each row's group; no row is lost.
+
+    A row without a group (null, or not among the folds) stands alone: a hash of
+    its ``key``, by default of all its columns, gives its fold.
+    """
+    own = F.floor(unit_hash(F.lit(str(seed)), *[F.col(c).cast("string") for c in ([key] if key else df.columns)]) * count)
+    placed = df.join(folds.select(group, F.col("fold").alias("__fold")), group, "left")
+    return placed.withColumn("split", split_name(F.coalesce(F.col("__fold"), own.cast("int")))).drop("__fold")
 
 
 def lookup_group(df: DataFrame, entities: DataFrame, key: str, group: str) -> DataFrame:
@@ -58,17 +64,18 @@ def lookup_group(df: DataFrame, entities: DataFrame, key: str, group: str) -> Da
 
 
 def split_summary(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Per split: rows, groups, positives, rate."""
+    """Per split: rows, groups, positives, rate; a row without a group is a group of its own."""
     per_group = df.groupBy("split", group).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
     return per_group.groupBy("split").agg(
-        F.sum("n").alias("stays"), F.count(F.lit(1)).alias("persons"), F.sum("pos").alias("positives"),
+        F.sum("n").alias("stays"),
+        F.sum(F.when(F.col(group).isNull(), F.col("n")).otherwise(1)).alias("persons"), F.sum("pos").alias("positives"),
         (F.sum("pos") / F.sum("n")).alias("positive_rate"))
 
 
 def split_overlap(df: DataFrame, group: str) -> DataFrame:
     """Groups shared by each pair of splits; all zero for a valid split."""
-    per_group = df.groupBy(group).agg(*[
+    per_group = df.where(F.col(group).isNotNull()).groupBy(group).agg(*[
         F.bool_or(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
     pairs = (("train", "validation"), ("train", "test"), ("validation", "test"))
     row = per_group.agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
@@ -121,10 +128,23 @@ class Encoder:
         return out
 
     def encode(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep`` columns and the dense ``features`` vector."""
-        safe = [f"__x{i}" for i in range(len(self.names))]
-        wide = df.select(*keep, *[c.alias(s) for c, s in zip(self.columns(), safe)])
-        return VectorAssembler(inputCols=safe, outputCol="features").transform(wide).select(*keep, "features")
+        """``keep`` columns and the ``features`` vector, sparse where that is smaller.
+
+        Levels are looked up in a map, so their number adds no columns.
+        """
+        numbers = [f"__x{i}" for i in range(len(self.medians))]
+        listed = [c for c, values in self.levels.items() if values]
+        texts, places, hots = ([f"__{p}{i}" for i in range(len(listed))] for p in "tph")
+        wide = df.select(*keep, *[c.alias(s) for c, s in zip(self.columns(), numbers)], *[
+            F.coalesce(F.col(c).cast("string"), F.lit(self.unknown)).alias(t) for c, t in zip(listed, texts)])
+        if listed:
+            # An unseen level gets the place after the last, which the one-hot form drops.
+            for c, text, place in zip(listed, texts, places):
+                wide = StringIndexerModel.from_labels(self.levels[c], text, place, handleInvalid="keep").transform(wide)
+            wide = OneHotEncoder(inputCols=places, outputCols=hots, dropLast=True).fit(wide).transform(wide)
+        out = VectorAssembler(inputCols=[*numbers, *hots], outputCol="features").transform(wide).select(*keep, "features")
+        # Without attributes, so that trees split every feature by a threshold.
+        return out.withMetadata("features", {})
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [("median", c, None, v) for c, v in self.medians.items()]
@@ -167,12 +187,11 @@ def moments_after_imputing(df: DataFrame, medians: dict[str, float]) -> DataFram
     return df.agg(*parts)
 
 
-def fit_encoder(train: DataFrame, numeric: list[str], categorical: list[str], unknown: str = "Unknown",
-                max_levels: int = MAX_LEVELS) -> Encoder:
+def fit_encoder(train: DataFrame, numeric: list[str], categorical: list[str], unknown: str = "Unknown") -> Encoder:
     """Fit medians, scaling and levels on the training rows.
 
     Only constants reach the driver: one number per column and one row per
-    category level, whose number is checked.
+    category level. They are the names of the encoded features.
     """
     found = {r["feature"]: r["q0"] for r in exact_medians(train, numeric).collect()} if numeric else {}
     medians = {c: float(found[c]) if found.get(c) is not None else 0.0 for c in numeric}
@@ -186,9 +205,7 @@ def fit_encoder(train: DataFrame, numeric: list[str], categorical: list[str], un
         long = train.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(unknown)).alias("v"))
             for c in categorical]))).distinct()
-        rows = long.limit(max_levels + 1).collect()
-        if len(rows) > max_levels:
-            raise ValueError(f"more than {max_levels} category levels; group rare levels first")
+        rows = long.collect()
         for c in categorical:
             levels[c] = sorted(r["v"] for r in rows if r["c"] == c)
     return Encoder(medians, means, stds, levels, unknown)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortmill import presets
 from cohortmill.config import Preset
+from cohortmill.functions.columns import unit_hash
 from cohortmill.operators import attribution, clean, cohort, measures, models, profile, reliability, split
 from cohortmill.operators.bootstrap import Ensemble, fit_ensemble
-from cohortmill.session import materialize
+from cohortmill.session import materialize, written
 from cohortmill.streaming.score import Artifacts
 
 
@@ -59,7 +60,7 @@ def select_cohort(patient: DataFrame, preset: Preset, strategy: str = "visit_num
     if strategy == "visit_number":
         index = cohort.index_by_visit(aged, r.visit)
     elif strategy == "first_per_encounter":
-        index = cohort.index_by_order(aged, r.encounter, [r.visit, r.entity])
+        index = cohort.index_by_order(aged, r.encounter, r.index_order)
     else:
         raise ValueError(f"unknown index strategy {strategy!r}")
     return cohort.landmark(index, r.duration, preset.landmark)
@@ -81,41 +82,40 @@ def build_cohort(tables: Tables, preset: Preset, strategy: str = "visit_number")
     """Cohort, cleaned measurements, reports and coverage."""
     r = preset.roles
     entities = select_cohort(tables.patient, preset, strategy)
-    keys = materialize(entities.select(r.entity))
+    keys = written(entities.select(r.entity))
     labs, vitals = window_and_mask(tables, keys, preset)
     size = keys.agg(F.count(F.lit(1)).alias("n"))
     encoded = clean.encode_outcome(tables.patient, r.outcome)
     index = cohort.index_by_visit(encoded, r.visit) if strategy == "visit_number" else cohort.index_by_order(
-        encoded, r.encounter, [r.visit, r.entity])
+        encoded, r.encounter, r.index_order)
     return {
         "cohort": entities, "labs": labs, "vitals": vitals,
         "outcome_report": cohort.outcome_report(tables.patient, r.outcome),
         "index_report": (cohort.index_report_by_visit(encoded, r.visit, r.outcome.label) if strategy == "visit_number"
-                         else cohort.index_report_by_order(encoded, r.encounter, [r.visit, r.entity], r.outcome.label)),
+                         else cohort.index_report_by_order(encoded, r.encounter, r.index_order, r.outcome.label)),
         "landmark_report": cohort.landmark_report(index, r, preset.landmark),
-        "attrition": cohort.attrition_flow(tables.patient, r, preset.landmark),
+        "attrition": cohort.attrition_flow(tables.patient, r, preset.landmark, strategy == "first_per_encounter"),
         "coverage": cohort.coverage(labs, r.entity, size, "lab").unionByName(
             cohort.coverage(vitals, r.entity, size, "vital")),
     }
 
 
 def build_features(tables: Tables, preset: Preset, strategy: str = "visit_number",
-                   broadcast_keys: int = cohort.BROADCAST_KEYS) -> DataFrame:
+                   reduce_first: bool = False) -> DataFrame:
     """One feature row per cohort entity.
 
-    When the cohort's keys are few (counted), they are broadcast and the
-    measurements are filtered at the scan. Otherwise the measurements are
-    reduced to one row per entity first and only those rows are shuffled to the
-    cohort; raw rows are never shuffled by entity.
+    The cohort's keys are written, and by their bytes Spark decides whether they
+    filter the measurements at the scan. With ``reduce_first`` the measurements
+    are reduced to one row per entity before they meet the cohort, so that raw
+    rows are never shuffled by entity: for cohorts that hold most entities.
     """
     r, f, w = preset.roles, preset.features, preset.window
     entities = select_cohort(tables.patient, preset, strategy)
     labs = clean.in_window(tables.lab, r.long_offset, w)
     vitals = clean.in_window(tables.vital, r.wide_offset, w)
-    keys = materialize(entities.select(r.entity))
-    if cohort.small_keys(keys, broadcast_keys):
-        labs = labs.join(F.broadcast(keys), r.entity, "left_semi")
-        vitals = vitals.join(F.broadcast(keys), r.entity, "left_semi")
+    if not reduce_first:
+        keys = written(entities.select(r.entity))
+        labs, vitals = cohort.restrict_to(labs, keys, r.entity), cohort.restrict_to(vitals, keys, r.entity)
     wide = measures.wide_features(clean.mask_wide(vitals, preset.wide_bounds), r.entity, f.wide)
     long = measures.long_features(clean.mask_long(labs, r.long_name, r.long_value, preset.long_bounds),
                                   r.entity, r.long_name, "labresult_num", r.long_offset, r.long_order, f.long)
@@ -153,7 +153,8 @@ def split_and_encode(features: DataFrame, entities: DataFrame, preset: Preset, s
     numeric, categorical = split.split_types(features, columns)
     rows = split.lookup_group(features, entities, r.entity, r.person)
     folds = split.group_folds(rows, r.person, f.target, seed=seed)
-    placed = materialize(split.with_split(rows, folds, r.person))
+    placed = materialize(split.with_split(rows, folds, r.person, r.entity, seed=seed))
+    split.require_disjoint(placed, r.person)
     encoder = split.fit_encoder(placed.where("split = 'train'"), numeric, categorical)
     encoded = encoder.encode(placed, [r.entity, r.person, "split", f.target])
     return materialize(encoded), encoder
@@ -175,25 +176,42 @@ def train_candidates(features: DataFrame, entities: DataFrame, preset: Preset, s
 
 @dataclass(frozen=True)
 class Calibrated:
-    """Scores of all variants, their catalog and the chosen model."""
+    """Scores of all variants, their catalog, and the model and variant that are chosen."""
 
     scores: DataFrame
     catalog: DataFrame
     scorecard: DataFrame
     platts: dict[str, models.Platt]
     isotonics: dict[str, object]
+    family: str = ""
+    variant: str = ""
 
 
-def calibrate_and_select(training: Training, preset: Preset, split_for_score: str = "val") -> Calibrated:
-    """Calibrate each family's best model on validation and score all nine variants."""
-    key, target = preset.roles.entity, preset.features.target
+def for_calibrating(person: str, key: str, seed: int = 42) -> Column:
+    """Whether a validation row calibrates (half of the persons) or selects (the others)."""
+    who = F.coalesce(F.col(person).cast("string"), F.concat(F.lit("key:"), F.col(key).cast("string")))
+    return unit_hash(F.lit(f"{seed}:half"), who) < 0.5
+
+
+def calibrate_and_select(training: Training, preset: Preset, split_for_score: str = "val", seed: int = 42,
+                         pin: str | None = None) -> Calibrated:
+    """Calibrate each family's best model, score all nine variants and choose one.
+
+    Calibrators are fitted on one half of the validation persons; catalog,
+    scorecard and choice see the other half only, so no row both fits a
+    calibrator and judges it. ``scores`` holds the selecting half and the test
+    rows; ``split`` names the calibrating half "calibration".
+    """
+    key, target, person = preset.roles.entity, preset.features.target, preset.roles.person
     platts, isotonics = {}, {}
     parts = None
     held = training.rows.where("split in ('validation', 'test')")
     for family, fitted in training.best.items():
         scored = materialize(models.margin(fitted, models.probability(fitted, held, "p_raw"), "m")
+                             .withColumn("split", F.when((F.col("split") == "validation") & for_calibrating(person, key, seed),
+                                                         "calibration").otherwise(F.col("split")))
                              .select(key, "split", F.col(target).alias("y"), "p_raw", "m"))
-        val = scored.where("split = 'validation'")
+        val = scored.where("split = 'calibration'")
         platts[family] = models.fit_platt(val, "y", "m")
         isotonics[family] = models.fit_isotonic(val, "y", "m")
         iso = models.apply_isotonic(isotonics[family], scored, "m", "p_iso")
@@ -203,7 +221,9 @@ def calibrate_and_select(training: Training, preset: Preset, split_for_score: st
             F.struct(F.lit("isotonic").alias("variant"), F.col("p_iso").alias("p")))))
         parts = part if parts is None else parts.unionByName(part)
     catalog = materialize(models.evaluation_catalog(parts))
-    return Calibrated(parts, catalog, models.model_scorecard(catalog, split_for_score), platts, isotonics)
+    scorecard = materialize(models.model_scorecard(catalog, split_for_score))
+    best = models.champion(scorecard, pin).first()
+    return Calibrated(parts, catalog, scorecard, platts, isotonics, best["model"], best["best_variant"])
 
 
 def explain_scores(rows: DataFrame, fitted: models.Fitted, names: list[str], key: str, model_path: str,
@@ -219,12 +239,16 @@ def explain_scores(rows: DataFrame, fitted: models.Fitted, names: list[str], key
 
 
 def reliability_layer(training: Training, calibrated: Calibrated, features: DataFrame, flags: DataFrame | None,
-                      preset: Preset, family: str, variant: str = "sigmoid_platt", resamples: int = 30,
+                      preset: Preset, family: str | None = None, variant: str | None = None, resamples: int = 30,
                       min_coverage: float = 0.60, seed: int = 42) -> tuple[dict[str, DataFrame], Artifacts]:
     """Ensemble spread, quality score, frozen thresholds and their evaluation on test.
 
-    The ensemble is fitted once and used for validation, test and new rows.
+    The ensemble is fitted once and used for validation, test and new rows. The
+    model and variant are those chosen by ``calibrate_and_select`` unless named.
+    ``scored`` and thresholds use all validation rows, as thresholds need no
+    calibrator of their own.
     """
+    family, variant = family or calibrated.family, variant or calibrated.variant
     key, target = preset.roles.entity, preset.features.target
     ensemble: Ensemble = fit_ensemble(training.part("train"), key, target, resamples, seed)
     held = training.rows.where("split in ('validation', 'test')").select(key, "split", target, "features")
@@ -246,7 +270,8 @@ def reliability_layer(training: Training, calibrated: Calibrated, features: Data
         "abstain_profile": reliability.abstain_profile(test, "boot_std", "data_quality_score", thresholds),
     }
     return tables, Artifacts(training.encoder, training.best[family], calibrated.platts[family], ensemble,
-                             thresholds, total, key)
+                             thresholds, total, key, variant, calibrated.isotonics[family],
+                             "passed_share" if flags is not None else "")
 
 
 def dashboard_tables(features: DataFrame, flags: DataFrame, preset: Preset) -> dict[str, DataFrame]:

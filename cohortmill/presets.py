@@ -63,13 +63,13 @@ LEAKAGE_PARTS = (
 
 # The audited columns that may never be features, and the keys.
 LEAKAGE_COLUMNS = (
-    ("hospitaldischargestatus", "Ground Truth Target"),
-    ("unitdischargestatus", "Intermediate Target Proxy"),
-    ("hospitaldischargeoffset", "Future Temporal Variable"),
-    ("hospitaldischargelocation", "Post-Outcome Attribute"),
-    ("unitdischargeoffset", "Future Temporal Variable"),
-    ("unitdischargelocation", "Post-Outcome Attribute"),
-    ("dischargeweight", "Post-Outcome Attribute"),
+    ("hospitaldischargestatus", "is the outcome itself"),
+    ("unitdischargestatus", "nearly the outcome"),
+    ("hospitaldischargeoffset", "time known only at the end"),
+    ("hospitaldischargelocation", "recorded after the outcome"),
+    ("unitdischargeoffset", "time known only at the end"),
+    ("unitdischargelocation", "recorded after the outcome"),
+    ("dischargeweight", "recorded after the outcome"),
 )
 
 # Words that mark a clean quality flag.
@@ -150,6 +150,7 @@ ICU = Preset(
         long_offset="labresultoffset",
         long_order="labid",
         wide_offset="observationoffset",
+        admit_offset="hospitaladmitoffset",
     ),
     features=Features(
         admission=("age_numeric", "age_gt89", "gender", "ethnicity", "admissionheight",

@@ -32,7 +32,7 @@ def patients(spark):
     return spark.createDataFrame(data, (
         "patientunitstayid long, patienthealthsystemstayid long, uniquepid string, unitvisitnumber int, "
         "unitdischargeoffset long, age string, gender string, ethnicity string, hospitaldischargestatus string, "
-        "unitdischargestatus string"))
+        "unitdischargestatus string")).withColumn("hospitaladmitoffset", F.lit(0))
 
 
 def test_outcome_counts_null_and_blank(patients):
@@ -54,14 +54,14 @@ def test_kept_removed_unknown_add_up(patients):
     visit = cohort.index_report_by_visit(enc, R.visit, R.outcome.label).first()
     assert (visit["retained"], visit["removed"], visit["unknown"]) == (3, 1, 1)
     assert visit["retained"] + visit["removed"] + visit["unknown"] == visit["initial_stays"]
-    order = cohort.index_report_by_order(enc, R.encounter, [R.visit, R.entity], R.outcome.label).first()
+    order = cohort.index_report_by_order(enc, R.encounter, R.index_order, R.outcome.label).first()
     assert (order["retained"], order["removed"], order["removed_expired"]) == (4, 1, 1)
     short = cohort.landmark_report(cohort.index_by_visit(enc, R.visit), R, 1440).first()
     assert (short["short_stays"], short["eligible"], short["unknown"], short["short_unit_expired"]) == (1, 1, 1, 1)
 
 
 def test_first_per_encounter_keeps_whole_rows(patients):
-    first = cohort.index_by_order(patients, R.encounter, [R.visit, R.entity])
+    first = cohort.index_by_order(patients, R.encounter, R.index_order)
     assert first.columns == patients.columns
     assert rows(first.select(R.entity), R.entity) == [(1,), (3,), (4,), (5,), (6,), (7,), (8,)]
 
@@ -72,6 +72,12 @@ def test_attrition_is_nested(patients):
     assert [r["removed"] for r in flow] == [0, 3, 2, 2, 0]
 
 
+def test_attrition_of_first_per_encounter_ends_in_its_cohort(patients):
+    from cohortmill.plans import steps
+    flow = cohort.attrition_flow(patients, R, 1440, first_per_encounter=True).orderBy("step_no").collect()
+    assert flow[-1]["n"] == steps.select_cohort(patients, P, "first_per_encounter").count()
+
+
 def test_window_edges(spark):
     df = spark.createDataFrame([(-1,), (0,), (1440,), (1441,), (None,)], "t long")
     flags = clean.time_flags(df, "t").orderBy("t").collect()
@@ -150,8 +156,13 @@ def test_orphans_and_hot_keys(spark):
 def test_restriction_is_the_same_broadcast_or_not(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 10)
     ids = spark.range(3).withColumnRenamed("id", "k")
-    small, large = cohort.restrict_to(df, ids, "k"), cohort.restrict_to(df, ids, "k", limit=1)
-    assert rows(small, "id") == rows(large, "id") and small.count() == 30
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = rows(cohort.restrict_to(df, ids, "k"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(cohort.restrict_to(df, ids, "k"), "id") == small and len(small) == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_schema_and_leakage_guards(spark, patients):
@@ -210,5 +221,21 @@ def test_encoder_constants_unseen_levels_and_round_trip(spark, tmp_path):
     assert got[1] == 1.0 and got[2:] == [0.0, 0.0, 0.0]
     enc.save(spark, str(tmp_path / "enc"))
     assert split.Encoder.load(spark, str(tmp_path / "enc")) == enc
-    with pytest.raises(ValueError):
-        split.fit_encoder(df, [], ["c"], max_levels=2)
+
+
+def test_many_levels(spark):
+    df = spark.range(40_000).select("id", F.concat(F.lit("v"), F.col("id") % 20_000).alias("c"), F.lit(1.0).alias("x"))
+    enc = split.fit_encoder(df, ["x"], ["c"])
+    assert len(enc.names) == 20_001
+    row = enc.encode(df.where("id = 20007"), ["id"]).first()["features"]
+    assert row.size == 20_001 and row[enc.names.index("c_v7")] == 1.0 and row.numNonzeros() == 1
+
+
+def test_rows_without_a_group_are_kept(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 90).alias("g"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    placed = split.with_split(df, split.group_folds(df, "g", "y"), "g", "id")
+    assert placed.count() == 1000 and placed.where("split is null").count() == 0
+    split.require_disjoint(placed, "g")
+    alone = {r["split"]: r["count"] for r in placed.where("g is null").groupBy("split").count().collect()}
+    assert alone["train"] > alone["test"] > 0 and alone["validation"] > 0
+    assert split.split_summary(placed, "g", "y").agg(F.sum("persons"), F.sum("stays")).first()[:] == (81 + 100, 1000)

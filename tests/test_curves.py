@@ -209,7 +209,12 @@ def test_decision_and_reasons(spark):
     df = spark.createDataFrame([(1, 0.1, 0.5), (2, 0.2, 0.5), (3, 0.1, 0.4), (4, None, 0.5)], "k int, u double, q double")
     got = {r["k"]: (r["decision"], len(r["reasons"])) for r in reliability.decide(
         df, "u", "q", reliability.Thresholds(0.2, 0.45)).collect()}
-    assert got == {1: ("ACCEPT", 0), 2: ("ABSTAIN", 1), 3: ("ABSTAIN", 1), 4: ("ABSTAIN", 0)}
+    assert got == {1: ("ACCEPT", 0), 2: ("ABSTAIN", 1), 3: ("ABSTAIN", 1), 4: ("ABSTAIN", 1)}
+    nulls = reliability.strategy_decisions(df, "k", "u", "q", reliability.Thresholds(0.2, 0.45)).where("accept is null")
+    assert nulls.count() == 0
+    with pytest.raises(ValueError):
+        reliability.choose_thresholds(df.where("false").selectExpr("k", "1 y", "u p", "u", "q"), "y", "p", "u", "q")
+    assert reliability.risk_coverage(df.where("false").selectExpr("k", "1 y", "u p", "u", "q"), "y", "p", "u", "q").count() == 0
 
 
 def test_quality_score_defaults(spark):
@@ -220,3 +225,8 @@ def test_quality_score_defaults(spark):
     assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(0.05)
     bare = reliability.data_quality_score(df.select("k"), "k", None, 111).first()["data_quality_score"]
     assert bare == pytest.approx(0.2 + 0.05)
+
+
+def test_average_precision_of_huge_counts(spark):
+    ranked = spark.createDataFrame([(0.5, 4_000_000_000, 5, 4_000_000_000, 5)], "score double, pos bigint, neg bigint, tp bigint, fp bigint")
+    assert ranked.agg(curves.average_precision_column()).first()[0] == pytest.approx(1.0)

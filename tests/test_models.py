@@ -274,3 +274,13 @@ def test_scores_after_reload_and_in_a_stream(spark, data, tmp_path):
         F.max(F.abs(F.col("a.p") - F.col("b.p"))), F.max(F.abs(F.col("a.boot_std") - F.col("b.boot_std"))),
         F.count(F.lit(1)), F.count_if(F.col("a.decision") == F.col("b.decision"))).first()
     assert join[0] < 1e-12 and join[1] < 1e-12 and join[2] == join[3] == 600
+
+
+def test_fits_do_not_depend_on_how_rows_arrive(spark, data):
+    df = data[3]
+    rows = split.fit_encoder(df, ["a", "b", "c", "d"], []).encode(df, ["k", "y"])
+    grid = ({"trees": 5, "depth": 3, "min_split": 2},)
+    boosted = ({"trees": 3, "depth": 2, "rate": 0.1, "rows": 0.8, "columns": 1.0},)
+    for fit, settings in ((models.fit_forest_grid, grid), (models.fit_boosted_grid, boosted)):
+        one, seven = (fit(rows.repartition(n), "y", settings)[0].model.toDebugString.split("\n", 1)[1] for n in (1, 7))
+        assert one == seven

@@ -12,6 +12,7 @@ from cohortmill import presets
 from cohortmill.operators import attribution, clean, cohort, curves, measures, models, profile, reliability, split
 from cohortmill.plans import steps
 from cohortmill.sources import readers, sinks
+from cohortmill.streaming.score import Artifacts, score_new
 
 
 def physical(df) -> str:
@@ -51,8 +52,7 @@ def test_cohort_counts_agree(inputs, strategy):
     assert out["labs"].where(~F.col(R.long_offset).between(0, 1440)).count() == 0
     assert out["vitals"].where(F.col("sao2") > 100).count() == 0
     assert out["coverage"].count() == 2
-    if strategy == "visit_number":
-        assert out["attrition"].orderBy("step_no").collect()[-1]["n"] == size
+    assert out["attrition"].orderBy("step_no").collect()[-1]["n"] == size
 
 
 def test_unknown_strategy_raises(inputs):
@@ -61,7 +61,7 @@ def test_unknown_strategy_raises(inputs):
 
 
 def test_features_are_the_same_for_small_and_large_cohorts(inputs, features):
-    large = steps.build_features(inputs, P, broadcast_keys=1)
+    large = steps.build_features(inputs, P, reduce_first=True)
     assert features.columns == large.columns
     exact = [c for c in features.columns if not c.endswith(("_mean", "_std"))]
     assert features.select(exact).exceptAll(large.select(exact)).count() == 0
@@ -93,7 +93,23 @@ def test_training_to_reliability(spark, inputs, features, tmp_path):
     assert local.where(F.size("top_increasing") > 5).count() == 0
 
     flags = profile.quality_flags(P, inputs.patient, inputs.lab, inputs.vital)
-    out, artifacts = steps.reliability_layer(training, calibrated, features, flags, P, "boosted", resamples=4)
+    fits, selects = (calibrated.scores.where(F.col("split") == s).select(R.entity) for s in ("calibration", "validation"))
+    assert fits.count() > 0 < selects.count() and fits.intersect(selects).count() == 0
+    assert calibrated.catalog.where("val_ece = 0").count() == 0
+    chosen = models.champion(calibrated.scorecard).first()
+    assert (calibrated.family, calibrated.variant) == (chosen["model"], chosen["best_variant"])
+    out, artifacts = steps.reliability_layer(training, calibrated, features, flags, P, resamples=4)
+    assert (artifacts.fitted, artifacts.variant) == (training.best[calibrated.family], calibrated.variant)
+    for variant in ("uncalibrated", "sigmoid_platt", "isotonic"):
+        tables_out, frozen = steps.reliability_layer(training, calibrated, features, flags, P, "logistic", variant, resamples=2)
+        frozen.save(spark, str(tmp_path / variant))
+        with pytest.raises(ValueError):
+            score_new(features, frozen)
+        new = score_new(features, Artifacts.load(spark, str(tmp_path / variant)), flags)
+        both = tables_out["reliability_report"].alias("a").join(new.alias("b"), R.entity)
+        assert both.count() == tables_out["reliability_report"].count()
+        assert both.where("abs(a.probability - b.p) > 1e-9 or abs(a.data_quality_score - b.data_quality_score) > 1e-12 "
+                          "or a.decision <> b.decision or a.reasons <> b.reasons").count() == 0
     strategies = {r["strategy"]: r for r in out["strategy_metrics"].collect()}
     assert strategies["model_only"]["coverage"] == 1.0
     assert strategies["combined"]["n_accepted"] <= min(strategies["dq_abstain"]["n_accepted"],
@@ -210,6 +226,6 @@ def test_grid_copies_rows_after_the_only_move(spark, sf):
 
 
 def test_large_cohort_keeps_raw_rows_unshuffled(spark, inputs):
-    plan = physical(steps.build_features(inputs, P, broadcast_keys=1)).split("Initial Plan")[-1]
+    plan = physical(steps.build_features(inputs, P, reduce_first=True)).split("Initial Plan")[-1]
     assert "partial_stddev_samp" in plan or "partial_avg" in plan
     assert "LeftSemi" not in plan
