@@ -133,7 +133,7 @@ def _(spark, sf):
         profile.temporal_summary(t.vital, R.wide_offset, "vital"))
 
 
-PATIENT_MISSING = {"patientunitstayid": 0, "uniquepid": 0, "patienthealthsystemstayid": 0, "unitvisitnumber": 0,
+PATIENT_MISSING = {"patientunitstayid": 0, "hospitaladmitoffset": 0, "uniquepid": 0, "patienthealthsystemstayid": 0, "unitvisitnumber": 0,
                    "unitdischargeoffset": 0, "age": 1, "gender": 1, "ethnicity": 1, "unittype": 1, "unitadmitsource": 1,
                    "admissionweight": 0, "admissionheight": 0, "hospitaldischargestatus": 1, "unitdischargestatus": 1}
 
