@@ -182,6 +182,31 @@ def _(spark, sf):
     return steps.build_cohort(tables(spark, sf), P)["coverage"]
 
 
+def audit_bounds(table, bounds):
+    return ", ".join(f"('{table}', '{b.name}', {b.low}::double, {b.high}::double)" for b in bounds)
+
+
+@query("cleaning_audit", f"""
+with m as (
+  select 'lab' table_name, labname "name", labresult v from fx_lab semi join cohort using (patientunitstayid)
+  where labresultoffset between 0 and 1440
+  union all
+  select 'vital', "name", v from (
+    unpivot (select {", ".join(f"cast({b.name} as double) {b.name}" for b in P.wide_bounds)} from fx_vital
+             semi join cohort using (patientunitstayid) where observationoffset between 0 and 1440)
+    on {", ".join(b.name for b in P.wide_bounds)} into name "name" value v)),
+b(table_name, "name", low, high) as (values {audit_bounds("lab", P.long_bounds)}, {audit_bounds("vital", P.wide_bounds)}),
+c as (
+  select b.table_name, b."name", low, high, count(v) total_non_null, count(*) filter (where v < low or v > high) nullified,
+    count(*) filter (where v < 0) negative_nullified
+  from b left join m using (table_name, "name") group by all)
+select table_name, "name", {d("low")}, {d("high")}, cast(null as varchar) source, total_non_null, nullified,
+  {d(pct("nullified", "total_non_null"), "nullified_pct")}, negative_nullified
+from c where table_name = 'vital' or total_non_null > 0""")
+def _(spark, sf):
+    return steps.build_cohort(tables(spark, sf), P)["cleaning_audit"]
+
+
 @query("vital_features", "select patientunitstayid, " + ", ".join(
     [d(c) for c in GROUPS["vital_clinical_features"]] + [n(c) for c in GROUPS["vital_quality_features"]]) + " from vfeat")
 def _(spark, sf):

@@ -228,6 +228,14 @@ def driver_text(contributions: DataFrame, key: str, k: int = 3) -> DataFrame:
     return top.groupBy(key).agg(names("increase").alias("increasing"), names("decrease").alias("decreasing"))
 
 
+def driver_names(local: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """The same from the arrays of ``local_from_rows``, inside the row."""
+    def names(top: str) -> Column:
+        return F.array_join(F.transform(F.slice(top, 1, k), lambda e: e["feature"]), ", ")
+
+    return local.select(key, names("top_increasing").alias("increasing"), names("top_decreasing").alias("decreasing"))
+
+
 def case_studies(df: DataFrame, key: str, y: str, p: str, threshold: float) -> DataFrame:
     """The extreme entity of each confusion quadrant; an empty quadrant has no row.
 

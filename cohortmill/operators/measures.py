@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortmill.config import Features
 from cohortmill.functions.columns import count_where, sql_text
@@ -18,6 +18,22 @@ def wide_features(df: DataFrame, key: str, columns: tuple[str, ...],
     return df.groupBy(key).agg(*aggregates, F.count(F.lit(1)).alias(total))
 
 
+def event_order(df: DataFrame, offset: str, order: str) -> Column:
+    """(offset, tie-break) as one value to order by, nulls first.
+
+    Whole numbers are packed into a decimal, which a hash aggregate can hold;
+    anything else is a struct, for which Spark sorts the rows first. A whole
+    offset must have at most 16 digits; more raise an error.
+    """
+    if not all(isinstance(df.schema[c].dataType, T.IntegralType) for c in (offset, order)):
+        return F.struct(offset, order)
+    at = F.expr(f"case when abs(`{offset}`) < 10000000000000000 then cast(`{offset}` as decimal(16, 0)) "
+                f"when `{offset}` is null then -10000000000000000BD "
+                "else cast(raise_error('offset of more than 16 digits') as decimal(16, 0)) end")
+    tie = F.expr(f"coalesce(cast(`{order}` as decimal(19, 0)), -9223372036854775809BD)")
+    return at * F.expr("20000000000000000000BD") + tie
+
+
 def long_summaries(df: DataFrame, key: str, name: str, value: str, offset: str, order: str) -> DataFrame:
     """One row per (entity, name): first, last, min, max, sum, counts.
 
@@ -25,7 +41,7 @@ def long_summaries(df: DataFrame, key: str, name: str, value: str, offset: str,
     tie-break). All aggregates combine before the shuffle, so an entity with a
     large share of the rows costs one row per name and task.
     """
-    at = F.when(F.col(value).isNotNull(), F.struct(offset, order))
+    at = F.when(F.col(value).isNotNull(), event_order(df, offset, order))
     return df.groupBy(key, name).agg(
         F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"),
         F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"),

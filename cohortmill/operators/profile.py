@@ -245,6 +245,28 @@ def plausibility_long(df: DataFrame, name: str, value: str, bounds: tuple[Bound,
         bad.alias("out_of_bounds"), percent(bad, F.count(F.lit(1))).alias("out_of_bounds_pct"))
 
 
+def cleaning_audit(labs: DataFrame, vitals: DataFrame, preset: Preset) -> DataFrame:
+    """What masking nulls in measurements that are not masked yet: one row per bounded signal and measured name.
+
+    ``nullified`` counts values outside the bounds, ``negative_nullified`` those of
+    them below zero; ``source`` says where the bounds come from, if that is known.
+    """
+    known = {(t, b.name): b.source for t, bounds in (("lab", preset.long_bounds), ("vital", preset.wide_bounds))
+             for b in bounds if b.source}
+    wide = plausibility_wide(vitals, preset.wide_bounds).withColumnRenamed("signal", "name")
+    long = plausibility_long(labs, preset.roles.long_name, preset.roles.long_value, preset.long_bounds)
+    both = wide.withColumn("table_name", F.lit("vital")).unionByName(
+        long.withColumnRenamed(preset.roles.long_name, "name").withColumn("table_name", F.lit("lab")))
+    source = F.lit(None).cast("string")
+    for (table, name), text in known.items():
+        source = F.when((F.col("table_name") == table) & (F.col("name") == name), F.lit(text)).otherwise(source)
+    # A negative value inside its bounds stays.
+    low_negative = F.when(F.col("low") >= 0, F.col("negative_count"))
+    return both.select("table_name", "name", "low", "high", source.alias("source"), "total_non_null",
+                       F.col("out_of_bounds").alias("nullified"), F.col("out_of_bounds_pct").alias("nullified_pct"),
+                       low_negative.alias("negative_nullified"))
+
+
 # --- per-entity quality flags ---------------------------------------------------
 
 FLAGS = ("flag_missing_demographics", "flag_missing_target", "flag_missing_lab_data",

@@ -3,7 +3,7 @@
 A window without a partition key sorts the whole table in one task. Here a
 table holding one row per distinct value is cut into value ranges of about
 equal row count; each range is summed on its own, and the totals of the ranges
-before it (a table of at most ``groups x max_buckets`` rows) are added.
+before it (one row per group and range) are added.
 """
 
 from __future__ import annotations
@@ -12,31 +12,24 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill.functions.columns import sql_text
-from cohortmill.session import materialize
+from cohortmill.session import materialize, written
 
 BUCKET = "__range"
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 1024
-BROADCAST_ROWS = 1_000_000
 
 
-def range_edges(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE,
-                max_ranges: int = MAX_RANGES) -> list[float]:
-    """Inner edges of equal-frequency ranges; [] when one range is enough.
+def range_edges(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Inner edges of equal-frequency ranges, as many as the rows ask for; [] when one range is enough.
 
-    One job over a compact table. The edges only decide how the work is split,
-    so that they are approximate does not touch the result.
+    Reads a compact, materialised table. The edges only decide how the work is
+    split, so that they are approximate does not touch the result.
     """
-    probabilities = [i / max_ranges for i in range(1, max_ranges)]
-    rows, cuts = df.agg(
-        F.count(F.lit(1)),
-        F.percentile_approx(F.col(order).cast("double"), probabilities, 4 * max_ranges),
-    ).first()
-    wanted = min(max_ranges, -(-rows // rows_per_range))
-    if wanted <= 1 or not cuts:
+    wanted = -(-df.count() // rows_per_range)
+    if wanted <= 1:
         return []
-    step = max_ranges / wanted
-    return sorted({cuts[min(len(cuts) - 1, round(i * step) - 1)] for i in range(1, wanted)})
+    probabilities = [i / wanted for i in range(1, wanted)]
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probabilities, 4 * wanted)).first()[0]
+    return sorted(set(cuts or []))
 
 
 def assign_range(df: DataFrame, order: str, edges: list[float]) -> DataFrame:
@@ -63,21 +56,19 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Add a per-group table to many rows without moving the rows.
 
     Few groups would mean few, huge partitions in a shuffled join. The group
-    table is written and counted first; up to a million rows it is broadcast.
-    Only with more groups than that, when the key spreads well, is it shuffled.
-    Without keys it is one row and broadcast as it is.
+    table is written first, so Spark knows its bytes and broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``. Only with more groups than that,
+    when the key spreads well, is it shuffled. Without keys it is one row and
+    broadcast as it is.
     """
     if not keys:
         return rows.join(F.broadcast(per_group))
-    small = materialize(per_group)
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return same_keys(rows, small, keys, "inner")
+    return same_keys(rows, written(per_group), keys, "inner")
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, totals: dict[str, Column],
                    descending: bool = False, rows_per_range: int = ROWS_PER_RANGE,
-                   max_ranges: int = MAX_RANGES, edges: list[float] | None = None) -> DataFrame:
+                   edges: list[float] | None = None) -> DataFrame:
     """Add inclusive running sums of ``totals`` over ``order`` inside each group.
 
     ``df`` holds one row per (by, order) and is read more than once, so pass a
@@ -85,7 +76,7 @@ def running_totals(df: DataFrame, by: list[str], order: str, totals: dict[str, C
     ``edges``) and is laid out by them, it is not moved again.
     """
     if edges is None:
-        edges = range_edges(df, order, rows_per_range, max_ranges)
+        edges = range_edges(df, order, rows_per_range)
     ranged = df if BUCKET in df.columns else assign_range(df, order, edges)
     key = F.col(order).desc() if descending else F.col(order).asc()
     inside = (Window.partitionBy(*by, BUCKET).orderBy(key)

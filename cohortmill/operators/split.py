@@ -13,7 +13,7 @@ from cohortmill.session import materialize
 
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42,
-                size_cap: int = 3, prefix_chars: int = 2) -> DataFrame:
+                size_cap: int = 3, prefix_chars: int = 3) -> DataFrame:
     """(group, rows, positives, stratum, fold): every group in exactly one fold.
 
     Rows without a group are left to ``with_split``.

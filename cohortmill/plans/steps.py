@@ -66,20 +66,27 @@ def select_cohort(patient: DataFrame, preset: Preset, strategy: str = "visit_num
     return cohort.landmark(index, r.duration, preset.landmark)
 
 
-def window_and_mask(tables: Tables, keys: DataFrame, preset: Preset, check: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(labs, vitals) of the cohort inside the window with implausible values nulled."""
+def window_rows(tables: Tables, keys: DataFrame, preset: Preset, check: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labs, vitals) of the cohort inside the window, as measured."""
     r, w = preset.roles, preset.window
     labs = cohort.extract_window(tables.lab, keys, r.entity, r.long_offset, w)
     vitals = cohort.extract_window(tables.vital, keys, r.entity, r.wide_offset, w)
     if check:
         labs = cohort.assert_inside(labs, r.long_offset, w)
         vitals = cohort.assert_inside(vitals, r.wide_offset, w)
+    return labs, vitals
+
+
+def window_and_mask(tables: Tables, keys: DataFrame, preset: Preset, check: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labs, vitals) of the cohort inside the window with implausible values nulled."""
+    r = preset.roles
+    labs, vitals = window_rows(tables, keys, preset, check)
     return (clean.mask_long(labs, r.long_name, r.long_value, preset.long_bounds),
             clean.mask_wide(vitals, preset.wide_bounds))
 
 
 def build_cohort(tables: Tables, preset: Preset, strategy: str = "visit_number") -> dict[str, DataFrame]:
-    """Cohort, cleaned measurements, reports and coverage."""
+    """Cohort, cleaned measurements, audit of the cleaning, reports and coverage."""
     r = preset.roles
     entities = select_cohort(tables.patient, preset, strategy)
     keys = written(entities.select(r.entity))
@@ -90,6 +97,7 @@ def build_cohort(tables: Tables, preset: Preset, strategy: str = "visit_number")
         encoded, r.encounter, r.index_order)
     return {
         "cohort": entities, "labs": labs, "vitals": vitals,
+        "cleaning_audit": profile.cleaning_audit(*window_rows(tables, keys, preset), preset),
         "outcome_report": cohort.outcome_report(tables.patient, r.outcome),
         "index_report": (cohort.index_report_by_visit(encoded, r.visit, r.outcome.label) if strategy == "visit_number"
                          else cohort.index_report_by_order(encoded, r.encounter, r.index_order, r.outcome.label)),
@@ -101,9 +109,13 @@ def build_cohort(tables: Tables, preset: Preset, strategy: str = "visit_number")
 
 
 def build_features(tables: Tables, preset: Preset, strategy: str = "visit_number",
-                   reduce_first: bool = False) -> DataFrame:
+                   reduce_first: bool = False, check: bool = True) -> DataFrame:
     """One feature row per cohort entity.
 
+    With ``check`` a repeated entity, a label outside 0/1 or a column that gives
+    the outcome away is an error; the first two are read off the cohort alone,
+    since every other side of the joins has one row per entity.
+
     The cohort's keys are written, and by their bytes Spark decides whether they
     filter the measurements at the scan. With ``reduce_first`` the measurements
     are reduced to one row per entity before they meet the cohort, so that raw
@@ -111,6 +123,13 @@ def build_features(tables: Tables, preset: Preset, strategy: str = "visit_number
     """
     r, f, w = preset.roles, preset.features, preset.window
     entities = select_cohort(tables.patient, preset, strategy)
+    admission = measures.admission_features(entities, f)
+    groups = measures.feature_groups(f)
+    if check:
+        leaking = profile.leaking_columns([c for columns in groups.values() for c in columns])
+        if leaking:
+            raise ValueError(f"columns give the outcome away: {leaking}")
+        profile.require_model_table(profile.model_table_report(admission, r.entity, f.target, groups))
     labs = clean.in_window(tables.lab, r.long_offset, w)
     vitals = clean.in_window(tables.vital, r.wide_offset, w)
     if not reduce_first:
@@ -119,7 +138,7 @@ def build_features(tables: Tables, preset: Preset, strategy: str = "visit_number
     wide = measures.wide_features(clean.mask_wide(vitals, preset.wide_bounds), r.entity, f.wide)
     long = measures.long_features(clean.mask_long(labs, r.long_name, r.long_value, preset.long_bounds),
                                   r.entity, r.long_name, "labresult_num", r.long_offset, r.long_order, f.long)
-    return measures.assemble(measures.admission_features(entities, f), wide, long, r.entity, f)
+    return measures.assemble(admission, wide, long, r.entity, f)
 
 
 def feature_columns(df: DataFrame, preset: Preset) -> list[str]:
@@ -233,20 +252,24 @@ def explain_scores(rows: DataFrame, fitted: models.Fitted, names: list[str], key
     leaves = attribution.read_leaves(rows.sparkSession, model_path, fitted.family)
     attributed = materialize(attribution.tree_shap_rows(rows, key, leaves))
     long = attribution.long_contributions(attributed, key, names)
+    local = attribution.local_from_rows(attributed, key, names, k)
     return {"contributions": long, "global_importance": attribution.global_importance(long),
-            "local_contributions": attribution.local_from_rows(attributed, key, names, k),
-            "drivers": attribution.driver_text(long, key)}
+            "local_contributions": local, "drivers": attribution.driver_names(local, key)}
 
 
 def reliability_layer(training: Training, calibrated: Calibrated, features: DataFrame, flags: DataFrame | None,
                       preset: Preset, family: str | None = None, variant: str | None = None, resamples: int = 30,
-                      min_coverage: float = 0.60, seed: int = 42) -> tuple[dict[str, DataFrame], Artifacts]:
+                      min_coverage: float = 0.60, seed: int = 42, local: DataFrame | None = None,
+                      metadata: tuple[str, ...] = ()) -> tuple[dict[str, DataFrame], Artifacts]:
     """Ensemble spread, quality score, frozen thresholds and their evaluation on test.
 
     The ensemble is fitted once and used for validation, test and new rows. The
     model and variant are those chosen by ``calibrate_and_select`` unless named.
     ``scored`` and thresholds use all validation rows, as thresholds need no
-    calibrator of their own.
+    calibrator of their own. The report's records also hold the person, the
+    recorded outcome, the counts behind the quality score, the feature columns
+    in ``metadata`` and, where ``local`` (the local contributions of
+    ``explain_scores``) has the row, its strongest features of either direction.
     """
     family, variant = family or calibrated.family, variant or calibrated.variant
     key, target = preset.roles.entity, preset.features.target
@@ -261,12 +284,19 @@ def reliability_layer(training: Training, calibrated: Calibrated, features: Data
     args = ("y", "p", "boot_std", "data_quality_score")
     thresholds = reliability.choose_thresholds(scored.where("split = 'validation'"), *args, min_coverage=min_coverage)
     test = scored.where("split = 'test'")
+    extras = ["available_lab_count", "available_vital_count", "missing_feature_count", *metadata]
+    records = test.join(features.select(key, *extras), key).join(
+        training.part("test").select(key, preset.roles.person), key)
+    extras = [preset.roles.person, "y", *extras]
+    if local is not None:
+        records = records.join(local.select(key, "top_increasing", "top_decreasing"), key, "left")
+        extras += ["top_increasing", "top_decreasing"]
     tables = {
         "scored": scored,
         "strategy_metrics": reliability.evaluate_strategies(test, *args, thresholds),
         "risk_coverage": reliability.risk_coverage(test, *args),
-        "reliability_report": reliability.reliability_report(test, key, "p", "boot_mean", "boot_std",
-                                                             "data_quality_score", thresholds),
+        "reliability_report": reliability.reliability_report(records, key, "p", "boot_mean", "boot_std",
+                                                             "data_quality_score", thresholds, extras),
         "abstain_profile": reliability.abstain_profile(test, "boot_std", "data_quality_score", thresholds),
     }
     return tables, Artifacts(training.encoder, training.best[family], calibrated.platts[family], ensemble,

@@ -26,5 +26,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_json_metrics(df: DataFrame, path: str) -> None:
-    """Metric tables as JSON lines; metric tables are small by construction."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Metric tables as JSON lines; curves grow with the scores, so tasks write their own files."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, metrics: tuple[str, ...] = ()) -> dict[str, str]:
+    """Write the tables of a plan to folders of their names, those in ``metrics`` as JSON lines; returns the folders."""
+    folders = {name: f"{path}/{name}" for name in tables}
+    for name, df in tables.items():
+        if name in metrics:
+            write_json_metrics(df, folders[name])
+        else:
+            write_parquet(df, folders[name])
+    return folders

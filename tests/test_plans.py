@@ -98,7 +98,14 @@ def test_training_to_reliability(spark, inputs, features, tmp_path):
     assert calibrated.catalog.where("val_ece = 0").count() == 0
     chosen = models.champion(calibrated.scorecard).first()
     assert (calibrated.family, calibrated.variant) == (chosen["model"], chosen["best_variant"])
-    out, artifacts = steps.reliability_layer(training, calibrated, features, flags, P, resamples=4)
+    out, artifacts = steps.reliability_layer(training, calibrated, features, flags, P, resamples=4, local=local,
+                                             metadata=("age_numeric", "unittype"))
+    record = out["reliability_report"].first().asDict()
+    assert {R.person, "y", "available_lab_count", "missing_feature_count", "age_numeric", "unittype"} <= set(record)
+    assert record["top_increasing"] is not None and out["reliability_report"].count() == training.part("test").count()
+    drivers = explained["drivers"].join(attribution.driver_text(explained["contributions"], R.entity).withColumnsRenamed(
+        {"increasing": "i", "decreasing": "d"}), R.entity)
+    assert drivers.count() == local.count() and drivers.where("increasing <> i or decreasing <> d").count() == 0
     assert (artifacts.fitted, artifacts.variant) == (training.best[calibrated.family], calibrated.variant)
     for variant in ("uncalibrated", "sigmoid_platt", "isotonic"):
         tables_out, frozen = steps.reliability_layer(training, calibrated, features, flags, P, "logistic", variant, resamples=2)
@@ -128,6 +135,25 @@ def test_dashboard(inputs, features):
     assert out["baseline_profile"].count() > 100
 
 
+def test_plan_tables_are_written(spark, tmp_path, inputs):
+    out = steps.build_cohort(inputs, P)
+    folders = sinks.write_tables({k: out[k] for k in ("cohort", "cleaning_audit", "coverage")}, str(tmp_path / "t"), ("coverage",))
+    for name in ("cohort", "cleaning_audit"):
+        back = readers.read_parquet(spark, folders[name])
+        assert back.columns == out[name].columns and back.exceptAll(out[name]).count() == 0 == out[name].exceptAll(back).count()
+    assert {r["table_name"] for r in readers.read_json_metrics(spark, folders["coverage"], lines=True).collect()} == {"lab", "vital"}
+    audit = out["cleaning_audit"].where("table_name = 'vital' and name = 'sao2'").first()
+    raw = steps.window_rows(inputs, out["cohort"].select(R.entity), P)[1]
+    assert audit["nullified"] == raw.where("sao2 < 50 or sao2 > 100").count() > 0
+    assert audit["total_non_null"] - audit["nullified"] == out["vitals"].where("sao2 is not null").count()
+
+
+def test_plan_refuses_repeated_entities(inputs):
+    twice = steps.Tables(inputs.patient.unionByName(inputs.patient), inputs.lab, inputs.vital)
+    with pytest.raises(ValueError, match="duplicate"):
+        steps.build_features(twice, P)
+
+
 def test_feature_guard(features):
     with pytest.raises(ValueError):
         steps.feature_columns(features.withColumn("unitdischargeoffset", F.lit(1)), P)
@@ -190,7 +216,7 @@ def test_lab_features_shuffle_reduced_rows_only(spark, tmp_path):
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning") == 2
     assert re.findall(r"\w+Join", initial) == ["BroadcastHashJoin"]
-    assert "partial_min_by" in initial
+    assert "partial_min_by" in initial and "SortAggregate" not in initial
     assert "GreaterThanOrEqual(labresultoffset,0)" in plan and "LessThanOrEqual(labresultoffset,1440)" in plan
 
 
@@ -217,12 +243,11 @@ def test_no_window_over_all_rows(spark, sf):
     assert all("stratum" in node for node in re.findall(r"Window \[(.*?)\n", folds))
 
 
-def test_grid_copies_rows_after_the_only_move(spark, sf):
+def test_grid_copies_rows_after_the_running_sums(spark, sf):
     scored = view(spark, sf, "fx_scored")
     plan = physical(reliability.threshold_grid(scored, "y", "p", "ustd", "dq", [0.1, 0.2], [0.4, 0.5], rows_per_range=100))
     below = plan[plan.index("Window ["):]
-    assert below.index("Generate inline") < below.index("Exchange hashpartitioning(__range")
-    assert "Exchange" not in below[:below.index("Generate inline")]
+    assert "Generate inline" not in below and "Exchange hashpartitioning(__range" in below
 
 
 def test_large_cohort_keeps_raw_rows_unshuffled(spark, inputs):
