@@ -10,7 +10,8 @@ from checks.registry import CLINICAL, FEATURES, QUALITY_CUT, R, SPREAD_CUT, d, n
 from checks.views import view
 from cohortmill import presets
 from cohortmill.functions.columns import poisson_one_cdf
-from cohortmill.operators import attribution, bootstrap, clean, measures, reliability
+from cohortmill.operators import attribution, bootstrap, clean, curves, measures, reliability
+from cohortmill.operators.running import exact_quantiles
 from cohortmill.plans import steps
 from cohortmill.session import materialize
 
@@ -160,6 +161,55 @@ def _(spark, sf):
     return grid(spark, sf)
 
 
+RANGED = 1000
+RANGED_U, RANGED_Q = (0.1, 0.2, 0.28), (0.4, 0.7)
+
+
+def full(spark, sf):
+    return view(spark, sf, "fx_full")
+
+
+# Area under the curve from average ranks: ties take the middle of their places.
+step("fullranks", "select *, rank() over (partition by unittype order by p) + (count(*) over (partition by unittype, p) - 1) / 2.0::double r from fx_full")
+
+
+@query("auroc_ranged", f"""
+select unittype, count(*) n, {n("sum(y)", "n_pos")},
+  {d("(sum(r) filter (where y = 1) - sum(y)::double * (sum(y) + 1) / 2) / nullif(sum(y)::double * sum(1 - y), 0)", "auroc")}
+from fullranks group by unittype""")
+def _(spark, sf):
+    """Nearly all scores differ, and a range holds 1,000 of them."""
+    return curves.ranking_metrics(full(spark, sf), "y", "p", ["unittype"], rows_per_range=RANGED).select(
+        "unittype", "n", "n_pos", "auroc")
+
+
+@query("quantiles_ranged", f"""
+select unittype, count(*) n, {d("quantile_cont(p, 0.25)", "q0")}, {d("quantile_cont(p, 0.5)", "q1")}, {d("quantile_cont(p, 0.99)", "q2")}
+from fx_full group by unittype""")
+def _(spark, sf):
+    return exact_quantiles(full(spark, sf), "p", [0.25, 0.5, 0.99], ["unittype"], rows_per_range=RANGED)
+
+
+@query("threshold_grid_ranged", f"""
+with cuts as (select * from (values {", ".join(f"({u}::double, {q}::double)" for u in RANGED_U for q in RANGED_Q)}) t(u, q)),
+x as (
+  select u, q, y, rank() over (partition by u, q order by p) + (count(*) over (partition by u, q, p) - 1) / 2.0::double r
+  from fx_full, cuts where ustd < u and dq >= q),
+g as (
+  select u, q, count(*) n, sum(y) np, sum(1 - y) nn,
+    (sum(r) filter (where y = 1) - sum(y)::double * (sum(y) + 1) / 2) / nullif(sum(y)::double * sum(1 - y), 0) auroc
+  from x group by u, q),
+e as (
+  select cuts.u, cuts.q, coalesce(n, 0) n, coalesce(n, 0)::double / (select count(*) from fx_full) coverage, auroc,
+    coalesce(n >= 10 and n::double / (select count(*) from fx_full) >= 0.1 and np > 0 and nn > 0, false) eligible
+  from cuts left join g on cuts.u = g.u and cuts.q = g.q)
+select {d("u", "thresh_u")}, {d("q", "thresh_dq")}, n n_accepted, {d("coverage")}, eligible,
+  {d("case when eligible then auroc end", "auroc_accepted")} from e""")
+def _(spark, sf):
+    return reliability.threshold_grid(full(spark, sf), *ARGS, list(RANGED_U), list(RANGED_Q), min_coverage=0.1,
+                                      rows_per_range=RANGED)
+
+
 @query("threshold_choice", f"""
 select {d("u", "thresh_u")}, {d("q", "thresh_dq")}, {d("coverage")}, {d("case when eligible then auroc else 0 end", "auroc_accepted")}, eligible
 from grid order by eligible desc, case when eligible then auroc end desc nulls last,

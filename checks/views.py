@@ -78,7 +78,18 @@ from (select patientunitstayid, uniquepid, unittype,
       from <fx_patient> where hospitaldischargestatus in ('Alive', 'Expired')) s
 """
 
-VIEWS = {"fx_patient": PATIENT, "fx_vital": VITAL, "fx_lab": LAB, "fx_scored": SCORED}
+#: The same scores unrounded, but for every fifth row: nearly all differ, some tie.
+SCORED_FULL = """
+select patientunitstayid, unittype, y, case when patientunitstayid % 5 = 0 then round(p, 2) else p end p, ustd, dq
+from (select patientunitstayid, unittype, y,
+        least(0.999, greatest(0.001, 0.02 + 0.35 * u * u + 0.25 * y * u)) p, 0.05 + 0.25 * u2 ustd, 0.3 + 0.7 * u3 dq
+      from (select patientunitstayid, unittype,
+              case when hospitaldischargestatus = 'Expired' then 1 else 0 end y,
+              <unit:patientunitstayid> u, <unit:patientunitstayid + 1000003> u2, <unit:patientunitstayid + 2000003> u3
+            from <fx_patient> where hospitaldischargestatus in ('Alive', 'Expired')) r) s
+"""
+
+VIEWS = {"fx_patient": PATIENT, "fx_vital": VITAL, "fx_lab": LAB, "fx_scored": SCORED, "fx_full": SCORED_FULL}
 BASE = ("orders", "customer", "lineitem")
 
 
