@@ -1,16 +1,16 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination by exact pieces of items and exact edit distance.
 
 A document leaks an item if some stretch of its words is at most ``edits`` (a
 share of the item's words) insertions, deletions and replacements away from the
 item's words. Words are letters, digits and anything beyond ASCII, A-Z in lower
 case.
 
-Every window of an item's size is a candidate. A CGK random walk copies its
-words to a longer string, staying on a word or moving on by a random bit of the
-word, so that a small edit distance becomes a small Hamming distance. A key is a
-few sampled places of that string; windows and items that share a key in one of
-the repetitions are compared exactly. Before the walk, windows that hold too few
-words of an item to be within the edits are left out, which loses nothing.
+An item with a budget of b edits is cut into b + 1 pieces. Each edit touches one
+piece at most, so every stretch within the budget holds one of them unchanged,
+at most b words from its place: looking the pieces up loses nothing, at any
+length and for any kind of edit. Before that, places with too few words of an
+item to be within the edits are left out, which loses nothing either. What
+remains is compared exactly, over all words such a stretch can reach.
 
 Texts are not shuffled: the items go to the texts, in blocks of bounded size.
 """
@@ -25,13 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortmill.llm import base
-from cohortmill.llm.words import PUNCTUATION, Group, groups, spelling, word_hashes
+from cohortmill.llm.words import PUNCTUATION, Group, groups, mixed, spelling, word_hashes
 
 #: Share of an item's words that may differ, and the fewest words an item needs to be looked for.
 EDITS, LEAST_WORDS = 0.2, 5
-#: Repetitions of the sampling, and places per key.
-REPETITIONS, PLACES = 24, 3
-SEED = 20240501
 #: Items and bytes of item text that go to the tasks at once.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Words that occur in at most this many items of a block count as telling.
@@ -46,7 +43,8 @@ class Items(NamedTuple):
 
     telling and telling_items: the items' telling words, sorted, each with its
     item. needed: telling words that a stretch must hold; where that is none,
-    the item's length class is plain.
+    the item's length class is plain. pieces: per size (size, sorted keys, and
+    each key's item and place in the item).
     """
     ids: list[Any]
     words: list[np.ndarray]
@@ -59,34 +57,40 @@ class Items(NamedTuple):
     needed: np.ndarray
     plain: np.ndarray
     length_budgets: np.ndarray
-    walks: np.ndarray
-    sampled: np.ndarray
-    keys: np.ndarray
-    key_items: np.ndarray
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def keys_of(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: np.ndarray, walks: np.ndarray,
-            sampled: np.ndarray) -> np.ndarray:
-    """LSH keys (repetition, window) of windows ``words[start:start + size]`` with a length class each."""
-    repetitions, steps = walks.shape
-    at = np.zeros((repetitions, len(starts)), np.int64)
-    keys = np.full((repetitions, len(starts)), 7, np.uint64)
-    last = max(len(words) - 1, 0)
-    for step in range(steps):
-        here = words[np.minimum(starts + at, last)] if len(words) else np.zeros(at.shape, np.uint64)
-        here = np.where(at < sizes, here, np.uint64(0))
-        keys = np.where(sampled[:, step][:, classes], keys * np.uint64(0x9E3779B97F4A7C15) + here, keys)
-        at += ((here * walks[:, step][:, None]) >> np.uint64(63)).astype(np.int64)
-    salt = np.arange(repetitions, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
-    return (keys ^ (keys >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) + salt + classes.astype(np.uint64)
-
-
-def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS, repetitions: int = REPETITIONS,
-            places: int = PLACES) -> Items | None:
+def piece_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the ``size`` words from each place of ``at``."""
+    keys = np.full(len(at), size, np.uint64)
+    for i in range(size):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + words[at + i])
+    return keys
+
+
+def pieces_of(words: list[np.ndarray], budgets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The index of all items' pieces: one piece more than an item's budget, as equal as can be."""
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for i, (w, budget) in enumerate(zip(words, budgets.tolist())):
+        n = min(budget + 1, len(w))
+        cuts = [j * len(w) // n for j in range(n + 1)]
+        for a, b in zip(cuts, cuts[1:]):
+            by_size.setdefault(b - a, []).append((i, a))
+    flat, first = np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    out = []
+    for size, places in sorted(by_size.items()):
+        item, offset = np.array(places, np.int64).T
+        keys = piece_keys(flat, first[item] + offset, size)
+        order = np.argsort(keys, kind="stable")
+        out.append((size, keys[order], item[order], offset[order]))
+    return out
+
+
+def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS) -> Items | None:
     """The search structure of some items; None if none has ``LEAST_WORDS`` words."""
     how = spelling(PUNCTUATION, lower=True)
     read = [(i, word_hashes(t or "", how)) for i, t in items]
@@ -107,19 +111,8 @@ def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS, repetitio
     pairs = np.array([(w, i) for i, ws in enumerate(own) for w in ws.tolist()], np.uint64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     plain = np.isin(np.arange(len(lengths)), classes[needed < 1])
-    rng = np.random.default_rng(SEED)
-    steps = 2 * int(lengths.max())
-    walks = rng.integers(0, 1 << 63, (repetitions, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    sampled = np.zeros((repetitions, steps, len(lengths)), bool)
-    for c, n in enumerate(lengths):
-        for r in range(repetitions):
-            sampled[r, rng.choice(2 * n, min(places, 2 * n), replace=False), c] = True
-    flat, starts = np.concatenate(words), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    keys = keys_of(flat, starts, sizes, classes, walks, sampled)
-    owner = np.broadcast_to(np.arange(len(ids)), keys.shape).ravel()
-    order = np.argsort(keys.ravel(), kind="stable")
     return Items(ids, words, budgets, lengths, classes, known, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), needed,
-                 plain, np.floor(lengths * edits + 1e-9).astype(np.int64), walks, sampled, keys.ravel()[order], owner[order])
+                 plain, np.floor(lengths * edits + 1e-9).astype(np.int64), pieces_of(words, budgets))
 
 
 def gathered(group: Group, items: Items, known: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,37 +145,80 @@ def gathered(group: Group, items: Items, known: np.ndarray, ends: np.ndarray) ->
     return both % (len(words) + 1), both // (len(words) + 1)
 
 
-def lanes(group: Group, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, size, length class) of the windows that hold enough of the items' words."""
-    known = items.known[_place(group.hashes)]
-    ends = np.repeat(group.bounds[1:], np.diff(group.bounds))
-    start, item = gathered(group, items, known, ends)
-    both = np.unique(start * len(items.lengths) + items.classes[item])
-    starts, classes = [both // len(items.lengths)], [both % len(items.lengths)]
-    # Items without enough telling words: windows with enough words of any item.
+def crowded(group: Group, items: Items, known: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, length class) of windows in places with enough words of any item, for the plain classes."""
+    starts, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     before, every = np.concatenate(([0], np.cumsum(known))), np.flatnonzero(known)
     for c in np.flatnonzero(items.plain):
         stop = np.minimum(every + items.lengths[c], ends[every])
         chosen = every[before[stop] - before[every] >= items.lengths[c] - items.length_budgets[c]]
         starts.append(chosen)
         classes.append(np.full(len(chosen), c))
-    start, c = np.concatenate(starts), np.concatenate(classes)
+    return np.concatenate(starts), np.concatenate(classes)
+
+
+def screened(group: Group, items: Items) -> tuple[np.ndarray, ...]:
+    """known words, row ends, and the windows of ``gathered`` and ``crowded``."""
+    known = items.known[_place(group.hashes)]
+    ends = np.repeat(group.bounds[1:], np.diff(group.bounds))
+    return known, ends, *gathered(group, items, known, ends), *crowded(group, items, known, ends)
+
+
+def lanes(group: Group, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, size, length class) of the windows that hold enough of the items' words."""
+    _, ends, start, item, more, plain = screened(group, items)
+    both = np.unique(start * len(items.lengths) + items.classes[item])
+    start = np.concatenate((both // len(items.lengths), more))
+    c = np.concatenate((both % len(items.lengths), plain))
     return start, np.minimum(start + items.lengths[c], ends[start]) - start, c
 
 
-def candidates(group: Group, items: Items) -> list[tuple[int, int, int]]:
-    """(row, first word in the row, item) of windows that share a key with an item."""
-    starts, sizes, classes = lanes(group, items)
-    out: set[tuple[int, int, int]] = set()
-    for lo in range(0, len(starts), 1 << 14):
-        part = slice(lo, lo + (1 << 14))
-        keys = keys_of(group.hashes, starts[part], sizes[part], classes[part], items.walks, items.sampled)
-        first, last = np.searchsorted(items.keys, keys), np.searchsorted(items.keys, keys, side="right")
-        for r, i in zip(*np.nonzero(first < last)):
-            start = int(starts[part][i])
-            row = int(np.searchsorted(group.bounds, start, side="right")) - 1
-            out.update((row, start - int(group.bounds[row]), int(item)) for item in items.key_items[first[r, i]:last[r, i]])
-    return sorted(out)
+def candidates(group: Group, items: Items) -> list[tuple[int, int, int, int]]:
+    """(row, item, first word, end) of what must be searched, in order and without overlap.
+
+    A piece counts where a window of the screen begins within the item's budget
+    of where the piece puts the item's first word; the nearest stretch begins
+    with such a window.
+    """
+    words, n = group.hashes, len(group.hashes)
+    known, ends, start, item, more, plain = screened(group, items)
+    cover = np.zeros(n + 1, np.int64)
+    for first, c in ((start, items.classes[item]), (more, plain)):
+        np.add.at(cover, first, 1)
+        np.add.at(cover, np.minimum(first + items.lengths[c] + items.length_budgets[c], ends[first]), -1)
+    inside = known & (np.cumsum(cover[:-1]) > 0)
+    missing = np.concatenate(([0], np.cumsum(~inside)))
+    # Windows of single items, and of length classes behind them, as one sorted list.
+    span = n + 1
+    windows = np.sort(np.concatenate((item * span + start, (len(items.ids) + plain) * span + more)))
+    found = [np.zeros((0, 3), np.int64)]
+    for size, keys, owner, offset in items.pieces:
+        at = np.flatnonzero(inside[:max(n - size + 1, 0)])
+        at = at[(missing[at + size] == missing[at]) & (at + size <= ends[at])]
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo:lo + (1 << 16)]
+            here = piece_keys(words, part, size)
+            low, high = np.searchsorted(keys, here), np.searchsorted(keys, here, side="right")
+            times = high - low
+            place = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            t, i = np.repeat(part, times), owner[place]
+            begin, budget = t - offset[place], items.budgets[i]
+            lane = np.where(items.needed[i] > 0, i, len(items.ids) + items.classes[i]) * span
+            near = np.searchsorted(windows, lane + np.maximum(begin - budget, 0)) < np.searchsorted(
+                windows, lane + np.clip(begin + budget, -1, n), side="right")
+            t, i, begin = t[near], i[near], begin[near]
+            row = np.searchsorted(group.bounds, t, side="right") - 1
+            found.append(np.stack((row, i, begin), axis=1))
+    out: list[tuple[int, int, int, int]] = []
+    for row, i, begin in np.unique(np.concatenate(found), axis=0).tolist():
+        size, budget = len(items.words[i]), int(items.budgets[i])
+        low = max(begin - budget, int(group.bounds[row]))
+        high = min(begin + size + budget, int(group.bounds[row + 1]))
+        if out and out[-1][:2] == (row, i) and low <= out[-1][3]:
+            out[-1] = (row, i, out[-1][2], high)
+        else:
+            out.append((row, i, low, high))
+    return out
 
 
 def best_match(item: list[int], text: list[int], budget: int) -> tuple[int, int, int] | None:
@@ -208,10 +244,14 @@ def best_match(item: list[int], text: list[int], budget: int) -> tuple[int, int,
         up, down = (right_down | ~(diagonal | right_up)) & full, right_up & diagonal
         if now < least:
             least, end = now, j + 1
+            if not least:
+                break
     if least > budget:
         return None
-    column = [(i, 0) for i in range(n + 1)]
-    for j, word in enumerate(text[:end]):
+    # A stretch within the budget is at most that much longer than the item.
+    since = max(0, end - n - budget)
+    column = [(i, since) for i in range(n + 1)]
+    for j, word in enumerate(text[since:end], since):
         before, column = column, [(0, j + 1)]
         for i in range(n):
             column.append(min((before[i][0] + (item[i] != word), before[i][1]),
@@ -223,18 +263,13 @@ def best_match(item: list[int], text: list[int], budget: int) -> tuple[int, int,
 def found_in(group: Group, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
     """Best (distance, first word, end word) by (row, item)."""
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    seen_to: dict[tuple[int, int], int] = {}
-    for row, start, item in candidates(group, items):
-        n, budget = len(items.words[item]), int(items.budgets[item])
-        best = out.get((row, item))
-        # Windows whose stretch has been searched already, or that can't be better.
-        if start + n <= seen_to.get((row, item), -1) or best and best[0] == 0:
+    for row, item, since, upto in candidates(group, items):
+        best, budget = out.get((row, item)), int(items.budgets[item])
+        if best and best[0] == 0:
             continue
-        low, words = int(group.bounds[row]), items.words[item].tolist()
-        since, upto = max(0, start - budget), min(int(group.bounds[row + 1]) - low, start + n + 2 * budget)
-        seen_to[row, item] = upto
-        match = best_match(words, group.hashes[low + since:low + upto].tolist(), budget)
+        match = best_match(items.words[item].tolist(), group.hashes[since:upto].tolist(), budget)
         if match and (best is None or match[0] < best[0]):
+            since -= int(group.bounds[row])
             out[row, item] = (match[0], match[1] + since, match[2] + since)
     return out
 

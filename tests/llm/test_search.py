@@ -185,6 +185,47 @@ def test_screen_loses_nothing():
                                for s, n in near if n == len(item) and a <= s < b)
 
 
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert", "mixed"])
+@pytest.mark.parametrize("size", [5, 15, 40, 58, 100, 200])
+def test_no_leak_at_the_full_budget_is_lost(size, kind):
+    rnd = random.Random(f"{size} {kind}")
+    # Words that all items share leave no telling word; half of the items have only such words.
+    shared, found = [f"s{i}" for i in range(80)], 0
+    items = [[rnd.choice(shared) if i % 2 else f"w{i}x{j}" for j in range(size)] for i in range(40)]
+    model, budget = decontaminate.prepare([(i, " ".join(w)) for i, w in enumerate(items)]), size // 5
+    docs = []
+    for item in items:
+        body = [[w] for w in item]
+        for at in rnd.sample(range(size), budget):
+            how = rnd.choice(["replace", "delete", "insert"]) if kind == "mixed" else kind
+            body[at] = {"replace": ["odd"], "delete": [], "insert": ["odd", *body[at]]}[how]
+        docs.append([*["before"] * 30, *[w for ws in body for w in ws], *["after"] * 30])
+    for group in words.groups(pa.array([" ".join(d) for d in docs]), words.spelling(words.PUNCTUATION, True), 1 << 14):
+        got = decontaminate.found_in(group, model)
+        for row in range(len(group.bounds) - 1):
+            i = group.first + row
+            distance, first, end = got[row, i]
+            assert distance == edit_share(items[i], docs[i]) <= budget
+            assert edit_share(items[i], docs[i][first:end]) == distance
+            found += 1
+    assert found == 40
+
+
+def test_the_nearest_of_several_stretches_is_found():
+    item = [f"w{j}" for j in range(20)]
+    worse = ["x", *item[1:6], "x", *item[7:12], "x", *item[13:18], "x", item[19]]
+    none = decontaminate.prepare([(1, " ".join(item))])
+    for text in ("", "a b", "w1 w2", " ".join(item[::-1])):
+        for group in words.groups(pa.array([text]), words.spelling(words.PUNCTUATION, True)):
+            assert decontaminate.found_in(group, none) == {}
+    for gap in range(0, 12):
+        better = [*item[:9], "y", *item[10:]]
+        body = " ".join([*worse, *["z"] * gap, *better])
+        model = decontaminate.prepare([(1, " ".join(item))])
+        for group in words.groups(pa.array([body]), words.spelling(words.PUNCTUATION, True)):
+            assert decontaminate.found_in(group, model)[0, 0] == (1, 20 + gap, 40 + gap)
+
+
 def test_leaks_without_items_or_documents(spark):
     docs, none = spark.createDataFrame([(1, "a b c d e f")], TEXTS), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leaks(docs, none).collect() == []
