@@ -36,9 +36,11 @@ MARKOV = "markov"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: A run that the models judge, the least mean log-likelihood ratio, and the smoothing mass per state.
 RUN = Kind(MARKOV, r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+#: Two characters that the models count, and an ordinary word.
+PAIR, WORD = "[A-Za-z0-9+/_=-]{2}", "[A-Za-z_]{4,}"
 THRESHOLD = 1.0
 SMOOTHING = 8.0
-#: Documents whose strings train the models; those with the smallest hash of their key.
+#: Documents whose strings train each model; those with the smallest hash of their key among those that hold such strings.
 TRAINING_DOCUMENTS = 2000
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -72,23 +74,36 @@ def base_spans(text: Column) -> Column:
 
 def labelled_strings(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      documents: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """Strings (string, random) of a bounded sample of documents.
+    """Strings (string, random) of a bounded sample of documents for each class.
 
     Random: what the fixed patterns find (the value, for assignments).
     Ordinary: words of letters and underscores in the text without those.
+    Each class is drawn from the documents of the whole table that hold such
+    strings, so a class is empty only if the table has none. Documents without
+    a key are drawn by their text.
     """
-    ids = docs.select(base.named(key).alias("_id")).filter("_id is not null").distinct().orderBy(
-        F.xxhash64("_id"), "_id").limit(documents)
-    sample = docs.select(base.named(key).alias("_id"), base.named(text).alias("text")).join(
-        F.broadcast(ids), "_id", "leftsemi")
-    hits = [F.regexp_extract_all("text", F.lit(k.pattern), F.lit(k.group)) for k in BASE_KINDS]
+    body, own = base.named(text), base.named(key)
+    hits = F.filter(F.concat(*[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(k.group)) for k in BASE_KINDS]),
+                    lambda h: (F.length(h) >= ASSIGN.least) & h.rlike(PAIR))
     rest = F.col("text")
     for k in BASE_KINDS:
         rest = F.regexp_replace(rest, k.pattern, " ")
-    random = sample.select(F.explode(F.concat(*hits)).alias("string"), F.lit(True).alias("random")).filter(
-        F.length("string") >= ASSIGN.least)
-    words = sample.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z_]{4,}"), F.lit(0))).alias("string"),
-                          F.lit(False).alias("random"))
+    some = F.lit(False)
+    for k in BASE_KINDS:
+        some = some | F.col("text").rlike(k.pattern)
+    keyed = docs.select(F.when(own.isNull(), F.xxhash64(body)).otherwise(F.xxhash64(own)).alias("_id"), body.alias("text"))
+    holds = base.stored(keyed.filter("text is not null").withColumn("_some", some).select(
+        "_id", F.when(F.col("_some"), F.size(hits) > 0).otherwise(False).alias("random"),
+        F.when(F.col("_some"), rest).otherwise(F.col("text")).rlike(WORD).alias("ordinary")).filter(
+        "random or ordinary"), "secret-classes")
+
+    def drawn(label: str) -> DataFrame:
+        ids = holds.filter(label).select("_id").distinct().orderBy("_id").limit(documents)
+        return keyed.join(F.broadcast(ids), "_id", "leftsemi")
+
+    random = drawn("random").select(F.explode(hits).alias("string"), F.lit(True).alias("random"))
+    words = drawn("ordinary").select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("string"),
+                                     F.lit(False).alias("random"))
     return random.unionByName(words)
 
 
@@ -101,7 +116,7 @@ def fit(samples: DataFrame) -> list[float] | None:
     at = F.explode(F.sequence(F.lit(1), F.length("string") - 1)).alias("i")
     pairs = samples.filter(F.length("string") > 1).select("random", "string", at).select(
         "random", F.substr("string", F.col("i"), F.lit(2)).alias("pair"))
-    counts = pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").count().collect()
+    counts = pairs.filter(F.col("pair").rlike(f"^{PAIR}$")).groupBy("random", "pair").count().collect()
     n = len(ALPHABET)
     tables = {}
     for label in (True, False):
