@@ -142,12 +142,25 @@ def ratio(string: Column, model: list[float]) -> Column:
 
 
 def markov_spans(text: Column, model: list[float] | None, known: Column, threshold: float = THRESHOLD) -> Column:
-    """Spans of runs that look random and overlap no span of ``known``."""
+    """Spans that look random: of every run, what the spans of ``known`` (by start) leave, in pieces."""
     if model is None:
         return F.array().cast(SPAN)
-    runs = F.filter(found(text, RUN, len(BASE_KINDS)), lambda s: ~F.exists(
-        known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
-    return F.filter(runs, lambda s: ratio(F.substr(text, s["start"] + 1, s["end"] - s["start"]), model) >= threshold)
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.when(end - start >= RUN.least, F.array(F.struct(
+            start.alias("start"), F.lit(len(BASE_KINDS)).alias("kind"), end.alias("end")))).otherwise(F.array().cast(SPAN))
+
+    def left(run: Column) -> Column:
+        def cut(acc: Column, k: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], k["end"]).alias("at"),
+                            F.concat(acc["spans"], piece(acc["at"], k["start"])).alias("spans"))
+
+        inside = F.filter(known, lambda k: (k["start"] < run["end"]) & (run["start"] < k["end"]))
+        nothing = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(inside, nothing, cut, lambda acc: F.concat(acc["spans"], piece(acc["at"], run["end"])))
+
+    pieces = F.flatten(F.transform(found(text, RUN, len(BASE_KINDS)), left))
+    return F.filter(pieces, lambda s: ratio(F.substr(text, s["start"] + 1, s["end"] - s["start"]), model) >= threshold)
 
 
 # --- operator -------------------------------------------------------------------------
