@@ -18,9 +18,14 @@ from pyspark.sql import DataFrame, types as T
 
 from cohortmill.llm import base
 
+#: An attribute's name, and its value: only right after = can a quote open a string that holds >; one that never closes
+#: ends with its tag.
+NAME = r"[^\s/>][^\s/>=]*+"
+VALUE = r"""\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]++)"""
 MARKUP = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']++|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+    rf"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|{NAME}(?:{VALUE.replace("(", "(?:")}|\s*+=)?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    re.S)
+ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE})?")
 HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

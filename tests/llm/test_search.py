@@ -391,6 +391,15 @@ def test_render(markup, text):
     assert html_text.render(markup) == text
 
 
+@pytest.mark.parametrize("markup, text", [
+    ('<p class="a"">text "quoted" more</p>', 'text "quoted" more'), ("<p data-x=it's>shown don't lose</p>", "shown don't lose"),
+    ('<p a"b>x "y" z</p>', 'x "y" z'), ("<p x=a=\"b>c 'd' \"e\"</p>", "c 'd' \"e\""), ("<p 'hidden>x</p>", "x"),
+    ("<p a = '>' b=\">\">x</p '>y", "x\n\ny"), ("<p a=>x", "x"), ("<p a= hidden>x", "x"), ("<p a=b hidden>x", ""),
+    ("<p title='a'hidden>x", "")])
+def test_stray_quotes_lose_no_text(markup, text):
+    assert html_text.render(markup) == text
+
+
 def test_render_keeps_every_visible_word_and_is_linear(spark):
     rnd = random.Random(6)
     tags = ["p", "div", "b", "li", "ul", "td", "tr", "table", "span", "blockquote", "h2", "dd", "pre"]
