@@ -26,7 +26,10 @@ MARKUP = re.compile(
     rf"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|{NAME}(?:{VALUE.replace("(", "(?:")}|\s*+=)?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S)
 ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE})?")
-HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Comments, strings and brackets of a style, which hold no declaration; and what can be a value's keyword.
+STYLE_ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
+KEYWORD = re.compile(r"[a-z-]+(?:\s+[a-z-]+)*")
+HIDING = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
@@ -69,7 +72,8 @@ class Node:
 def attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(raw):
-        out.setdefault(name.lower(), html.unescape(value.strip("\"'") if value[:1] in "\"'" else value))
+        quoted = value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0]
+        out.setdefault(name.lower(), html.unescape(value[1:-1] if quoted else value))
     return out
 
 
@@ -144,6 +148,18 @@ def tree(source: str) -> Node:
     return root
 
 
+def hiding(style: str) -> bool:
+    """Whether a style's declarations hide: of a property the last one counts, and important ones before others."""
+    last: dict[str, tuple[bool, str]] = {}
+    for declaration in STYLE_ASIDE.sub(" ", style.lower()).split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        name, value = name.strip(), value.strip()
+        if name in HIDING and KEYWORD.fullmatch(value) and bool(mark) >= last.get(name, (False,))[0]:
+            last[name] = (bool(mark), value)
+    return any(value in HIDING[name] for name, (_, value) in last.items())
+
+
 def hidden(node: Node) -> bool:
     if node.tag in UNSEEN:
         return True
@@ -153,7 +169,7 @@ def hidden(node: Node) -> bool:
     if "hidden" not in low and "none" not in low and "collapse" not in low:
         return False
     attrs = attributes(node.attrs)
-    return "hidden" in attrs or bool(HIDDEN_STYLE.search(attrs.get("style", "")))
+    return "hidden" in attrs or hiding(attrs.get("style", ""))
 
 
 class Page:

@@ -400,6 +400,15 @@ def test_stray_quotes_lose_no_text(markup, text):
     assert html_text.render(markup) == text
 
 
+@pytest.mark.parametrize("style, shown", [
+    ("-webkit-backface-visibility:hidden", True), ("color:red;backface-visibility: hidden", True), ("--display:none", True),
+    ("display:none;display:block", True), ("/* display:none */color:red", True), ("content:'a;display:none'", True),
+    ("visibility:hidden", False), ("color:red; Display : NONE !important; display:block", False), ("visibility:collapse", False),
+    ("a:b;/* c */display:none", False), ("display:block;display:none", False)])
+def test_only_hiding_declarations_hide(style, shown):
+    assert html_text.render(f'<p style="{style}">x</p>') == ("x" if shown else "")
+
+
 def test_render_keeps_every_visible_word_and_is_linear(spark):
     rnd = random.Random(6)
     tags = ["p", "div", "b", "li", "ul", "td", "tr", "table", "span", "blockquote", "h2", "dd", "pre"]
