@@ -34,15 +34,19 @@ HIDING = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist dialog "
-                   "audio video canvas object svg math select textarea".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist "
+                   "audio video canvas object select".split())
+#: Not shown where svg or math hold them; html elements that end an open svg or math.
+ASIDE = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                     "listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
 #: Blocks with a blank line around them, and blocks with a line break only.
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article section nav aside header footer main "
                       "figure fieldset form hr address".split())
 LINE = frozenset("div li dt dd tr caption figcaption legend details summary body html center thead tbody tfoot "
-                 "menu dir option optgroup".split())
+                 "menu dir option optgroup dialog textarea text".split())
 #: An opening tag in the set ends an open element of the key's kind, unless one of the barriers lies between.
-BLOCKS = (PARAGRAPH | LINE) - {"caption", "tr", "thead", "tbody", "tfoot", "option", "optgroup", "body", "html"}
+BLOCKS = (PARAGRAPH | LINE) - {"caption", "tr", "thead", "tbody", "tfoot", "option", "optgroup", "body", "html", "textarea", "text"}
 CLOSED_BY = {
     "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
     "optgroup": {"optgroup"}, "td": {"td", "th", "tr", "thead", "tbody", "tfoot"},
@@ -63,10 +67,10 @@ SPACE = re.compile(r"[\x20\t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "foreign")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    def __init__(self, tag: str, attrs: str, parent: Node | None, foreign: bool = False):
+        self.tag, self.attrs, self.parent, self.children, self.foreign = tag, attrs, parent, [], foreign
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -120,6 +124,11 @@ def tree(source: str) -> Node:
             elif tag in ("p", "br"):
                 here.children.append(Node(tag, "", here))
             continue
+        foreign = bool(opened.get("svg") or opened.get("math")) and not opened.get("foreignobject")
+        if foreign and tag in BREAKOUT and not opened.get("annotation-xml"):
+            while opened.get("svg") or opened.get("math"):
+                here = close(nearest({"svg", "math"}, ()))
+            foreign = False
         if (ends := CLOSERS.get(tag)) and any(opened.get(t) for t in ends):
             while True:
                 live = {t for t in ends if opened.get(t)}
@@ -132,14 +141,15 @@ def tree(source: str) -> Node:
             here.children.append(row := Node("tr", "", here))
             here = row
             opened["tr"] = opened.get("tr", 0) + 1
-        here.children.append(node := Node(tag, match[3], here))
-        if tag in VOID or match[3].endswith("/") and tag in ("svg", "path"):
+        here.children.append(node := Node(tag, match[3], here, foreign))
+        if tag in VOID or match[3].endswith("/") and (foreign or tag in ("svg", "math", "path")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             stop, after = (end.start(), end.end()) if end else (len(source), len(source))
             if tag not in ("script", "style"):
-                node.children.append(html.unescape(source[at:stop]))
+                content = html.unescape(source[at:stop])
+                node.children.append(re.sub(r"\A\r?\n", "", content) if tag == "textarea" else content)
             at = after
             continue
         here = node
@@ -161,7 +171,9 @@ def hiding(style: str) -> bool:
 
 
 def hidden(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.foreign and node.tag in ASIDE:
+        return True
+    if node.tag == "dialog" and "open" not in attributes(node.attrs):
         return True
     if not node.attrs:
         return False
@@ -289,7 +301,7 @@ def render(source: str | None) -> str:
                     page.end_line()
                 page.block(2)
                 continue
-            if tag == "pre":
+            if tag in ("pre", "textarea"):
                 keep -= 1
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
@@ -349,7 +361,7 @@ def render(source: str | None) -> str:
             page.block(1 if page.mark else 2)
         elif tag in LINE:
             page.block(1)
-        if tag == "pre":
+        if tag in ("pre", "textarea"):
             keep += 1
         stack.append((node, True))
         stack.extend((c, False) for c in reversed(node.children))

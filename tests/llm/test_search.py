@@ -409,6 +409,17 @@ def test_only_hiding_declarations_hide(style, shown):
     assert html_text.render(f'<p style="{style}">x</p>') == ("x" if shown else "")
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><circle r='1'/><text>Jan</text><text>Feb</text></svg>z", "Jan\nFeb\nz"),
+    ("<svg><defs/><metadata>m</metadata><text>one <tspan>two</tspan></text></svg>", "one two"),
+    ("<svg><defs><p>x", "x"), ("<desc>x</desc>", "x"), ("a<textarea>\nb &amp;\n c</textarea>d", "a\nb &\n c\nd"),
+    ("a<dialog>no</dialog><dialog open>yes</dialog>b", "a\nyes\nb"), ("<dialog class='open'>no</dialog>x", "x"),
+    ("<table><tr><td><svg><text>in</text></svg></td><td>b</table>", "in  b")])
+def test_shown_elements_keep_their_text(markup, text):
+    assert html_text.render(markup) == text
+
+
 def test_render_keeps_every_visible_word_and_is_linear(spark):
     rnd = random.Random(6)
     tags = ["p", "div", "b", "li", "ul", "td", "tr", "table", "span", "blockquote", "h2", "dd", "pre"]
