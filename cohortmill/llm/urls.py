@@ -26,10 +26,12 @@ class Rule(NamedTuple):
 # The rules of the query.
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
          Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
-#: Share of rank that follows links, number of rounds, and the share of distrust that blocks a host.
+#: Share of rank that follows links, least number of rounds, and the share of distrust that blocks a host.
 DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
-#: Targets of links in markup that name a host.
-LINK = r"""(?i:href|src)\s*=\s*["']?([A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+)"""
+#: Rounds end when no host's rank changes by more than this share of it.
+TOLERANCE = 1e-6
+#: Targets of links in markup that name a host, with or without a scheme.
+LINK = r"""(?i:href|src)\s*=\s*["']?\s*((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\s"'<>]+)"""
 
 
 def rest_of(url: Column) -> Column:
@@ -42,6 +44,11 @@ def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(rest_of(url), r"^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def target_host(link: Column) -> Column:
+    """The host of a link's target; one that begins with ``//`` has its page's scheme."""
+    return host_of(F.when(link.startswith("//"), F.concat(F.lit(":"), link)).otherwise(link))
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1)
 
@@ -62,12 +69,17 @@ def host_edges(pages: DataFrame, url: str = "url", markup: str = "html") -> Data
     """Distinct links (source, target) between different hosts."""
     links = pages.select(host_of(base.named(url)).alias("source"),
                          F.explode(F.array_distinct(F.transform(F.regexp_extract_all(
-                             base.named(markup), F.lit(LINK), F.lit(1)), host_of))).alias("target"))
+                             base.named(markup), F.lit(LINK), F.lit(1)), target_host))).alias("target"))
     return links.filter("source <> '' and target <> '' and source <> target").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps of both PageRanks.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+              tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) of both PageRanks.
+
+    At least ``rounds`` steps are made, and more until no rank changes by more
+    than ``tolerance`` of itself; a host that is reached first changes by all of
+    its rank, so every host that links reach has one.
 
     ``seeds`` has host, trust and distrust. A host passes its rank on in equal
     parts: trust to the hosts it links to, distrust to those that link to it.
@@ -83,11 +95,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         F.struct(F.lit(1).alias("kind"), F.col("distrust").cast("double").alias("rank")))).alias("s")).select(
         "s.kind", "host", "s.rank").filter("rank > 0"), "host-seeds")
     ranks = start
-    for _ in range(rounds if not flows.isEmpty() else 0):
+    done, moving = 0, not flows.isEmpty()
+    while moving:
         moved = flows.join(ranks, (flows["kind"] == ranks["kind"]) & (flows["from"] == ranks["host"])).select(
             flows["kind"], F.col("to").alias("host"), (F.col("rank") * damping / F.col("parts")).alias("rank"))
         kept = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
-        after = base.stored(kept.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "host-ranks")
+        was = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+        after = base.stored(kept.unionByName(moved).withColumn("was", F.lit(0.0)).unionByName(was).groupBy("kind", "host").agg(
+            F.sum("rank").alias("rank"), F.sum("was").alias("was")), "host-ranks")
+        done += 1
+        moving = done < rounds or not after.filter(F.abs(F.col("rank") - F.col("was")) > tolerance * F.col("rank")).isEmpty()
         if ranks is not start:
             base.discard(ranks)
         ranks = after

@@ -375,6 +375,24 @@ def test_trust_and_distrust_flow(spark):
     assert got[2]["trust"] == pytest.approx(trust["fine.net"]) and got[3]["trust"] == pytest.approx(trust["far.net"])
 
 
+def test_links_without_scheme_and_with_blanks(spark):
+    rows = [(1, "http://a.net/", '<a href="//Bad.com/x"><img src=" http://c.net/y"><a href=//d.net><a href="/own//e.net"><a href="//a.net/">'),
+            (2, "http://bad.com/de/", "")]
+    pages = spark.createDataFrame(rows, PAGES)
+    assert sorted(map(tuple, urls.host_edges(pages).collect())) == [("a.net", "bad.com"), ("a.net", "c.net"), ("a.net", "d.net")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert got == {1: "block", 2: "block"}
+
+
+def test_rank_reaches_far_hosts(spark):
+    # Few rounds at least, so that a short path is longer than them.
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(6)] + [("x", "y"), ("y", "x")], "source string, target string")
+    seeds = spark.createDataFrame([("h6", 0, 1), ("x", 2, 0)], "host string, trust bigint, distrust bigint")
+    got = {r["host"]: r for r in urls.propagate(edges, seeds, damping=.5, rounds=2).collect()}
+    assert [got[f"h{i}"]["distrust"] for i in range(7)] == pytest.approx([.5 * .5 ** (6 - i) for i in range(7)])
+    assert (got["x"]["trust"], got["y"]["trust"]) == pytest.approx((4 / 3, 2 / 3), rel=1e-5)
+
+
 # --- markup ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("markup, text", [
