@@ -58,3 +58,48 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: A key that holds at least one in so many rows counts as hot; there are at most that many such keys.
+HOT_SHARE = 1000
+
+
+def with_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` left-joined with ``table``: one row per key, its ``count`` saying how many rows have that key.
+
+    Hot keys, at most ``HOT_SHARE`` by their definition, are broadcast, so their
+    rows stay where they are; only the other rows are shuffled. Both sides are
+    read more than once, so pass stored tables. Null keys match nothing.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col(count) * HOT_SHARE >= total
+    few = F.broadcast(table.filter(hot))
+    cold = rows.join(few.select(*keys), keys, "leftanti").join(table.filter(~hot), keys, "left")
+    return rows.join(few, keys).unionByName(cold)
+
+
+#: Bits of a piece of a bitmap (fixed by Spark), most pieces, and bits per key that is marked.
+PIECE_BITS, MOST_PIECES, BITS_PER_KEY = 32_768, 4096, 16
+
+
+def bitmap_of(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """(pieces, their number): a bitmap of the hashes in column ``h``, of 16 MB at most.
+
+    More hashes make it denser, not larger. Pass a stored table.
+    """
+    pieces = min(MOST_PIECES, max(1, -(-hashes.count() * BITS_PER_KEY // PIECE_BITS)))
+    place = F.pmod(F.col("h"), F.lit(pieces * PIECE_BITS))
+    return hashes.groupBy(F.floor(place / PIECE_BITS).alias("_piece")).agg(
+        F.bitmap_construct_agg(F.pmod(place, F.lit(PIECE_BITS))).alias("_bits")), pieces
+
+
+def marked(rows: DataFrame, h: Column, bitmap: tuple[DataFrame, int], out: str) -> DataFrame:
+    """Adds ``out``: whether the bitmap marks the hash. True for every hash it was made of, and rarely for another."""
+    pieces, n = bitmap
+    placed = rows.withColumn("_place", F.pmod(h, F.lit(n * PIECE_BITS))).withColumn(
+        "_piece", F.floor(F.col("_place") / PIECE_BITS))
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(F.pmod("_place", F.lit(PIECE_BITS)), 3).cast("int") + 1, F.lit(1))), 16, 10)
+    bit = F.getbit(byte.cast("int"), F.pmod("_place", F.lit(8)).cast("int")) == 1
+    # At most MOST_PIECES rows of 4 KB.
+    return placed.join(F.broadcast(pieces), "_piece", "left").withColumn(out, F.coalesce(bit, F.lit(False))).drop(
+        "_piece", "_bits", "_place")

@@ -65,3 +65,9 @@ g as (
 select g.conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) loss_chars, sha256(loss) loss_sha256,
   cast(g.chars + coalesce(r.chars, 0) as bigint) formatted_chars
 from g left join r on g.conv_id is not distinct from r.conv_id"""
+
+
+SQL["op13_exact_duplicates"] = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) text_sha256 from documents)
+select doc_id, min(doc_id) over (partition by text_sha256) keep_id, cast(count(*) over (partition by text_sha256) as bigint) group_size,
+  row_number() over (partition by text_sha256 order by doc_id nulls last) = 1 kept, text_sha256 from d"""

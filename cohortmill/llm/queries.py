@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortmill.llm import (base, chat, decontaminate, html_text, licenses, mixing, neighbours, quality, secrets, simhash,
-                            urls)
+from cohortmill.llm import (base, chat, decontaminate, exact, html_text, licenses, mixing, neighbours, quality, secrets,
+                            simhash, urls)
 from cohortmill.llm.oracles import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +72,7 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(secrets.labelled_strings(docs)))
     known = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k.name}")
+    counts = [F.size(F.filter("spans", secrets.of_kind(i))).cast("bigint").alias(f"n_{k.name}")
               for i, k in enumerate(secrets.BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(secrets.written(known), 256).alias("base_sha256"),
                         secrets.written(F.col("spans")).alias("spans"))
@@ -96,3 +96,11 @@ def op9_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page."""
     return html_text.extract(base.table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@query
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts and the one that stays."""
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.sha2(exact.normalised(F.col("text")), 256)
+    return exact.mark(docs.withColumn("text_sha256", digest), carry=["doc_id", "text_sha256"])

@@ -10,6 +10,7 @@ their transition counts, 67 x 67 at most, come to the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -177,6 +178,11 @@ def scan(docs: DataFrame, model: list[float] | None, text: str = "text", thresho
     return first.select(*[base.named(c) for c in carried], spans.alias("spans"))
 
 
+def of_kind(number: int) -> Callable[[Column], Column]:
+    """Condition on a span. It takes one argument only: Spark gives a second one the span's place in the array."""
+    return lambda span: span["kind"] == number
+
+
 def kind_names() -> list[str]:
     return [k.name for k in BASE_KINDS] + [MARKOV]
 

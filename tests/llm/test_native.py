@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cohortmill.llm import chat, mixing, secrets
+from cohortmill.llm import chat, mixing, queries, secrets
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -157,6 +157,24 @@ def base_brute(text):
     return sorted(out)
 
 
+def test_secret_query_counts_and_digests(spark, tmp_path):
+    rows = [*enumerate(SECRETS), (None, "secret=abcdef"), (3, SECRETS[3]), (50, "0123456789abcdef01234567 " * 300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_secret_spans(spark, str(tmp_path)).collect()
+    names = secrets.kind_names()
+    want = []
+    for key, text in rows:
+        spans = base_brute(text or "")
+        line = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        want.append((key, *(sum(k == i for _, k, _ in spans) for i in range(3)), hashlib.sha256(line.encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got),
+                  key=lambda x: (x[0] is None, x[0] or 0, x[1:])) == sorted(
+        want, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
+    for r in got:
+        own = [s for s in r["spans"].split(",") if s and not s.startswith("markov")]
+        assert hashlib.sha256(",".join(own).encode()).hexdigest() == r["base_sha256"]
+
+
 def strings(spark, n=300):
     rnd = random.Random(2)
     syllables = ["tion", "er", "name", "get", "set", "item", "_", "value", "count", "ing", "re"]
