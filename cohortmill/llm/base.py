@@ -103,3 +103,13 @@ def marked(rows: DataFrame, h: Column, bitmap: tuple[DataFrame, int], out: str)
     # At most MOST_PIECES rows of 4 KB.
     return placed.join(F.broadcast(pieces), "_piece", "left").withColumn(out, F.coalesce(bit, F.lit(False))).drop(
         "_piece", "_bits", "_place")
+
+
+def ranged(rows: DataFrame, keys: list[Column], label: str) -> DataFrame:
+    """Stored rows with ``part``, the number of the range of ``keys`` that a row lies in.
+
+    Ranges are contiguous and ascend with their number, so totals of whole ranges
+    turn sums inside ranges into running sums over everything, and no key's rows
+    must meet in one task. The last key should tell all rows apart. Pass a stored table.
+    """
+    return stored(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), label)

@@ -71,3 +71,54 @@ SQL["op13_exact_duplicates"] = r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) text_sha256 from documents)
 select doc_id, min(doc_id) over (partition by text_sha256) keep_id, cast(count(*) over (partition by text_sha256) as bigint) group_size,
   row_number() over (partition by text_sha256 order by doc_id nulls last) = 1 kept, text_sha256 from d"""
+
+SQL["op12_conversation_trie"] = r"""
+with t as (
+  select conv_id c, turn, coalesce(text, '') text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) m
+  from conversations where conv_id is not null),
+n as (select c, m, length(text) chars, row_number() over (partition by c order by turn nulls first, m) rn from t),
+v as (
+  select c, count(*) own, c - c % 100 lender, list_reduce(
+    [4294967295::bigint] || list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::bigint),
+    lambda r, x: list_reduce([xor(r, x)] || [k::bigint for k in range(8)],
+      lambda y, k: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)) r from n group by c),
+i as (
+  select v.c, v.own, v.lender, xor(v.r, 4294967295) % 6 h, least(xor(v.r, 4294967295) % 6, coalesce(b.own, 0)) head
+  from v left join v b on b.c = v.lender),
+s as (
+  select i.c, b.rn depth, b.m, b.chars from i join n b on b.c = i.lender and b.rn <= i.h
+  union all select i.c, n.rn - i.h + i.head, n.m, n.chars from i join n on n.c = i.c and n.rn > i.h),
+p as (
+  select c, depth, chars, string_agg(m, '') over (partition by c order by depth) path from s
+  union all select c, 0, 0, '' from i),
+g as (
+  select path, max(depth) depth, min(p.c) conv_id, count(*) n_convs, (count(*) - 1) * max(chars) saved,
+    coalesce(string_agg(p.c::varchar, ',' order by p.c) filter (where depth = head + greatest(own - h, 0)), '') ends
+  from p join i on p.c = i.c group by path),
+k as (select left(path, length(path) - 32) path, count(*) n from g where depth > 0 group by 1),
+a as (
+  select left(path, 32 * d) path, sum(saved) saved, count(*) filter (where not exists (select 1 from k where k.path = g.path)) leaves
+  from g, unnest(range(depth + 1)) u(d) group by 1)
+select g.conv_id, cast(g.depth as bigint) depth, q.conv_id parent_conv_id, g.n_convs, coalesce(k.n, 0) n_children,
+  a.leaves n_leaves, cast(a.saved as bigint) saved_tokens, sha256(g.ends) ends_sha256
+from g join a on a.path = g.path left join k on k.path = g.path
+left join g q on g.depth > 0 and q.path = left(g.path, length(g.path) - 32)"""
+
+SQL["op11_hard_negatives"] = r"""
+with v as (
+  select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab,
+    list_transform(embedding, lambda x: floor(256 * x::double)) x, row_number() over () no
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.no anchor, a.id anchor_id, b.id, b.lab = a.lab same, cast(list_dot_product(a.x, b.x) as bigint) score
+  from v a join v b on a.no <> b.no and len(a.x) = len(b.x) where a.id % 100 = 0),
+p as (
+  select * from s where same
+  qualify row_number() over (partition by anchor order by score desc, id nulls last) <= 5),
+n as (
+  select p.anchor_id, p.id positive_id, row_number() over (
+      partition by p.anchor, p.id order by s.score desc, s.id nulls last) "rank",
+    s.id negative_id, p.score positive_score, s.score negative_score
+  from p join s on s.anchor = p.anchor and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, cast("rank" as int) "rank", negative_id, positive_score, negative_score from n where "rank" <= 10"""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortmill.llm import (base, chat, decontaminate, exact, html_text, licenses, mixing, neighbours, quality, secrets,
-                            simhash, urls)
+from cohortmill.llm import (base, chat, decontaminate, exact, html_text, licenses, mixing, negatives, neighbours, quality,
+                            secrets, simhash, trie, urls)
 from cohortmill.llm.oracles import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(base.table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with every seventh label moved on by one."""
+    vectors = base.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), lambda i: i % 100 == 0)
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations with borrowed heads."""
+    turns = base.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    passed = trie.members(trie.with_borrowed_heads(trie.numbered(turns)))
+    return trie.digest(trie.nodes(passed), passed)
+
+
 @query
 def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts and the one that stays."""
