@@ -2,135 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill import presets
-
-ADDITIVITY_SCALE = 2.0
-
-
-@dataclass(frozen=True)
-class Leaf:
-    """A root-to-leaf path merged per feature.
-
-    ``low < x <= high`` is the box of the path, ``cover`` the share of training
-    rows that follow it at the splits of that feature.
-    """
-
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    cover: np.ndarray
-    value: float
-
-
-def tree_leaves(nodes: dict[int, dict], scale: float, values: dict[int, float]) -> list[Leaf]:
-    """All leaves of one tree; size bounded by the model, not the data."""
-    leaves: list[Leaf] = []
-
-    def walk(node: int, box: dict[int, tuple[float, float, float]]) -> None:
-        n = nodes[node]
-        if n["left"] < 0:
-            fs = sorted(box)
-            leaves.append(Leaf(np.array(fs, dtype=int), np.array([box[f][0] for f in fs]),
-                               np.array([box[f][1] for f in fs]), np.array([box[f][2] for f in fs]),
-                               scale * values[node]))
-            return
-        f, cut = n["feature"], n["cut"]
-        low, high, cover = box.get(f, (-np.inf, np.inf, 1.0))
-        for child, edge in ((n["left"], (low, min(high, cut))), (n["right"], (max(low, cut), high))):
-            walk(child, {**box, f: (*edge, cover * nodes[child]["count"] / n["count"])})
-
-    walk(0, {})
-    return leaves
-
-
-def read_leaves(spark: SparkSession, path: str, family: str) -> list[Leaf]:
-    """Leaves of a saved tree ensemble, scaled so that they add up to its output.
-
-    Boosted: log-odds margin (twice the weighted sum). Forest: mean probability
-    of the positive class. The node table is as large as the model.
-    """
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.rawCount",
-        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("cuts"), "nodeData.split.numCategories").collect()
-    weights = {r[0]: float(r[2]) for r in spark.read.parquet(f"{path}/treesMetadata").collect()}
-    trees: dict[int, dict[int, dict]] = {}
-    values: dict[int, dict[int, float]] = {}
-    for r in nodes:
-        if r["leftChild"] >= 0 and r["numCategories"] != -1:
-            raise ValueError("only continuous splits are supported; one-hot encode categories")
-        trees.setdefault(r["treeID"], {})[r["id"]] = {
-            "left": r["leftChild"], "right": r["rightChild"], "feature": r["featureIndex"],
-            "cut": r["cuts"][0] if r["cuts"] else None, "count": float(r["rawCount"])}
-        stats = r["impurityStats"]
-        value = r["prediction"] if family == "boosted" else stats[1] / max(sum(stats), 1e-300)
-        values.setdefault(r["treeID"], {})[r["id"]] = float(value)
-    out: list[Leaf] = []
-    for tree, parts in trees.items():
-        scale = ADDITIVITY_SCALE * weights[tree] if family == "boosted" else 1.0 / len(trees)
-        out += tree_leaves(parts, scale, values[tree])
-    return out
-
-
-def base_value(leaves: list[Leaf]) -> float:
-    """Expected output under the training cover of the paths."""
-    return float(sum(leaf.value * np.prod(leaf.cover) for leaf in leaves))
-
-
-def shap_matrix(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Path-dependent Tree SHAP of a block of rows, vectorised over rows.
-
-    The Shapley weight of a coalition of size k out of m-1 is the integral of
-    t^k (1-t)^(m-1-k) over [0, 1], so the sum over all coalitions is the
-    integral of a product of one linear factor per path feature. Gauss-Legendre
-    nodes integrate that polynomial exactly.
-    """
-    out = np.zeros((x.shape[0], x.shape[1]))
-    for leaf in leaves:
-        m = len(leaf.features)
-        if m == 0:
-            continue
-        values = x[:, leaf.features]
-        inside = ((values > leaf.low) & (values <= leaf.high)).astype(float)
-        nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-        total = np.zeros_like(inside)
-        for t, w in zip((nodes + 1.0) / 2.0, weights / 2.0):
-            factors = leaf.cover * (1.0 - t) + inside * t
-            total += w * np.prod(factors, axis=1, keepdims=True) / factors
-        out[:, leaf.features] += leaf.value * (inside - leaf.cover) * total
-    return out
-
-
-def tree_shap_rows(df: DataFrame, key: str, leaves: list[Leaf], rows_per_block: int = 2048) -> DataFrame:
-    """(key, feature_values, shap_values, base_value): one row per entity, arrays in vector order.
-
-    Rows are attributed where they are; the leaves travel to each Python worker
-    once, as a broadcast.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-    base = base_value(leaves)
-
-    def attribute(batches):
-        own = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), rows_per_block):
-                block = batch.iloc[start:start + rows_per_block]
-                x = np.stack(block["x"].to_numpy()).astype(float)
-                yield pd.DataFrame({"entity": block["entity"].to_numpy(), "x": list(x),
-                                    "phi": list(shap_matrix(x, own))})
-
-    key_type = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("entity"), vector_to_array("features").alias("x"))
-    done = rows.mapInPandas(attribute, f"entity {key_type}, x array<double>, phi array<double>")
-    return done.select(F.col("entity").alias(key), F.col("x").alias("feature_values"), F.col("phi").alias("shap_values"),
-                       F.lit(base).alias("base_value"))
+from cohortmill.operators.trees import tree_shap_rows
 
 
 def zipped(names: list[str]) -> Column:
@@ -145,9 +20,9 @@ def long_contributions(rows: DataFrame, key: str, names: list[str]) -> DataFrame
     return rows.select(key, "base_value", F.inline(zipped(names)))
 
 
-def tree_shap(df: DataFrame, key: str, leaves: list[Leaf], names: list[str], rows_per_block: int = 2048) -> DataFrame:
-    """Long attributions of a saved tree model's leaves."""
-    return long_contributions(tree_shap_rows(df, key, leaves, rows_per_block), key, names)
+def tree_shap(df: DataFrame, key: str, leaves: DataFrame, names: list[str]) -> DataFrame:
+    """Long attributions of a tree model's leaf table."""
+    return long_contributions(tree_shap_rows(df, key, leaves), key, names)
 
 
 def local_from_rows(rows: DataFrame, key: str, names: list[str], k: int = 5) -> DataFrame:

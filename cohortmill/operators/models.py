@@ -10,7 +10,6 @@ from typing import Any
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortmill import presets
@@ -19,6 +18,7 @@ from cohortmill.operators.curves import (
     auroc_column, average_precision_column, binary_metrics, bin_of, bin_table, calibration_error,
     counts_at, max_f1_threshold, metrics_from_ranked, score_counts, squared_error_column, uniform_edges,
 )
+from cohortmill.operators.isotonic import fit_isotonic  # noqa: F401
 from cohortmill.operators.running import running_totals, same_keys
 from cohortmill.operators.split import class_weights
 from cohortmill.session import checkpoint_dir, materialize
@@ -209,15 +209,6 @@ def fit_platt(df: DataFrame, y: str, score: str) -> Platt:
     return Platt(float(model.coefficients[0]), float(model.intercept))
 
 
-def fit_isotonic(df: DataFrame, y: str, score: str) -> Any:
-    """Isotonic calibration on merged scores (label = observed rate, weight = rows)."""
-    counts = score_counts(df, y, score)
-    n = F.col("pos") + F.col("neg")
-    rows = counts.select("score", (F.col("pos") / n).alias(LABEL), n.cast("double").alias(WEIGHT))
-    return IsotonicRegression(featuresCol="score", labelCol=LABEL, weightCol=WEIGHT,
-                              predictionCol="__isotonic").fit(rows)
-
-
 def apply_isotonic(model: Any, df: DataFrame, score: str, output: str) -> DataFrame:
     """Interpolated step function, constant beyond the fitted range."""
     return (model.transform(df.withColumn("score", F.col(score).cast("double")))

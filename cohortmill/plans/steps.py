@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortmill import presets
 from cohortmill.config import Preset
 from cohortmill.functions.columns import unit_hash
-from cohortmill.operators import attribution, clean, cohort, measures, models, profile, reliability, split
+from cohortmill.operators import attribution, clean, cohort, measures, models, profile, reliability, split, trees
 from cohortmill.operators.bootstrap import Ensemble, fit_ensemble
 from cohortmill.session import materialize, written
 from cohortmill.streaming.score import Artifacts
@@ -249,8 +249,8 @@ def explain_scores(rows: DataFrame, fitted: models.Fitted, names: list[str], key
                    k: int = 5) -> dict[str, DataFrame]:
     """Attributions of a tree model with global and local summaries; saves the model first."""
     fitted.model.write().overwrite().save(model_path)
-    leaves = attribution.read_leaves(rows.sparkSession, model_path, fitted.family)
-    attributed = materialize(attribution.tree_shap_rows(rows, key, leaves))
+    leaves = trees.read_leaves(rows.sparkSession, model_path, fitted.family)
+    attributed = materialize(trees.tree_shap_rows(rows, key, leaves))
     long = attribution.long_contributions(attributed, key, names)
     local = attribution.local_from_rows(attributed, key, names, k)
     return {"contributions": long, "global_importance": attribution.global_importance(long),

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortmill import presets
-from cohortmill.operators import attribution, bootstrap, models, reliability, split
+from cohortmill.operators import attribution, bootstrap, isotonic, models, reliability, split, trees
 from cohortmill.streaming.score import Artifacts, score_new, score_stream
 
 
@@ -92,6 +92,27 @@ def test_isotonic_matches_pool_adjacent_violators(spark):
     assert sorted(r["p"] for r in outside.collect()) == pytest.approx([min(want.values()), max(want.values())])
 
 
+@pytest.mark.parametrize("kind", ["noisy", "rising", "falling", "steps"])
+def test_pooling_in_ranges_equals_pooling_at_once(spark, kind):
+    rng = np.random.default_rng(9)
+    n = 700
+    total = {"noisy": rng.integers(0, 2, n) * (np.arange(n) > rng.integers(0, n, n)), "rising": np.arange(n),
+             "falling": n - np.arange(n), "steps": np.where(np.arange(n) % 100 == 0, 0, np.arange(n) // 3)}[kind].astype(float)
+    weight = rng.integers(1, 4, n).astype(float)
+    counts = spark.createDataFrame([(i / 7.0, float(t), float(w)) for i, (t, w) in enumerate(zip(total * weight, weight))],
+                                   "score double, total double, weight double").repartition(3)
+    want = isotonic.pool(total * weight, weight)
+    for size in (40, 10_000):
+        got = isotonic.pooled(counts, size).orderBy("low").collect()
+        shown = [(r["low"], r["high"], r["total"], r["weight"]) for r in got]
+        assert np.allclose(shown, [(a / 7.0, b / 7.0, t, w) for a, b, t, w in want])
+
+
+def test_isotonic_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "score double, total double, weight double")
+    assert isotonic.pooled(empty).collect() == []
+
+
 def test_grids_records_and_choice(data):
     vec, _, _, _ = data
     train, val = vec.where("k % 3 > 0"), vec.where("k % 3 = 0")
@@ -145,9 +166,41 @@ def test_ensemble_spread_matches_refits(data):
         weights = copies * np.where(y[:200] == 1, (pos + neg) / (2 * pos), (pos + neg) / (2 * neg))
         beta = newton_logistic(x[:200], y[:200], weights, 0.1)
         scores.append(sigmoid(x @ beta[:-1] + beta[-1]))
+        assert np.allclose(ensemble.coefficients[b], beta[:-1], atol=1e-6)
+        assert ensemble.intercepts[b] == pytest.approx(beta[-1], abs=1e-6)
     rows = ensemble.spread(vec).orderBy("k").collect()
-    assert np.allclose([r["boot_mean"] for r in rows], np.mean(scores, axis=0), atol=1e-3)
-    assert np.allclose([r["boot_std"] for r in rows], np.std(scores, axis=0), atol=1e-3)
+    assert np.allclose([r["boot_mean"] for r in rows], np.mean(scores, axis=0), atol=1e-6)
+    assert np.allclose([r["boot_std"] for r in rows], np.std(scores, axis=0), atol=1e-6)
+
+
+def test_resamples_share_their_scans(data, monkeypatch):
+    vec, _, _, _ = data
+    passes = []
+    once = bootstrap.newton_terms
+    monkeypatch.setattr(bootstrap, "newton_terms", lambda *a: passes.append(len(a[1])) or once(*a))
+    together = bootstrap.fit_ensemble(vec.repartition(5), "k", "y", resamples=12)
+    assert len(passes) <= 12 and passes[0] == 12
+    # Fewer resamples at a time, other partitions: the same models.
+    monkeypatch.setattr(bootstrap, "NUMBERS_PER_PASS", 5 * 5 * 5)
+    apart = bootstrap.fit_ensemble(vec.repartition(2), "k", "y", resamples=12)
+    assert max(passes[1:]) <= 12 and 5 in passes
+    assert np.allclose(together.coefficients, apart.coefficients, atol=1e-8)
+
+
+def test_newton_steps_are_halved_when_they_overshoot(spark):
+    rows = [(i, int(i % 2), 40.0 * (i % 2) + (i % 7) * 3.0, float(i % 3) * 25.0) for i in range(90)]
+    vec = spark.createDataFrame(rows, "k long, y int, a double, b double").select(
+        "k", "y", array_to_vector(F.array("a", "b")).alias("features"))
+    got = bootstrap.fit_ensemble(vec, "k", "y", resamples=2, c=100.0)
+    counts = {(r["k"], r["resample"]): r["copies"] for r in bootstrap.resample_weights(vec, "k", 2).collect()}
+    x, y = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    for b in range(2):
+        copies = np.array([counts[(i, b)] for i in range(90)], float)
+        n = np.array([copies[y == 0].sum(), copies[y == 1].sum()])
+        w = copies * (n.sum() / (2 * n))[y]
+        z = x @ got.coefficients[b] + got.intercepts[b]
+        slope = 100.0 * (x.T @ (w * (sigmoid(z) - y))) + got.coefficients[b]
+        assert np.abs(slope).max() < 1e-5
 
 
 def test_one_class_resamples_are_dropped(spark, data):
@@ -155,7 +208,7 @@ def test_one_class_resamples_are_dropped(spark, data):
     positives = vec.where("y = 1").limit(1)
     rare = vec.where("y = 0").limit(30).unionByName(positives)
     ensemble = bootstrap.fit_ensemble(rare, "k", "y", resamples=6)
-    assert 0 < len(ensemble.models) < 6
+    assert 0 < ensemble.size < 6
     with pytest.raises(ValueError):
         bootstrap.fit_ensemble(vec.where("y = 0").limit(20), "k", "y", resamples=2)
 
@@ -203,9 +256,9 @@ def test_shap_matches_all_coalitions():
         return end
 
     grow(0, 5, 200.0)
-    leaves = attribution.tree_leaves(nodes, 1.0, values)
+    leaves = trees.tree_leaves(nodes, 1.0, values)
     x = rng.normal(size=(6, 5))
-    got = attribution.shap_matrix(x, leaves)
+    got = trees.shap_matrix(x, leaves)
     want = np.array([brute_shap(nodes, values, row) for row in x])
     assert np.allclose(got, want, atol=1e-9)
 
@@ -219,8 +272,8 @@ def test_attributions_add_up_to_the_model_output(spark, data, tmp_path, family):
         fitted = models.fit_forest_grid(vec, "y", ({"trees": 8, "depth": 5, "min_split": 5},))[0]
     path = str(tmp_path / family)
     fitted.model.write().overwrite().save(path)
-    leaves = attribution.read_leaves(spark, path, family)
-    long = attribution.tree_shap(vec, "k", leaves, ["a", "b", "c", "d"], rows_per_block=50)
+    leaves = trees.read_leaves(spark, path, family)
+    long = attribution.tree_shap(vec, "k", leaves, ["a", "b", "c", "d"])
     total = long.groupBy("k").agg((F.sum("shap_value") + F.max("base_value")).alias("out"))
     p = models.probability(fitted, vec).select("k", "p")
     joined = total.join(p, "k").collect()
@@ -231,6 +284,41 @@ def test_attributions_add_up_to_the_model_output(spark, data, tmp_path, family):
     assert long.count() == 2400
 
 
+def test_a_deep_forest_is_explained_in_blocks(spark, data, tmp_path, monkeypatch):
+    """200 trees of unlimited depth: many blocks of leaves and rows, nothing collected beyond one block."""
+    vec, _, _, _ = data
+    fitted = models.fit_forest_grid(vec, "y", ({"trees": 200, "depth": None, "min_split": 2},))[0]
+    path = str(tmp_path / "deep")
+    fitted.model.write().overwrite().save(path)
+    leaves = trees.read_leaves(spark, path, "forest")
+    assert leaves.count() > 4 * trees.LEAVES_PER_BLOCK and leaves.agg(F.max(F.size("features"))).first()[0] == 4
+    monkeypatch.setattr(trees, "ROWS_PER_BLOCK", 100)
+    some = vec.where("k < 250")
+    monkeypatch.setattr(trees, "_beside_rows", None)
+    got = trees.tree_shap_rows(some, "k", leaves)
+    p = models.probability(fitted, some).select("k", "p")
+    rows = got.join(p, "k").collect()
+    assert len(rows) == 250
+    for r in rows:
+        assert r["base_value"] + sum(r["shap_values"]) == pytest.approx(r["p"], abs=1e-9)
+
+
+def test_blocks_of_leaves_give_what_one_block_gives(spark, data, tmp_path, monkeypatch):
+    vec, _, _, _ = data
+    fitted = models.fit_forest_grid(vec, "y", ({"trees": 6, "depth": 5, "min_split": 5},))[0]
+    path = str(tmp_path / "blocks")
+    fitted.model.write().overwrite().save(path)
+    leaves = trees.read_leaves(spark, path, "forest")
+    doubled = vec.where("k < 40").unionByName(vec.where("k < 3"))
+    order = lambda df: sorted((r["k"], r["shap_values"]) for r in df.collect())
+    one = order(trees.tree_shap_rows(doubled, "k", leaves))
+    monkeypatch.setattr(trees, "LEAVES_PER_BLOCK", 7)
+    monkeypatch.setattr(trees, "ROWS_PER_BLOCK", 9)
+    many = order(trees.tree_shap_rows(doubled, "k", leaves))
+    assert len(many) == 43 and all(a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-12) for a, b in zip(one, many))
+    assert trees.tree_shap_rows(vec.where("k < 0"), "k", leaves).collect() == []
+
+
 def test_display_names(spark):
     names = {"num__bun_last": "BUN (Last)", "heartrate_std": "Heart Rate (Std Dev)", "age_gt89": "Age > 89 flag",
              "cat__gender_Male": "Gender: Male", "ph_count": "Arterial pH (Count)", "lab_measurement_count": "Total Lab Measurements",

@@ -124,7 +124,7 @@ def test_training_to_reliability(spark, inputs, features, tmp_path):
     report = out["reliability_report"]
     assert report.where("decision = 'ACCEPT' and size(reasons) > 0").count() == 0
     assert report.where("decision = 'ABSTAIN' and size(reasons) = 0").count() == 0
-    assert 0 < len(artifacts.ensemble.models) <= 4
+    assert 0 < artifacts.ensemble.size <= 4
 
 
 def test_dashboard(inputs, features):
