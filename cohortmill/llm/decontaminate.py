@@ -1,16 +1,21 @@
-"""Benchmark decontamination by exact pieces of items and exact edit distance.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
 A document leaks an item if some stretch of its words is at most ``edits`` (a
 share of the item's words) insertions, deletions and replacements away from the
 item's words. Words are letters, digits and anything beyond ASCII, A-Z in lower
 case.
 
-An item with a budget of b edits is cut into b + 1 pieces. Each edit touches one
-piece at most, so every stretch within the budget holds one of them unchanged,
-at most b words from its place: looking the pieces up loses nothing, at any
-length and for any kind of edit. Before that, places with too few words of an
-item to be within the edits are left out, which loses nothing either. What
-remains is compared exactly, over all words such a stretch can reach.
+Every window of an item's size is a candidate. A CGK random walk copies its
+words to a longer string, staying on a word or moving on by a random bit of the
+word, so that a small edit distance becomes a small Hamming distance. A key is a
+few sampled places of that string; windows and items that share a key in one of
+the repetitions are compared exactly. Places lie where the walk hasn't passed
+the shortest stretch within the budget, so one window serves stretches of all
+lengths. How many repetitions and places a length needs follows from a target
+recall at the full budget, for whichever kind of edit is hardest (``plan_of``).
+
+Before the walk, windows that hold too few words of an item to be within the
+edits are left out, which loses nothing.
 
 Texts are not shuffled: the items go to the texts, in blocks of bounded size.
 """
@@ -18,17 +23,23 @@ Texts are not shuffled: the items go to the texts, in blocks of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortmill.llm import base
 from cohortmill.llm.words import PUNCTUATION, Group, groups, mixed, spelling, word_hashes
 
-#: Share of an item's words that may differ, and the fewest words an item needs to be looked for.
-EDITS, LEAST_WORDS = 0.2, 5
+#: Share of an item's words that may differ.
+EDITS = 0.2
+#: Share of the stretches at the full budget that the keys must find, by simulation with so many edit patterns and walks.
+TARGET_RECALL, PATTERNS, WALKS, SEED = 0.995, 64, 64, 20240501
+#: Places per key if that takes at most so many repetitions; fewer places need fewer repetitions and tell less.
+MOST_PLACES, FEW_REPETITIONS, MOST_REPETITIONS = 3, 48, 512
 #: Items and bytes of item text that go to the tasks at once.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Words that occur in at most this many items of a block count as telling.
@@ -38,13 +49,19 @@ MAP_BITS = 20
 TEXT_BYTES = 1 << 22
 
 
+class Plan(NamedTuple):
+    """Repetitions for items of one length: a salt per repetition and step, and whether the step is sampled."""
+    salts: np.ndarray
+    sampled: np.ndarray
+
+
 class Items(NamedTuple):
     """Items of a block with what the search needs of them.
 
     telling and telling_items: the items' telling words, sorted, each with its
     item. needed: telling words that a stretch must hold; where that is none,
-    the item's length class is plain. pieces: per size (size, sorted keys, and
-    each key's item and place in the item).
+    the item's length class is plain. plans and keys: per length class, the
+    latter as (sorted keys, each key's item).
     """
     ids: list[Any]
     words: list[np.ndarray]
@@ -57,44 +74,98 @@ class Items(NamedTuple):
     needed: np.ndarray
     plain: np.ndarray
     length_budgets: np.ndarray
-    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    plans: list[Plan]
+    keys: list[tuple[np.ndarray, np.ndarray]]
 
 
 def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def piece_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the ``size`` words from each place of ``at``."""
-    keys = np.full(len(at), size, np.uint64)
-    for i in range(size):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + words[at + i])
+def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray) -> Iterator[np.ndarray]:
+    """The words (repetition, window) that a CGK walk copies in each step; 0 behind a window's text."""
+    at = np.broadcast_to(starts, (len(salts), len(starts))).copy()
+    padded = np.append(words, np.uint64(0))
+    for step in range(salts.shape[1]):
+        here = padded[np.minimum(at, ends)]
+        here[at >= ends] = 0
+        yield here
+        at += (mixed(here ^ salts[:, step][:, None]) >> np.uint64(63)).astype(np.int64)
+
+
+def keys_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, plan: Plan) -> np.ndarray:
+    """LSH keys (repetition, window) of the windows of one length class that begin at ``starts``."""
+    keys = np.repeat(np.arange(1, len(plan.salts) + 1, dtype=np.uint64)[:, None], len(starts), axis=1)
+    for step, here in enumerate(walk(words, starts, ends, plan.salts)):
+        chosen = plan.sampled[:, step]
+        if chosen.any():
+            keys[chosen] = mixed(keys[chosen] * np.uint64(0x9E3779B97F4A7C15) + here[chosen])
     return keys
 
 
-def pieces_of(words: list[np.ndarray], budgets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The index of all items' pieces: one piece more than an item's budget, as equal as can be."""
-    by_size: dict[int, list[tuple[int, int]]] = {}
-    for i, (w, budget) in enumerate(zip(words, budgets.tolist())):
-        n = min(budget + 1, len(w))
-        cuts = [j * len(w) // n for j in range(n + 1)]
-        for a, b in zip(cuts, cuts[1:]):
-            by_size.setdefault(b - a, []).append((i, a))
-    flat, first = np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words])))
-    out = []
-    for size, places in sorted(by_size.items()):
-        item, offset = np.array(places, np.int64).T
-        keys = piece_keys(flat, first[item] + offset, size)
-        order = np.argsort(keys, kind="stable")
-        out.append((size, keys[order], item[order], offset[order]))
-    return out
+def edited(rng: np.random.Generator, n: int, budget: int, kind: str) -> list[int]:
+    """The numbers 1 to n with ``budget`` edits of a kind; new words are large numbers."""
+    parts = [[i] for i in range(1, n + 1)]
+    for at in rng.choice(n, budget, replace=False).tolist():
+        new = int(rng.integers(1 << 40, 1 << 60))
+        parts[at] = {"replace": [new], "delete": [], "insert": [new, at + 1]}[kind]
+    return [w for part in parts for w in part]
+
+
+@lru_cache(maxsize=4096)
+def agreement(n: int, budget: int, kind: str) -> np.ndarray:
+    """(edit pattern, walk): share of the sampled steps in which an item of n words and a stretch at its budget agree."""
+    rng = np.random.default_rng((SEED, n, budget))
+    size = 2 * n + budget
+    rows = [[*range(1, n + 1), *[0] * size]] + [
+        edited(rng, n, budget, kind) + rng.integers(1 << 40, 1 << 60, size).tolist() for _ in range(PATTERNS)]
+    flat = mixed(np.array([r[:size] for r in rows], np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15))
+    starts = np.arange(len(rows)) * size
+    ends = starts + n
+    salts = rng.integers(0, 1 << 63, (WALKS, steps_of(n, budget)), dtype=np.uint64)
+    same = np.zeros((WALKS, PATTERNS))
+    for here in walk(flat, starts, ends, salts):
+        same += here[:, 1:] == here[:, :1]
+    return (same / salts.shape[1]).T
+
+
+def steps_of(n: int, budget: int) -> int:
+    """Steps that stay inside the shortest stretch within the budget, as half of all steps move on."""
+    return max(1, 2 * (n - budget))
+
+
+@lru_cache(maxsize=4096)
+def settings(n: int, budget: int, target: float = TARGET_RECALL) -> tuple[int, int]:
+    """(places, repetitions) that reach the target recall for every kind of edit."""
+    for places in range(min(MOST_PLACES, steps_of(n, budget)), 0, -1):
+        least = 1
+        for kind in ("replace", "delete", "insert") if budget else ():
+            missed = 1.0 - (agreement(n, budget, kind) ** places).mean(axis=1)
+            least = max(least, next((r for r in range(1, MOST_REPETITIONS) if (missed ** r).mean() <= 1.0 - target), MOST_REPETITIONS))
+        if least <= FEW_REPETITIONS or places == 1:
+            return places, least
+    raise AssertionError
+
+
+def plan_of(n: int, budget: int) -> Plan:
+    """The walks and sampled places of a length; the same in every run."""
+    places, repetitions = settings(n, budget)
+    rng = np.random.default_rng((SEED, 1, n, budget))
+    steps = steps_of(n, budget)
+    sampled = np.zeros((repetitions, steps), bool)
+    for r in range(repetitions):
+        sampled[r, rng.choice(steps, places, replace=False)] = True
+    salts = rng.integers(0, 1 << 63, (repetitions, steps), dtype=np.uint64)
+    # Steps behind the last sampled one need not be walked.
+    last = int(np.flatnonzero(sampled.any(axis=0))[-1]) + 1
+    return Plan(salts[:, :last], sampled[:, :last])
 
 
 def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS) -> Items | None:
-    """The search structure of some items; None if none has ``LEAST_WORDS`` words."""
+    """The search structure of some items; None if none has words."""
     how = spelling(PUNCTUATION, lower=True)
     read = [(i, word_hashes(t or "", how)) for i, t in items]
-    read = [(i, w) for i, w in read if len(w) >= LEAST_WORDS]
+    read = [(i, w) for i, w in read if len(w)]
     if not read:
         return None
     ids, words = [i for i, _ in read], [w for _, w in read]
@@ -111,8 +182,17 @@ def prepare(items: list[tuple[Any, str | None]], edits: float = EDITS) -> Items
     pairs = np.array([(w, i) for i, ws in enumerate(own) for w in ws.tolist()], np.uint64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     plain = np.isin(np.arange(len(lengths)), classes[needed < 1])
+    length_budgets = np.floor(lengths * edits + 1e-9).astype(np.int64)
+    plans = [plan_of(int(n), int(b)) for n, b in zip(lengths, length_budgets)]
+    flat, first = np.concatenate(words), np.concatenate(([0], np.cumsum(sizes)))
+    keys = []
+    for c, plan in enumerate(plans):
+        own_class = np.flatnonzero(classes == c)
+        found = keys_of(flat, first[own_class], first[own_class + 1], plan)
+        order = np.argsort(found.ravel(), kind="stable")
+        keys.append((found.ravel()[order], np.broadcast_to(own_class, found.shape).ravel()[order]))
     return Items(ids, words, budgets, lengths, classes, known, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), needed,
-                 plain, np.floor(lengths * edits + 1e-9).astype(np.int64), pieces_of(words, budgets))
+                 plain, length_budgets, plans, keys)
 
 
 def gathered(group: Group, items: Items, known: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,63 +237,44 @@ def crowded(group: Group, items: Items, known: np.ndarray, ends: np.ndarray) ->
     return np.concatenate(starts), np.concatenate(classes)
 
 
-def screened(group: Group, items: Items) -> tuple[np.ndarray, ...]:
-    """known words, row ends, and the windows of ``gathered`` and ``crowded``."""
+def lanes(group: Group, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, length class) of the windows that hold enough of the items' words, by class."""
     known = items.known[_place(group.hashes)]
     ends = np.repeat(group.bounds[1:], np.diff(group.bounds))
-    return known, ends, *gathered(group, items, known, ends), *crowded(group, items, known, ends)
-
-
-def lanes(group: Group, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, size, length class) of the windows that hold enough of the items' words."""
-    _, ends, start, item, more, plain = screened(group, items)
-    both = np.unique(start * len(items.lengths) + items.classes[item])
-    start = np.concatenate((both // len(items.lengths), more))
-    c = np.concatenate((both % len(items.lengths), plain))
-    return start, np.minimum(start + items.lengths[c], ends[start]) - start, c
+    start, item = gathered(group, items, known, ends)
+    more, plain = crowded(group, items, known, ends)
+    span = len(group.hashes) + 1
+    both = np.unique(np.concatenate((items.classes[item] * span + start, plain * span + more)))
+    return both % span, both // span
 
 
 def candidates(group: Group, items: Items) -> list[tuple[int, int, int, int]]:
     """(row, item, first word, end) of what must be searched, in order and without overlap.
 
-    A piece counts where a window of the screen begins within the item's budget
-    of where the piece puts the item's first word; the nearest stretch begins
-    with such a window.
+    A window that shares a key with an item may begin up to the budget before or
+    behind the stretch that it comes from.
     """
-    words, n = group.hashes, len(group.hashes)
-    known, ends, start, item, more, plain = screened(group, items)
-    cover = np.zeros(n + 1, np.int64)
-    for first, c in ((start, items.classes[item]), (more, plain)):
-        np.add.at(cover, first, 1)
-        np.add.at(cover, np.minimum(first + items.lengths[c] + items.length_budgets[c], ends[first]), -1)
-    inside = known & (np.cumsum(cover[:-1]) > 0)
-    missing = np.concatenate(([0], np.cumsum(~inside)))
-    # Windows of single items, and of length classes behind them, as one sorted list.
-    span = n + 1
-    windows = np.sort(np.concatenate((item * span + start, (len(items.ids) + plain) * span + more)))
+    start, classes = lanes(group, items)
+    ends = np.repeat(group.bounds[1:], np.diff(group.bounds))
     found = [np.zeros((0, 3), np.int64)]
-    for size, keys, owner, offset in items.pieces:
-        at = np.flatnonzero(inside[:max(n - size + 1, 0)])
-        at = at[(missing[at + size] == missing[at]) & (at + size <= ends[at])]
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo:lo + (1 << 16)]
-            here = piece_keys(words, part, size)
+    for c in np.unique(classes).tolist():
+        own, (keys, owner), plan = start[classes == c], items.keys[c], items.plans[c]
+        step = max(1, (1 << 18) // len(plan.salts))
+        for lo in range(0, len(own), step):
+            part = own[lo:lo + step]
+            here = keys_of(group.hashes, part, np.minimum(part + items.lengths[c], ends[part]), plan)
             low, high = np.searchsorted(keys, here), np.searchsorted(keys, here, side="right")
-            times = high - low
-            place = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-            t, i = np.repeat(part, times), owner[place]
-            begin, budget = t - offset[place], items.budgets[i]
-            lane = np.where(items.needed[i] > 0, i, len(items.ids) + items.classes[i]) * span
-            near = np.searchsorted(windows, lane + np.maximum(begin - budget, 0)) < np.searchsorted(
-                windows, lane + np.clip(begin + budget, -1, n), side="right")
-            t, i, begin = t[near], i[near], begin[near]
-            row = np.searchsorted(group.bounds, t, side="right") - 1
-            found.append(np.stack((row, i, begin), axis=1))
+            r, i = np.nonzero(low < high)
+            times = (high - low)[r, i]
+            place = np.repeat(low[r, i] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            at = np.repeat(part[i], times)
+            row = np.searchsorted(group.bounds, at, side="right") - 1
+            found.append(np.unique(np.stack((row, owner[place], at), axis=1), axis=0))
     out: list[tuple[int, int, int, int]] = []
     for row, i, begin in np.unique(np.concatenate(found), axis=0).tolist():
         size, budget = len(items.words[i]), int(items.budgets[i])
         low = max(begin - budget, int(group.bounds[row]))
-        high = min(begin + size + budget, int(group.bounds[row + 1]))
+        high = min(begin + size + 2 * budget, int(group.bounds[row + 1]))
         if out and out[-1][:2] == (row, i) and low <= out[-1][3]:
             out[-1] = (row, i, out[-1][2], high)
         else:
@@ -295,8 +356,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     Columns: the document's key, the item's key, its edit distance, the item's
     number of words and where the nearest stretch lies (words, end exclusive).
-    Null texts are empty; items with fewer than ``LEAST_WORDS`` words are not
-    looked for. Repeated documents and items give repeated rows.
+    Null texts are empty; items without words are not looked for. Repeated
+    documents and items give repeated rows.
     """
     rows = docs.select(base.named(key).alias("_key"), base.named(text).cast("string").alias("_text"))
     kind = items.schema[item_key].dataType
@@ -315,21 +376,16 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         at.append(group.first + row)
                         which.append(model.ids[item])
                         values.append((distance, len(model.words[item]), first, end))
-                ids = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_key").take(pa.array(at, pa.int64())), ids if which else pa.array([], target),
+                    [batch.column("_key").take(pa.array(at, pa.int64())), pa.array(which, target),
                      *[pa.array([v[i] for v in values], pa.int64()) for i in range(4)]], [key, item_key, *RESULTS])
 
-        target = _arrow_type(kind)
+        target = to_arrow_type(kind)
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-
-
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                edits: float = EDITS) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all columns."""
