@@ -2,8 +2,13 @@
 
 Two generative models give each hashed n-gram a probability: one of target text
 (documents labelled as good) and one of raw text (all documents). A document's
-log-weight is the sum of its n-grams' log-ratios. Adding Gumbel noise and taking
-the k largest draws k documents without replacement in proportion to weight.
+log-weight is what ``TEMPER`` of its n-grams give on average, the same rule at
+every length. Adding Gumbel noise and taking the k largest draws k documents
+without replacement in proportion to weight.
+
+``k`` is the caller's: a sample takes fewer documents than look good. As a
+filter (``keep_good``), k is the number of documents that weigh at least what
+nearly all labelled good ones do.
 
 The n-grams are words, word pairs (all pairs of a word with itself count as one)
 and pairs of word shapes. Counting and scoring are one pass each over whole
@@ -30,10 +35,10 @@ TOTAL = sum(SIZES)
 TARGET_DOCUMENTS = 20_000
 #: Counts by which a ratio is drawn towards one, so that rare n-grams say little.
 SHRINK = 30.0
-#: A longer document weighs what an average stretch of so many of its n-grams does.
-STRETCH = 200
-#: A document does not count for the sample's size if its log-weight is below minus this.
-MARGIN = 16.0
+#: A document weighs what so many of its n-grams do on average; more make a sample stricter.
+TEMPER = 40.0
+#: Share of the labelled good documents that may weigh less than those a filter counts.
+MISSED = 0.001
 #: Rows that may come to the driver to settle the cut exactly.
 CUT_ROWS = 10_000
 
@@ -73,12 +78,10 @@ def model_of(target: np.ndarray, raw: np.ndarray) -> Model:
 
 
 def log_weights(group: Group, good: np.ndarray, model: Model) -> np.ndarray:
-    """Sum over a row's n-grams of the log of observed over expected target count, both shrunk.
+    """Mean over a row's n-grams of the log of observed over expected target count, both shrunk, times ``TEMPER``.
 
-    Beyond ``STRETCH`` n-grams the sum is scaled down to so many, so that a
-    language or topic that the target holds a little less of doesn't sink a
-    document by its length alone. A document's own n-grams are taken out of the counts it is held against, of
-    the target's too if it is one of the target documents.
+    A document's own n-grams are taken out of the counts it is held against, of
+    the target's too if it is one of the target documents. No n-gram: 0.
     """
     n = len(group.bounds) - 1
     row, bucket = features(group)
@@ -87,15 +90,18 @@ def log_weights(group: Group, good: np.ndarray, model: Model) -> np.ndarray:
     target = model.target[bucket] - np.where(good[row], own, 0)
     expected = (model.raw[bucket] - own) * model.share[bucket]
     total = np.bincount(row, own * np.log((target + SHRINK) / (expected + SHRINK)), minlength=n)
-    return total * (STRETCH / np.maximum(np.bincount(row, own, minlength=n), STRETCH))
+    return TEMPER * total / np.maximum(np.bincount(row, own, minlength=n), 1)
+
 
+def good_keys(labels: DataFrame, key: str) -> DataFrame:
+    """(_id): keys of the documents that are labelled as good."""
+    return labels.filter("quality = 1").select(base.named(key).alias("_id")).filter("_id is not null").distinct()
 
-def target_rows(docs: DataFrame, labels: DataFrame, key: str, documents: int) -> DataFrame:
-    """``docs`` with ``_good``: whether the row is one of the target documents."""
-    good = (labels.filter("quality = 1").select(base.named(key).alias("_id")).filter("_id is not null").distinct()
-            .orderBy(F.xxhash64("_id"), "_id").limit(documents).withColumn("_hit", F.lit(True)))
-    return docs.join(F.broadcast(good), base.named(key) == F.col("_id"), "left").withColumn(
-        "_good", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
+
+def target_rows(rows: DataFrame, labels: DataFrame, key: str, documents: int) -> DataFrame:
+    """``rows`` with ``_good``: whether ``_id`` is one of the target documents."""
+    good = good_keys(labels, key).orderBy(F.xxhash64("_id"), "_id").limit(documents).withColumn("_hit", F.lit(True))
+    return rows.join(F.broadcast(good), "_id", "left").withColumn("_good", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -106,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     documents; target counts cover up to ``documents`` labelled ones. Without
     any target text all log-weights are 0.
     """
-    rows = target_rows(docs, labels, key, documents).select("_good", base.named(text).cast("string").alias("_text"))
+    rows = target_rows(docs.select(base.named(key).alias("_id"), base.named(text).cast("string").alias("_text")),
+                       labels, key, documents).select("_good", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, TOTAL), np.int64)
@@ -127,23 +134,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model_of(target, raw)
 
 
-def noise(*columns: Column) -> Column:
-    """Standard Gumbel noise from a hash, so that a rerun draws the same."""
-    share = (F.shiftrightunsigned(F.xxhash64(*columns), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+def noise(seed: int | Column, *columns: Column) -> Column:
+    """Standard Gumbel noise from a hash, so that a rerun draws the same and another seed differently."""
+    seeded = F.xxhash64(seed if isinstance(seed, Column) else F.lit(seed), *columns)
+    share = (F.shiftrightunsigned(seeded, 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(-F.log(share))
 
 
 def score(docs: DataFrame, model: Model, labels: DataFrame, key: str = "doc_id", text: str = "text",
-          documents: int = TARGET_DOCUMENTS, keep_text: bool = False, cut: float | None = None) -> DataFrame:
+          documents: int = TARGET_DOCUMENTS, seed: int = 0, keep_text: bool = False, cut: float | None = None) -> DataFrame:
     """Columns of ``docs`` (the text only if asked), ``log_weight`` and ``draw`` (log-weight plus noise).
 
     Rows with a draw below ``cut`` are left out. A text without words (also a
-    null one) has log-weight 0.
+    null one) has log-weight 0. Input columns named like a result are replaced.
     """
     carried = [c for c in base.beside(docs, ["log_weight", "draw"]) if keep_text or c != text]
-    rows = target_rows(docs, labels, key, documents).select(
-        *[base.named(c) for c in carried], noise(base.named(key), base.named(text)).alias("_noise"), "_good",
-        base.named(text).cast("string").alias("_text"))
+    rows = target_rows(docs.select(
+        F.struct(*[base.named(c) for c in carried]).alias("_row"), base.named(key).alias("_id"),
+        noise(seed, base.named(key), base.named(text)).alias("_noise"), base.named(text).cast("string").alias("_text")),
+        labels, key, documents).select("_row", "_noise", "_good", "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     known = bool(model.target.any())
 
@@ -156,12 +165,12 @@ def score(docs: DataFrame, model: Model, labels: DataFrame, key: str = "doc_id",
                 weights[part] = log_weights(group, good[part], shared.value)
             weights = np.round(weights, 6)
             draw = weights + batch.column("_noise").to_numpy(zero_copy_only=False)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(weights), pa.array(draw)],
-                                             [*batch.schema.names[:-3], "log_weight", "draw"])
+            out = pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(weights), pa.array(draw)],
+                                             ["_row", "log_weight", "draw"])
             yield out if cut is None else out.filter(pa.array(draw >= cut))
 
-    schema = rows.drop("_noise", "_good", "_text").schema.add("log_weight", T.DoubleType()).add("draw", T.DoubleType())
-    return rows.mapInArrow(run, schema)
+    schema = rows.select("_row").schema.add("log_weight", T.DoubleType()).add("draw", T.DoubleType())
+    return rows.mapInArrow(run, schema).select("_row.*", "log_weight", "draw")
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
@@ -193,23 +202,40 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
             return sorted((r[0] for r in rest), reverse=True)[left - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None,
+def resample(docs: DataFrame, labels: DataFrame, k: int, key: str = "doc_id", text: str = "text", seed: int = 0,
              documents: int = TARGET_DOCUMENTS) -> tuple[DataFrame, Cut]:
     """Scored rows without their texts (stored), and the model with the draw that the k-th document has.
 
-    ``k`` is by default the number of documents whose log-weight is at least
-    ``-MARGIN``. Rows that tie with the k-th are all in.
+    Rows that tie with the k-th are all in; with k rows or fewer, all rows are.
     """
     model = fit(docs, labels, key, text, documents)
-    scored = base.stored(score(docs, model, labels, key, text, documents), "quality-scores")
-    if k is None:
-        k = scored.filter(F.col("log_weight") >= -MARGIN).count()
+    scored = base.stored(score(docs, model, labels, key, text, documents, seed), "quality-scores")
     return scored, Cut(model, kth_largest(scored, "draw", k))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that the sample of ``resample`` holds, with all columns."""
-    marked = docs.withColumnsRenamed({"log_weight": "_own_weight", "draw": "_own_draw"})
-    _, cut = resample(docs.select(base.named(key), base.named(text)), labels, key, text, k)
-    kept = score(marked, cut.model, labels, key, text, keep_text=True, cut=cut.cut).drop("log_weight", "draw")
-    return kept.withColumnsRenamed({"_own_weight": "log_weight", "_own_draw": "draw"})
+def number_good(scored: DataFrame, labels: DataFrame, key: str = "doc_id", missed: float = MISSED) -> int:
+    """How many rows weigh at least what all but a share ``missed`` of the labelled good ones do; all rows without labels.
+
+    ``scored`` is stored and has the key and ``log_weight``.
+    """
+    good = base.stored(scored.withColumnRenamed(key, "_id").join(good_keys(labels, key), "_id", "leftsemi").select(
+        "log_weight"), "quality-good")
+    n = good.count()
+    if not n:
+        return scored.count()
+    least = good.agg(F.min("log_weight")).first()[0] if int(n * missed) == 0 else kth_largest(good, "log_weight", n - int(n * missed))
+    return scored.filter(F.col("log_weight") >= least).count()
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None,
+              missed: float = MISSED, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that a sample of k holds, with all columns; without k, of ``number_good`` rows."""
+    marked = docs.select(F.struct(*[base.named(c) for c in docs.columns]).alias("_own"), base.named(key).alias("_key"),
+                         base.named(text).alias("_body"))
+    labels = labels.select(base.named(key).alias("_key"), "quality")
+    model = fit(marked, labels, "_key", "_body")
+    scored = base.stored(score(marked.select("_key", "_body"), model, labels, "_key", "_body", seed=seed), "quality-scores")
+    if k is None:
+        k = number_good(scored, labels, "_key", missed)
+    kept = score(marked, model, labels, "_key", "_body", seed=seed, cut=kth_largest(scored, "draw", k))
+    return kept.select("_own.*")

@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Spread over so many columns' worth of decimals that both engines agree on.
 DIGITS = 6
+#: Share of the documents that op8 draws.
+SAMPLE_SHARE = 0.5
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -80,9 +82,9 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's log-weight and draw, and whether the sample holds it."""
+    """Every document's log-weight and draw, and whether a sample of ``SAMPLE_SHARE`` of the documents holds it."""
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored, cut = quality.resample(docs, base.table(spark, sf_dir, "labels"))
+    scored, cut = quality.resample(docs, base.table(spark, sf_dir, "labels"), round(docs.count() * SAMPLE_SHARE))
     return scored.select("doc_id", "log_weight", "draw", (F.col("draw") >= cut.cut).alias("kept"))
 
 

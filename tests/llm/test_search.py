@@ -148,10 +148,11 @@ def leak_case(seed, n_items=30):
 
 def test_leaks_against_brute_force(spark):
     items, docs = leak_case(1)
-    item_rows = [(i, " ".join(w).title() + ".") for i, w in enumerate(items)] + [(100, None), (101, ""), (102, "too short")]
+    items += [["odd"], ["the", "odd"], ["the", "of", "a", "the"]]
+    item_rows = [(i, " ".join(w).title() + ".") for i, w in enumerate(items)] + [(100, None), (101, "")]
     doc_rows = [(i, ", ".join(w), 7) for i, w in enumerate(docs)] + [(900, None, 7), (901, "", 7)]
     frame = spark.createDataFrame(doc_rows, TEXTS + ", distance int")
-    bench = spark.createDataFrame(item_rows, "item_id bigint, text string")
+    bench = spark.createDataFrame(item_rows, "item_id smallint, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(frame, bench).collect()}
     want = {}
     for d, body in enumerate(docs):
@@ -159,7 +160,9 @@ def test_leaks_against_brute_force(spark):
             if (e := edit_share(item, body)) <= int(len(item) * .2 + 1e-9):
                 want[d, i] = e
     found = [k for k in want if k in got]
-    assert set(got) <= set(want) and len(found) >= 0.95 * len(want) and len(want) > 60
+    assert set(got) <= set(want) and len(found) >= 0.98 * len(want) and len(want) > 60
+    # Items without a budget are looked up.
+    assert all(k in got for k, e in want.items() if len(items[k[1]]) < 5) and any(k[1] == 31 for k in want)
     assert all(got[k]["distance"] >= want[k] for k in found)
     assert sum(got[k]["distance"] == want[k] for k in found) >= 0.95 * len(found)
     for (d, i), r in got.items():
@@ -174,7 +177,7 @@ def test_screen_loses_nothing():
     model = decontaminate.prepare([(i, " ".join(w)) for i, w in enumerate(items)])
     column = pa.array([" ".join(d) for d in docs])
     for group in words.groups(column, words.spelling(words.PUNCTUATION, True), 2000):
-        starts, _, classes = decontaminate.lanes(group, model)
+        starts, classes = decontaminate.lanes(group, model)
         near = set(zip(starts.tolist(), model.lengths[classes].tolist()))
         for row, (a, b) in enumerate(zip(group.bounds, group.bounds[1:])):
             body = docs[group.first + row]
@@ -185,30 +188,51 @@ def test_screen_loses_nothing():
                                for s, n in near if n == len(item) and a <= s < b)
 
 
-@pytest.mark.parametrize("kind", ["replace", "delete", "insert", "mixed"])
-@pytest.mark.parametrize("size", [5, 15, 40, 58, 100, 200])
-def test_no_leak_at_the_full_budget_is_lost(size, kind):
+def full_budget_case(size, kind, n=40):
     rnd = random.Random(f"{size} {kind}")
     # Words that all items share leave no telling word; half of the items have only such words.
-    shared, found = [f"s{i}" for i in range(80)], 0
-    items = [[rnd.choice(shared) if i % 2 else f"w{i}x{j}" for j in range(size)] for i in range(40)]
-    model, budget = decontaminate.prepare([(i, " ".join(w)) for i, w in enumerate(items)]), size // 5
+    shared = [f"s{i}" for i in range(80)]
+    items = [[rnd.choice(shared) if i % 2 else f"w{i}x{j}" for j in range(size)] for i in range(n)]
     docs = []
     for item in items:
         body = [[w] for w in item]
-        for at in rnd.sample(range(size), budget):
+        for at in rnd.sample(range(size), size // 5):
             how = rnd.choice(["replace", "delete", "insert"]) if kind == "mixed" else kind
             body[at] = {"replace": ["odd"], "delete": [], "insert": ["odd", *body[at]]}[how]
         docs.append([*["before"] * 30, *[w for ws in body for w in ws], *["after"] * 30])
+    return items, docs
+
+
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert", "mixed"])
+@pytest.mark.parametrize("size", [1, 4, 5, 15, 40, 58, 100, 200])
+def test_recall_at_the_full_budget(size, kind):
+    items, docs = full_budget_case(size, kind)
+    model, budget, found = decontaminate.prepare([(i, " ".join(w)) for i, w in enumerate(items)]), size // 5, 0
     for group in words.groups(pa.array([" ".join(d) for d in docs]), words.spelling(words.PUNCTUATION, True), 1 << 14):
         got = decontaminate.found_in(group, model)
         for row in range(len(group.bounds) - 1):
             i = group.first + row
+            if (row, i) not in got:
+                continue
             distance, first, end = got[row, i]
             assert distance == edit_share(items[i], docs[i]) <= budget
             assert edit_share(items[i], docs[i][first:end]) == distance
             found += 1
-    assert found == 40
+    # Of 40, two may be missing by chance though the recall is .995.
+    assert found >= (38 if budget else 40)
+
+
+def test_repetitions_follow_the_length():
+    """Longer items need more repetitions or fewer places per key; without edits one repetition is enough."""
+    assert decontaminate.settings(3, 0) == (3, 1)
+    chosen = [decontaminate.settings(n, n // 5) for n in (5, 15, 25, 40, 58, 100, 200)]
+    assert [c[0] for c in chosen] == sorted((c[0] for c in chosen), reverse=True)
+    assert all(r <= decontaminate.FEW_REPETITIONS or p == 1 for p, r in chosen)
+    assert max(r for _, r in chosen) < decontaminate.MOST_REPETITIONS
+    for n, (p, r) in zip((5, 15, 25, 40, 58, 100, 200), chosen):
+        for kind in ("replace", "delete", "insert"):
+            hit = (decontaminate.agreement(n, n // 5, kind) ** p).mean(axis=1)
+            assert (1 - (1 - hit) ** r).mean() >= decontaminate.TARGET_RECALL
 
 
 def test_the_nearest_of_several_stretches_is_found():
@@ -285,22 +309,73 @@ def quality_case(spark, n=600):
             spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
 
 
-def test_quality_held_out(spark):
+def test_quality_filter_held_out(spark):
+    docs, labels = quality_case(spark)
+    kept = quality.keep_good(docs.withColumns({"draw": F.lit("own"), "_own": F.lit(1), "_id": F.lit(2), "_text": F.lit("t"),
+                                               "_good": F.lit(3), "_row": F.lit(4), "_noise": F.lit(5)}), labels)
+    assert kept.columns == ["doc_id", "text", "draw", "_own", "_id", "_text", "_good", "_row", "_noise"]
+    rows = kept.collect()
+    assert {tuple(r)[2:] for r in rows} == {("own", 1, 2, "t", 3, 4, 5)}
+    ids = [r["doc_id"] for r in rows]
+    unseen = [i for i in range(600) if i % 2 and i % 6]
+    assert set(unseen) <= set(ids) and sum(i is not None and i < 600 and i % 6 == 0 for i in ids) <= 2
+    assert ids.count(600) == 2 and ids.count(None) == 1
+
+
+def test_quality_query_samples(spark, tmp_path):
+    """Weights against a plain count, and a kept set that no threshold on the weights gives."""
+    from cohortmill.llm import queries
     docs, labels = quality_case(spark)
-    scored, cut = quality.resample(docs, labels)
-    unseen = [(r["doc_id"] % 6 != 0, r["draw"] >= cut.cut) for r in scored.filter("doc_id % 2 = 1 and doc_id < 600").collect()]
-    assert all(kept for good, kept in unseen if good) and len(unseen) == 300
-    seen = {r["doc_id"]: r["draw"] >= cut.cut for r in scored.filter("doc_id < 600").collect()}
-    assert sum(seen[i] for i in range(0, 600, 6)) <= 2 and scored.filter("log_weight = 0").count() >= 3
-    kept = quality.keep_good(docs.withColumn("draw", F.lit("own")), labels)
-    assert kept.columns == ["doc_id", "text", "draw"] and kept.first()["draw"] == "own"
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id < 600").select("doc_id").collect()) == sorted(k for k, v in seen.items() if v)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op8_quality_resampling(spark, str(tmp_path)).collect()
+    assert len(got) == 603 and sum(r["kept"] for r in got) == round(603 * queries.SAMPLE_SHARE)
+    assert min(r["draw"] for r in got if r["kept"]) > max(r["draw"] for r in got if not r["kept"])
+    assert min(r["log_weight"] for r in got if r["kept"]) < max(r["log_weight"] for r in got if not r["kept"])
+
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    buckets = {i: [b for g in words.groups(pa.array([t]), words.spelling(words.BLANK, False)) for b in quality.features(g)[1].tolist()]
+               for i, t in text.items()}
+    raw, target = [0] * quality.TOTAL, [0] * quality.TOTAL
+    for i, bs in buckets.items():
+        for b in bs:
+            raw[b] += 1
+            target[b] += i in good
+    stream = [0, quality.SIZES[0], quality.SIZES[0] + quality.SIZES[1], quality.TOTAL]
+    share = [sum(target[a:b]) / max(1, sum(raw[a:b])) for a, b in zip(stream, stream[1:])]
+    for i in [None, 600, *range(0, 600, 37)]:
+        own, total = buckets[i], 0.0
+        for b in own:
+            part = share[0 if b < stream[1] else 1 if b < stream[2] else 2]
+            seen = own.count(b)
+            total += np.log((target[b] - (seen if i in good else 0) + quality.SHRINK)
+                            / ((raw[b] - seen) * part + quality.SHRINK))
+        want = quality.TEMPER * total / max(1, len(own))
+        assert next(r["log_weight"] for r in got if r["doc_id"] == i) == pytest.approx(want, abs=1e-5)
+
+
+def test_draws_follow_the_weights(spark):
+    """Over many seeds, how often a row is among the k largest draws is what drawing without replacement gives."""
+    weights, k, seeds = [1.0, 2.0, 3.0, 6.0, 12.0], 2, 6000
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "i int, w double").crossJoin(
+        spark.range(seeds).withColumnRenamed("id", "seed"))
+    drawn = rows.withColumn("draw", F.log("w") + quality.noise(F.col("seed"), F.col("i"))).groupBy("seed").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("draw", "i")), asc=False), 1, k)["i"].alias("held"))
+    counts = {r["i"]: r["n"] for r in drawn.select(F.explode("held").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}
+    total = sum(weights)
+    for i, w in enumerate(weights):
+        share = w / total + sum(v / total * w / (total - v) for j, v in enumerate(weights) if j != i)
+        assert counts[i] / seeds == pytest.approx(share, abs=4 * (share * (1 - share) / seeds) ** .5)
 
 
 def test_quality_without_labels_or_documents(spark):
     docs, labels = quality_case(spark, 20)
     assert quality.keep_good(docs, labels.filter("false")).count() == docs.count()
     assert quality.keep_good(docs.filter("false"), labels).count() == 0
+    assert quality.keep_good(docs, labels, k=4).count() == 4
+    scored, cut = quality.resample(docs, labels, 7, seed=3)
+    assert scored.filter(F.col("draw") >= cut.cut).count() == 7
 
 
 @pytest.mark.parametrize("k", [0, 1, 17, 999, 1000, 5000])
