@@ -5,6 +5,11 @@ span becomes one training window: the system turn, a few turns of history, and
 the span's own turns. Only assistant turns of the span itself carry loss, so a
 target that is repeated as history is masked there.
 
+A window keeps to its budget: turns longer than a quarter of it stand alone,
+shorter ones share spans of less than half of it, and what is repeated gets the
+rest, the system turn first, then the nearest turns. The one exception is a turn
+that alone exceeds the budget: it is kept whole, in a window without context.
+
 A turn is written as ``<|im_start|>role<|im_sep|>text<|im_end|>``. Inside roles
 and texts a backslash is doubled and ``<|`` becomes ``<\\|``; so no control string
 can come from a text, and reading back is exact.
@@ -33,8 +38,8 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Turns with their number ``rn`` (from 1) and the tokens before them, by conversation.
+def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str, room: int) -> DataFrame:
+    """Turns with their number ``rn`` (from 1), the tokens and the long turns (beyond ``room``) before them, by conversation.
 
     Rows stand by turn (null first), role, text; null roles and texts are empty.
     Sums are taken in blocks of turn numbers, so a long conversation is not
@@ -48,30 +53,35 @@ def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 40))))
     before = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    blocks = rows.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).select(
+    rows = rows.withColumn("long", (F.col("tokens") > room).cast("int"))
+    blocks = rows.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("long").alias("l")).select(
         "c", "block", F.coalesce(F.sum("n").over(before), zero).alias("n0"),
-        F.coalesce(F.sum("t").over(before), zero).alias("t0"))
+        F.coalesce(F.sum("t").over(before), zero).alias("t0"), F.coalesce(F.sum("l").over(before), zero).alias("l0"))
     inside = Window.partitionBy("c", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(blocks, ["c", "block"]).select(
-        "c", "conv", "role", "text", "tokens", (F.col("n0") + F.row_number().over(inside)).alias("rn"),
-        (F.col("t0") + F.sum("tokens").over(upto) - F.col("tokens")).alias("before"))
+        "c", "conv", "role", "text", "tokens", "long", (F.col("n0") + F.row_number().over(inside)).alias("rn"),
+        (F.col("t0") + F.sum("tokens").over(upto) - F.col("tokens")).alias("before"),
+        (F.col("l0") + F.sum("long").over(upto) - F.col("long")).alias("longs"))
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
             budget: int = BUDGET, history: int = HISTORY_TURNS) -> DataFrame:
-    """One row per window: conv, window, context, formatted, spans.
-
-    Half of the budget is for the span's own turns: a turn belongs to the span
-    in which its first token falls, so no turn is cut; a last turn may reach
-    beyond. The other half is for the up to ``history`` turns before, each of
-    which is repeated if it fits its equal share. ``context`` counts the leading turns that are
-    repeated (system turn, history). ``spans`` are the loss ranges of
-    ``formatted`` in code points, end exclusive. A conversation whose first turn
-    is a system turn keeps it in every window.
+    """One row per window: conv, window, tokens, context, formatted, spans.
+
+    A quarter of the budget is a span's room: a turn of up to that size belongs
+    to the span in which its first token falls, so no turn is cut and a span has
+    less than half of the budget; a longer turn is a span of its own. The rest
+    of the budget goes to the system turn, if the conversation's first turn is
+    one, and then to the up to ``history`` turns before, nearest first, as long
+    as they fit. ``window`` orders a conversation's windows. ``tokens`` exceeds
+    the budget only where a single turn does. ``context`` counts the leading
+    turns that are repeated (system turn, history). ``spans`` are the loss
+    ranges of ``formatted`` in code points, end exclusive.
     """
-    room = max(1, budget // 2)
-    rows = numbered(turns, conv, turn, role, text).withColumn("window", F.floor(F.col("before") / room))
+    room = max(1, budget // 4)
+    rows = numbered(turns, conv, turn, role, text, room).withColumn("window", F.struct(
+        F.floor(F.col("before") / room).alias("room"), "longs", "long"))
     piece = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP), escape(F.col("text")), F.lit(END))
     head = F.length(escape(F.col("role"))) + len(START) + len(SEP)
     rows = base.stored(rows.select(
@@ -80,18 +90,27 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         piece.alias("piece"), head.alias("head")), "chat-turns")
 
     first = rows.groupBy("c", "window").agg(F.min("rn").alias("first")).filter("first > 1")
-    wanted = first.select("c", F.col("window").alias("to"), F.explode(F.sequence(
-        F.greatest(F.lit(1), F.col("first") - history), F.col("first") - 1)).alias("rn")) if history else None
     repeated = first.select("c", F.col("window").alias("to")).join(rows.filter("system").drop("window"), "c")
-    if wanted is not None:
+    if history:
+        wanted = first.select("c", F.col("window").alias("to"), F.explode(F.sequence(
+            F.greatest(F.lit(1), F.col("first") - history), F.col("first") - 1)).alias("rn"))
         repeated = repeated.unionByName(wanted.join(
-            rows.filter(~F.col("system") & (F.col("tokens") * (2 * history) <= budget)), ["c", "rn"]).select(*repeated.columns))
+            rows.filter(~F.col("system") & (F.col("tokens") <= budget)), ["c", "rn"]).select(*repeated.columns))
     parts = rows.select("c", "conv", "window", F.struct(
-        F.lit(True).alias("own"), "rn", "piece", "head", "target").alias("part")).unionByName(
+        F.lit(True).alias("own"), "rn", "piece", "head", "target", "system", "tokens").alias("part")).unionByName(
         repeated.select("c", "conv", F.col("to").alias("window"), F.struct(
-            F.lit(False).alias("own"), "rn", "piece", "head", F.lit(False).alias("target")).alias("part")))
+            F.lit(False).alias("own"), "rn", "piece", "head", F.lit(False).alias("target"), "system", "tokens").alias("part")))
     # A window's turns are bounded by the budget, as each has at least TURN_TOKENS tokens.
     whole = parts.groupBy("c", "window").agg(F.first("conv").alias("conv"), F.sort_array(F.collect_list("part")).alias("parts"))
+    size = lambda some: F.aggregate(some, F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"])
+    whole = whole.withColumns({"own": F.filter("parts", lambda x: x["own"]),
+                               "near": F.filter("parts", lambda x: ~x["own"] & ~x["system"])})
+    whole = whole.withColumn("lead", F.filter("parts", lambda x: ~x["own"] & x["system"] & (
+        x["tokens"] <= F.lit(budget) - size(F.col("own")))))
+    whole = whole.withColumn("rest", F.lit(budget) - size(F.col("own")) - size(F.col("lead")))
+    whole = whole.withColumn("near", F.filter("near", lambda x: size(F.filter(
+        "near", lambda y: y["rn"] >= x["rn"])) <= F.col("rest")))
+    whole = whole.withColumn("parts", F.concat("lead", "near", "own"))
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -101,7 +120,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
             acc["spans"]).alias("spans"))
 
     return whole.select(
-        "conv", "window", F.size(F.filter("parts", lambda x: ~x["own"])).alias("context"),
+        "conv", "window", size(F.col("parts")).alias("tokens"), (F.size("lead") + F.size("near")).alias("context"),
         F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("formatted"),
         F.aggregate("parts", nothing, add)["spans"].alias("spans"))
 

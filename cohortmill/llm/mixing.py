@@ -99,7 +99,9 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     inside a document; taken: their sum. positions: where the passes' copies
     stand, 0..1, null if nothing is taken. Input columns with these names are
     replaced. Null sources are a source of their own. Rows stand in the order
-    of the md5 of their key, then size, then a hash of the text, so reruns agree.
+    of the md5 of their key and text, so reruns agree, and rows with a null or
+    repeated key spread over the slices too; rows equal in both are
+    interchangeable.
     """
     carried = [c for c in base.beside(docs, RESULTS) if carry is None or c in carry]
     passes = int(-(-max_repeat // 1))
@@ -108,8 +110,8 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         F.struct(*[base.named(c) for c in carried]).alias("_row"),
         F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), name.cast("string"))).alias("_group"),
         F.coalesce(F.regexp_count(base.named(text), F.lit(base.WORD)), F.lit(0)).cast("bigint").alias("_size"),
-        F.md5(F.coalesce(base.named(key).cast("string"), F.lit(""))).alias("_key"),
-        F.xxhash64(base.named(text)).alias("_text")).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
+        F.md5(F.concat(F.coalesce(base.named(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(
+            base.named(text).cast("string"), F.lit("")))).alias("_key")).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
 
     slices = base.stored(shaped.groupBy("_group", "_slice").agg(F.sum("_size").alias("_words")), "mix-slices")
     spelt = F.when(F.col("_group") != "n", F.substr("_group", F.lit(2))).alias("source")
@@ -121,7 +123,7 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     known = slices.select("_group", "_slice", offset.alias("_before")).join(
         stats.select(group.alias("_group"), "class", "source_size", "target"), "_group")
 
-    order = Window.partitionBy("_group", "_slice").orderBy("_key", "_size", "_text").rowsBetween(
+    order = Window.partitionBy("_group", "_slice").orderBy("_key").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     placed = shaped.join(known, ["_group", "_slice"]).withColumn(
         "_start", F.col("_before") + F.sum("_size").over(order) - F.col("_size"))

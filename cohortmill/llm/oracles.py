@@ -6,7 +6,7 @@ SQL: dict[str, str] = {}
 
 SQL["op1_source_mixing"] = r"""
 with d as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) k,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) k,
     cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size from documents),
 s as (
   select source, cast(sum(size) as bigint) source_size,
@@ -49,13 +49,21 @@ n as (
     length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 32 chars
   from t window c as (partition by conv_id order by turn nulls first, role, text)),
 b as (
-  select *, floor((sum(tokens) over (partition by conv_id order by rn rows between unbounded preceding and current row) - tokens)
-    / 256) win from n),
-f as (select conv_id, win, min(rn) first from b group by all having min(rn) > 1),
+  select *, floor((sum(tokens) over u - tokens) / 128) room, tokens > 128 long, count(*) filter (where tokens > 128) over u
+      - case when tokens > 128 then 1 else 0 end longs
+  from n window u as (partition by conv_id order by rn rows between unbounded preceding and current row)),
+f as (
+  select conv_id, min(rn) first, 512 - sum(tokens) rest from b group by conv_id, room, longs, long having min(rn) > 1),
+l as (
+  select f.conv_id, f.first, case when s.tokens <= f.rest then s.chars else 0 end chars,
+    f.rest - case when s.tokens <= f.rest then s.tokens else 0 end rest
+  from f left join b s on s.conv_id is not distinct from f.conv_id and s.rn = 1 and s.role = 'system'),
 h as (
-  select f.conv_id, b.chars from f join b on f.conv_id is not distinct from b.conv_id and (
-    b.rn = 1 and b.role = 'system'
-    or b.rn between f.first - 2 and f.first - 1 and not (b.rn = 1 and b.role = 'system') and b.tokens * 4 <= 512)),
+  select l.conv_id, coalesce(l.chars, 0) + case when x.tokens <= l.rest then x.chars else 0 end
+    + case when y.tokens + x.tokens <= l.rest then y.chars else 0 end chars
+  from l
+  left join b x on x.conv_id is not distinct from l.conv_id and x.rn = l.first - 1 and not (x.rn = 1 and x.role = 'system')
+  left join b y on y.conv_id is not distinct from l.conv_id and y.rn = l.first - 2 and not (y.rn = 1 and y.role = 'system')),
 r as (select conv_id, sum(chars) chars from h group by conv_id),
 g as (
   select conv_id, cast(count(*) as bigint) n_turns,

@@ -25,11 +25,12 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, and where its first copy stands in training."""
+    """Words that the mix takes of each document, in the order in which their first copies stand in training."""
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.plan_mix(docs, carry=["doc_id"])
     return plan.select("doc_id", "size", "source_size", "target", "taken",
-                       F.round(F.array_min("positions"), DIGITS).alias("position"))
+                       F.round(F.array_min("positions"), DIGITS).alias("position")).orderBy(
+        F.array_min("positions").asc_nulls_last(), "doc_id")
 
 
 @query

@@ -64,6 +64,22 @@ def test_mix_reruns_agree_and_slices_do_not_matter(spark, mixed_docs):
     assert pick(docs) == pick(docs.repartition(7))
 
 
+def test_mix_spreads_rows_without_keys(spark, tmp_path):
+    """Null and repeated keys lie in many slices, and the query's rows stand in training order."""
+    rows = [(None if i % 2 else 7, f"text {i}", "s") for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = []
+    real = mixing.base.stored
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing.base, "stored", lambda df, label: seen.append(real(df, label)) or seen[-1])
+        plan = mixing.plan_mix(docs).collect()
+    assert seen[0].count() > 1000 and sum(r["taken"] for r in plan) == 9000
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    places = [r["position"] for r in queries.op1_source_mixing(spark, str(tmp_path)).collect()]
+    shown = [p for p in places if p is not None]
+    assert shown == sorted(shown) and places[:len(shown)] == shown
+
+
 def test_training_order_sorts_copies(spark, mixed_docs):
     _, docs = mixed_docs
     got = mixing.training_order(mixing.plan_mix(docs)).collect()
@@ -136,6 +152,32 @@ def test_chat_windows_repeat_and_mask(spark):
             assert r["formatted"][s["end"]:].startswith(chat.END) and r["formatted"][:s["start"]].endswith(chat.SEP)
 
 
+def test_chat_windows_keep_their_budget(spark):
+    """A long system turn, long turns and many short ones: only a turn that alone is too long exceeds the budget."""
+    rnd = random.Random(77)
+    rows = []
+    for conv, system in enumerate([0, 30, 200, 300, 2000]):
+        rows.append((conv, 0, "system", "s " * system))
+        rows += [(conv, i, "assistant" if i % 2 else "user", "w " * rnd.choice([1, 5, 60, 124, 125, 200, 300, 900 if i % 50 == 9 else 3]))
+                 for i in range(1, 300)]
+    got = chat.windows(spark.createDataFrame(rows, TURNS)).collect()
+    by_conv = {}
+    for r in got:
+        turns = r["formatted"].split("<|im_end|>")[:-1]
+        sizes = [words(t.split("<|im_sep|>")[1]) + chat.TURN_TOKENS for t in turns]
+        assert r["tokens"] == sum(sizes)
+        assert r["tokens"] <= chat.BUDGET or len(turns) == 1 and r["context"] == 0
+        by_conv.setdefault(r["conv"], []).append((r["window"], turns, r["context"], sizes))
+    for conv, system in enumerate([0, 30, 200, 300, 2000]):
+        windows = sorted(by_conv[conv], key=lambda w: tuple(w[0]))
+        assert [t for _, turns, context, _ in windows for t in turns[context:]] == [
+            f"<|im_start|>{r}<|im_sep|>{x}" for c, _, r, x in rows if c == conv]
+        for _, turns, context, sizes in windows[1:]:
+            own = sum(sizes[context:])
+            assert turns[0].startswith("<|im_start|>system") == (own + system + chat.TURN_TOKENS <= chat.BUDGET)
+        assert any(context == 3 for _, _, context, _ in windows) == (system < 2000)
+
+
 def test_chat_empty(spark):
     assert chat.digest(chat.windows(spark.createDataFrame([], TURNS))).collect() == []
 
