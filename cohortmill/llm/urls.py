@@ -29,7 +29,7 @@ RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("
 #: Share of rank that follows links, least number of rounds, and the share of distrust that blocks a host.
 DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
 #: Rounds end when no host's rank changes by more than this share of it.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 #: Targets of links in markup that name a host, with or without a scheme.
 LINK = r"""(?i:href|src)\s*=\s*["']?\s*((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\s"'<>]+)"""
 
@@ -81,25 +81,33 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     than ``tolerance`` of itself; a host that is reached first changes by all of
     its rank, so every host that links reach has one.
 
-    ``seeds`` has host, trust and distrust. A host passes its rank on in equal
-    parts: trust to the hosts it links to, distrust to those that link to it.
-    Rank that has nowhere to go leaves the graph. Each round is written to the
-    shared folder.
+    ``seeds`` has host, trust and distrust, and each of the two is scaled to a
+    sum of one. A host passes its rank on in equal parts: trust to the hosts it
+    links to, distrust to those that link to it. Rank that has nowhere to go
+    returns to the seeds, so each kind keeps a sum of one. Each round is written
+    to the shared folder.
     """
     flows = edges.select(F.lit(0).alias("kind"), F.col("source").alias("from"), F.col("target").alias("to")).unionByName(
         edges.select(F.lit(1).alias("kind"), F.col("target").alias("from"), F.col("source").alias("to")))
-    parts = flows.groupBy("kind", "from").agg(F.count("*").alias("parts"))
+    parts = base.stored(flows.groupBy("kind", "from").agg(F.count("*").alias("parts")), "host-parts")
     flows = base.stored(flows.join(parts, ["kind", "from"]), "host-flows")
-    start = base.stored(seeds.select("host", F.explode(F.array(
+    weights = seeds.select("host", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("trust").cast("double").alias("rank")),
         F.struct(F.lit(1).alias("kind"), F.col("distrust").cast("double").alias("rank")))).alias("s")).select(
-        "s.kind", "host", "s.rank").filter("rank > 0"), "host-seeds")
+        "s.kind", "host", "s.rank").filter("rank > 0")
+    # One row per kind.
+    totals = F.broadcast(weights.groupBy("kind").agg(F.sum("rank").alias("total")))
+    start = base.stored(weights.join(totals, "kind").select(
+        "kind", "host", (F.col("rank") / F.col("total")).alias("rank")), "host-seeds")
     ranks = start
     done, moving = 0, not flows.isEmpty()
     while moving:
         moved = flows.join(ranks, (flows["kind"] == ranks["kind"]) & (flows["from"] == ranks["host"])).select(
             flows["kind"], F.col("to").alias("host"), (F.col("rank") * damping / F.col("parts")).alias("rank"))
-        kept = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
+        stuck = ranks.join(parts, (ranks["kind"] == parts["kind"]) & (ranks["host"] == parts["from"]), "leftanti").groupBy(
+            "kind").agg(F.sum("rank").alias("stuck"))
+        kept = start.join(F.broadcast(stuck), "kind", "left").select("kind", "host", (F.col("rank") * (
+            F.lit(1 - damping) + F.coalesce("stuck", F.lit(0.0)) * damping)).alias("rank"))
         was = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
         after = base.stored(kept.unionByName(moved).withColumn("was", F.lit(0.0)).unionByName(was).groupBy("kind", "host").agg(
             F.sum("rank").alias("rank"), F.sum("was").alias("was")), "host-ranks")
@@ -120,19 +128,23 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", m
           threshold: float = THRESHOLD) -> DataFrame:
     """All columns but the markup, and host, path, rule, verdict, trust, distrust (input ones are replaced).
 
-    Null urls and urls without ``://`` have an empty host and path. A page
-    without a rule whose host has no rank at all, or no host, is allowed.
+    A host's seeds are the shares of its ruled pages that are allowed and that
+    are blocked, however many pages of it the table holds. Null urls and urls
+    without ``://`` have an empty host and path. A page without a rule whose
+    host has no rank at all, or no host, is allowed.
     """
     carried = [c for c in base.beside(pages, RESULTS) if c != markup]
     host, path = host_of(base.named(url)), path_of(base.named(url))
-    judged = pages.select(*[base.named(c).alias(c) for c in carried], host.alias("host"), path.alias("path")).withColumn(
-        "rule", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path)).withColumn(
-        "_ruled", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict))
-    counts = judged.filter("_ruled is not null").groupBy("host").agg(
-        F.count_if(F.col("_ruled") == "allow").alias("trust"), F.count_if(F.col("_ruled") == "block").alias("distrust"))
-    ranks = propagate(host_edges(pages, url, markup), counts)
+    judged = pages.select(F.struct(*[base.named(c).alias(c) for c in carried]).alias("_row"), host.alias("host"), path.alias("path"))
+    judged = judged.withColumns({
+        "rule": by_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path),
+        "ruled": by_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)})
+    shares = judged.filter("ruled is not null").groupBy("host").agg(
+        F.avg((F.col("ruled") == "allow").cast("int")).alias("trust"),
+        F.avg((F.col("ruled") == "block").cast("int")).alias("distrust"))
+    ranks = propagate(host_edges(pages, url, markup), shares)
     known = judged.join(ranks, "host", "left").withColumns({
         "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
-    return known.select(*[base.named(c) for c in carried], "host", "path", "rule", F.coalesce(
-        "_ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")
+    return known.select("_row.*", "host", "path", "rule", F.coalesce(
+        "ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")
