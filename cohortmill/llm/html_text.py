@@ -4,7 +4,9 @@ The builder opens and closes elements as a browser would for the usual
 omissions (``p``, ``li``, ``dt``/``dd``, ``option``, table parts) and never fails
 on broken markup; a quote that never closes ends with its tag. The renderer emits all visible text: blocks on lines of their
 own with blank lines between paragraphs, list items with marks and indents, and
-tables with aligned columns. Work is linear in the page, without recursion.
+tables with aligned columns. Work is linear in the page, without recursion, and
+the text is at most about a hundred times as long as the markup: a cell beyond
+``WIDEST`` characters moves its row's later cells instead of widening its column.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortmill.llm import base
 
@@ -35,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link datalist "
-                   "audio video canvas object select".split())
+                   "audio video canvas object".split())
 #: Not shown where svg or math hold them; html elements that end an open svg or math.
 ASIDE = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
@@ -64,6 +67,8 @@ OWN_BARRIER = {
     "li": {"ul", "ol", "menu", "table", "td", "th"}, "dt": {"dl", "table"}, "dd": {"dl", "table"},
 }
 SPACE = re.compile(r"[\x20\t\n\r\f]+")
+#: Widest column and widest gap before a cell, in characters; rows that a cell may reach down, and columns if it does.
+WIDEST, WIDEST_SPAN, ROWSPAN = 80, 400, 20
 
 
 class Node:
@@ -85,30 +90,31 @@ def tree(source: str) -> Node:
     """The element tree; children are nodes and texts with character references resolved."""
     root = Node("#root", "", None)
     here, at = root, 0
-    opened: dict[str, int] = {}
+    #: Open elements from the root down, and the places of each tag's open elements in that path.
+    path: list[Node] = []
+    opened: dict[str, list[int]] = {}
 
     def text(piece: str) -> None:
         if piece:
             here.children.append(html.unescape(piece) if "&" in piece else piece)
 
-    def close(node: Node) -> Node:
-        """Ends everything down to and with ``node``; where to go on."""
-        walk = here
-        while walk is not node:
-            opened[walk.tag] -= 1
-            walk = walk.parent
-        opened[node.tag] -= 1
-        return node.parent
-
-    def nearest(tags: set[str], barrier: frozenset | set) -> Node | None:
-        walk = here
-        while walk is not root:
-            if walk.tag in tags:
-                return walk
-            if walk.tag in barrier:
-                return None
-            walk = walk.parent
-        return None
+    def enter(node: Node) -> Node:
+        opened.setdefault(node.tag, []).append(len(path))
+        path.append(node)
+        return node
+
+    def close(place: int) -> Node:
+        """Ends everything down to and with the element at a place of the path; where to go on."""
+        parent = path[place].parent
+        while len(path) > place:
+            opened[path.pop().tag].pop()
+        return parent
+
+    def nearest(tags: set[str], barrier: frozenset | set | tuple) -> int | None:
+        """Place of the innermost open element in ``tags``, unless one in ``barrier`` lies inside it."""
+        found = max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+        wall = max((opened[t][-1] for t in barrier if opened.get(t) and t not in tags), default=-1)
+        return found if found > wall else None
 
     while match := MARKUP.search(source, at):
         text(source[at:match.start()])
@@ -119,8 +125,8 @@ def tree(source: str) -> Node:
         if match[1]:
             if opened.get(tag):
                 barrier = OWN_BARRIER.get(tag, () if tag in BARRIER else {"td", "th", "table"})
-                if (node := nearest({tag}, barrier)) is not None:
-                    here = close(node)
+                if (place := nearest({tag}, barrier)) is not None:
+                    here = close(place)
             elif tag in ("p", "br"):
                 here.children.append(Node(tag, "", here))
             continue
@@ -133,14 +139,13 @@ def tree(source: str) -> Node:
             while True:
                 live = {t for t in ends if opened.get(t)}
                 barrier = OWN_BARRIER.get(tag, BARRIER - live)
-                node = nearest(live, barrier) if live else None
-                if node is None:
+                place = nearest(live, barrier) if live else None
+                if place is None:
                     break
-                here = close(node)
+                here = close(place)
         if tag in ("td", "th") and opened.get("table") and here.tag != "tr":
             here.children.append(row := Node("tr", "", here))
-            here = row
-            opened["tr"] = opened.get("tr", 0) + 1
+            here = enter(row)
         here.children.append(node := Node(tag, match[3], here, foreign))
         if tag in VOID or match[3].endswith("/") and (foreign or tag in ("svg", "math", "path")):
             continue
@@ -152,8 +157,7 @@ def tree(source: str) -> Node:
                 node.children.append(re.sub(r"\A\r?\n", "", content) if tag == "textarea" else content)
             at = after
             continue
-        here = node
-        opened[tag] = opened.get(tag, 0) + 1
+        here = enter(node)
     text(source[at:])
     return root
 
@@ -242,32 +246,58 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _span(node: Node) -> int:
-    if "colspan" not in node.attrs.lower():
+def _span(node: Node, name: str, most: int) -> int:
+    if name not in node.attrs.lower():
         return 1
-    value = attributes(node.attrs).get("colspan", "1").strip()
-    return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
+    value = attributes(node.attrs).get(name, "1").strip()
+    return min(max(int(value), 1), most) if value.isdecimal() and len(value) < 6 else 1
+
 
+class Filled(NamedTuple):
+    """A table cell: its text, and the columns and rows that it spans."""
+    text: str
+    columns: int
+    rows: int
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell text, columns it spans), in columns two spaces apart."""
-    cells = [[(SPACE.sub(" ", t.replace("\n", " ")).strip(" "), n) for t, n in row] for row in rows]
+
+def placed(rows: list[list[Filled]]) -> list[list[tuple[int, Filled]]]:
+    """Each row's cells with their first column; cells that reach down from earlier rows keep their columns."""
+    out, busy = [], {}
+    for row in rows:
+        line, column = [], 0
+        for cell in row:
+            while busy.get(column, 0) > 0:
+                column += 1
+            line.append((column, cell))
+            column += cell.columns
+        busy = {c: n - 1 for c, n in busy.items() if n > 1}
+        for column, cell in line:
+            if cell.rows > 1:
+                busy.update((c, cell.rows - 1) for c in range(column, column + min(cell.columns, ROWSPAN)))
+        out.append(line)
+    return out
+
+
+def table_lines(rows: list[list[Filled]]) -> list[str]:
+    """A line per row of cells, in columns two spaces apart; the columns of cells from above stay blank."""
+    cells = placed([[c._replace(text=SPACE.sub(" ", c.text.replace("\n", " ")).strip(" ")) for c in row] for row in rows])
     widths: dict[int, int] = {}
     for row in cells:
-        column = 0
-        for value, n in row:
-            if n == 1:
-                widths[column] = max(widths.get(column, 0), len(value))
-            column += n
+        for column, cell in row:
+            if cell.columns == 1 and len(cell.text) <= WIDEST:
+                widths[column] = max(widths.get(column, 0), len(cell.text))
+    last, begins = max(widths, default=-1), [0]
+    for column in range(last + 1):
+        begins.append(begins[-1] + widths.get(column, 0) + 2)
     out = []
     for row in cells:
-        line, column = [], 0
-        for value, n in row:
-            width = sum(widths.get(c, 0) for c in range(column, column + n)) + 2 * (n - 1)
-            line.append(value.ljust(width))
-            column += n
-        out.append("  ".join(line).rstrip(" "))
-    return [line for line in out if line]
+        line, at = [], 0
+        for column, cell in row:
+            begin = begins[column] if column <= last else begins[-1] + 2 * (column - last - 1)
+            line += [" " * max(min(begin - at, WIDEST_SPAN), 2 if line else 0), cell.text]
+            at += len(line[-2]) + len(cell.text)
+        out.append("".join(line).rstrip(" "))
+    return [line for line in out if line.strip()]
 
 
 def render(source: str | None) -> str:
@@ -275,7 +305,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     page = Page()
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[Filled]]] = []
     lists: list[list] = []
     keep = 0
     stack: list[tuple[Node | str, bool]] = [(tree(source.replace("\x00", "")), False)]
@@ -291,7 +321,7 @@ def render(source: str | None) -> str:
                 cell, page = page.text(), node.page
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((cell, _span(node)))
+                tables[-1][-1].append(Filled(cell, _span(node, "colspan", 1000), _span(node, "rowspan", ROWSPAN)))
                 continue
             if tag == "table":
                 page.block(2)
@@ -376,11 +406,12 @@ class Cell(Node):
 def extract(pages: DataFrame, markup: str = "html", out: str = "text") -> DataFrame:
     """All columns but the markup, and its visible text; an input column ``out`` is replaced."""
     carried = [c for c in base.beside(pages, [out]) if c != markup]
+    narrow = pages.select(F.struct(*[base.named(c) for c in carried]).alias("_row"), base.named(markup).cast("string").alias("_markup"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([render(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*batch.schema.names[:-1], out])
+            texts = pa.array([render(t.as_py()) for t in batch.column("_markup")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), texts], ["_row", "_rendered"])
 
-    narrow = pages.select(*[base.named(c) for c in carried], base.named(markup).cast("string").alias("_markup"))
-    return narrow.mapInArrow(run, narrow.drop("_markup").schema.add(out, T.StringType()))
+    schema = narrow.drop("_markup").schema.add("_rendered", T.StringType())
+    return narrow.mapInArrow(run, schema).select("_row.*", F.col("_rendered").alias(out))
