@@ -37,9 +37,9 @@ from cohortmill.llm.words import PUNCTUATION, Group, groups, mixed, spelling, wo
 #: Share of an item's words that may differ.
 EDITS = 0.2
 #: Share of the stretches at the full budget that the keys must find, by simulation with so many edit patterns and walks.
-TARGET_RECALL, PATTERNS, WALKS, SEED = 0.995, 64, 64, 20240501
+TARGET_RECALL, PATTERNS, WALKS, SEED = 0.999, 64, 64, 20240501
 #: Places per key if that takes at most so many repetitions; fewer places need fewer repetitions and tell less.
-MOST_PLACES, FEW_REPETITIONS, MOST_REPETITIONS = 3, 48, 512
+MOST_PLACES, FEW_REPETITIONS, MOST_REPETITIONS = 3, 64, 512
 #: Items and bytes of item text that go to the tasks at once.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Words that occur in at most this many items of a block count as telling.
@@ -389,17 +389,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                edits: float = EDITS) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all columns."""
-    out = docs
+    out = docs.select(F.struct(*[base.named(c) for c in docs.columns]).alias("_row"), base.named(text).cast("string").alias("_text"))
     for block in blocks(items, item_key, item_text, edits):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for group in groups(batch.column(text), spelling(PUNCTUATION, lower=True), TEXT_BYTES):
+                for group in groups(batch.column("_text"), spelling(PUNCTUATION, lower=True), TEXT_BYTES):
                     for row, _ in found_in(group, shared.value):
                         clean[group.first + row] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, out.schema)
+    return out.select("_row.*")
