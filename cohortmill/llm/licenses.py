@@ -197,18 +197,16 @@ TYPES = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * 2
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, and the fields of ``Found``; input columns with those names are replaced."""
     carried = [c for c in base.beside(docs, list(Found._fields)) if c != text]
+    narrow = docs.select(F.struct(*[base.named(c) for c in carried]).alias("_row"), base.named(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         for batch in batches:
-            found = [judge(t.as_py(), machine) for t in batch.column(batch.num_columns - 1)]
+            found = [judge(t.as_py(), machine) for t in batch.column("_text")]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(TYPES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns],
-                                             [*batch.schema.names[:-1], *Found._fields])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns], ["_row", *Found._fields])
 
-    narrow = docs.select(*[base.named(c) for c in carried], base.named(text).cast("string").alias("_text"))
-    results = docs.sparkSession.createDataFrame([], SCHEMA).schema
     schema = narrow.drop("_text").schema
-    for field in results.fields:
+    for field in docs.sparkSession.createDataFrame([], SCHEMA).schema.fields:
         schema = schema.add(field)
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).select("_row.*", *Found._fields)

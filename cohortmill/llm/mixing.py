@@ -153,9 +153,9 @@ def training_order(plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     carried = base.beside(plan, [*RESULTS, "position", "copy", "words"])
     copies = plan.select(
-        *[base.named(c) for c in carried],
+        F.struct(*[base.named(c) for c in carried]).alias("_row"),
         F.explode(F.filter(F.transform(F.arrays_zip("positions", "takes"), lambda x, i: F.struct(
             x["positions"].alias("position"), i.alias("copy"), x["takes"].alias("words"))),
             lambda x: x["words"] > 0)).alias("_copy"))
-    return copies.select(*[base.named(c) for c in carried], "_copy.position", "_copy.copy", "_copy.words").orderBy(
+    return copies.select("_row.*", "_copy.position", "_copy.copy", "_copy.words").orderBy(
         "position", base.named(key), "copy")

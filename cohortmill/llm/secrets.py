@@ -173,9 +173,10 @@ def scan(docs: DataFrame, model: list[float] | None, text: str = "text", thresho
     """
     carried = base.beside(docs, ["spans"])
     body = F.coalesce(base.named(text), F.lit(""))
-    first = docs.select(*[base.named(c) for c in carried], body.alias("_body"), base_spans(body).alias("_base"))
+    first = docs.select(F.struct(*[base.named(c) for c in carried]).alias("_row"), body.alias("_body"),
+                        base_spans(body).alias("_base"))
     spans = F.array_sort(F.concat("_base", markov_spans(F.col("_body"), model, F.col("_base"), threshold)))
-    return first.select(*[base.named(c) for c in carried], spans.alias("spans"))
+    return first.select("_row.*", spans.alias("spans"))
 
 
 def of_kind(number: int) -> Callable[[Column], Column]:
@@ -197,16 +198,17 @@ def written(spans: Column) -> Column:
 def redact(docs: DataFrame, model: list[float] | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span (overlapping ones together) replaced by ``MASK``; other texts stay as they are."""
     nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    body = base.named(text)
+    body = F.col("body")
 
     def cut(acc: Column, s: Column) -> Column:
         between = F.concat(acc["out"], F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
                         F.when(s["start"] >= acc["at"], between).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", nothing, cut)
+    done = F.aggregate("spans", nothing, cut)
     clean = F.concat(done["out"], F.substr(body, done["at"] + 1, F.length(body)))
-    marked = scan(docs.withColumnRenamed("spans", "_own"), model, text, threshold).withColumnRenamed("spans", "_spans")
+    whole = docs.select(F.struct(*[base.named(c) for c in docs.columns]).alias("row"), base.named(text).alias("body"))
+    marked = scan(whole, model, "body", threshold)
     return marked.select(*[
-        F.when(F.size("_spans") > 0, clean).otherwise(body).alias(c) if c == text
-        else base.named("_own" if c == "spans" else c).alias(c) for c in docs.columns])
+        F.when(F.size("spans") > 0, clean).otherwise(body).alias(c) if c == text
+        else F.col("row").getField(c).alias(c) for c in docs.columns])

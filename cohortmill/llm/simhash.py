@@ -69,16 +69,15 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, out: str
     A null text is empty and gets 0, like a text without words.
     """
     carried = [c for c in base.beside(docs, [out]) if c != text]
+    narrow = docs.select(F.struct(*[base.named(c) for c in carried]).alias("_row"), base.named(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            values = pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], out])
+            values = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column("_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), values], ["_row", "_bits"])
 
-    narrow = docs.select(*[base.named(c) for c in carried], base.named(text).cast("string").alias("_text"))
-    schema = narrow.drop("_text").schema.add(out, T.LongType())
-    return narrow.mapInArrow(run, schema)
+    schema = narrow.drop("_text").schema.add("_bits", T.LongType())
+    return narrow.mapInArrow(run, schema).select("_row.*", F.col("_bits").alias(out))
 
 
 # --- candidates and links -------------------------------------------------------------
@@ -264,5 +263,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         root, F.col("fingerprint") == F.col("fp")).groupBy("root").agg(F.min("first").alias("first"))
     winners = base.stored(first.select(F.xxhash64("first.key").alias("_k"), F.col("first.row").alias("_r")),
                           "simhash-winners")
-    kept = docs.withColumns({"_k": F.xxhash64(base.named(key)), "_r": row}).join(winners, ["_k", "_r"], "leftsemi")
-    return kept.dropDuplicates(["_k", "_r"]).select(*[base.named(c) for c in docs.columns])
+    kept = docs.select(F.struct(*[base.named(c) for c in docs.columns]).alias("_row"), F.xxhash64(base.named(key)).alias("_k"),
+                       row.alias("_r")).join(winners, ["_k", "_r"], "leftsemi")
+    return kept.dropDuplicates(["_k", "_r"]).select("_row.*")

@@ -1,6 +1,8 @@
 """Near-duplicates, decontamination, vector search, quality, licenses, urls, markup."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -218,8 +220,8 @@ def test_recall_at_the_full_budget(size, kind):
             assert distance == edit_share(items[i], docs[i]) <= budget
             assert edit_share(items[i], docs[i][first:end]) == distance
             found += 1
-    # Of 40, two may be missing by chance though the recall is .995.
-    assert found >= (38 if budget else 40)
+    # Of 40, one may be missing by chance though the target is .999.
+    assert found >= (39 if budget else 40)
 
 
 def test_repetitions_follow_the_length():
@@ -439,15 +441,59 @@ def test_trust_and_distrust_flow(spark):
     pages = spark.createDataFrame(rows, PAGES)
     got = {r["page_id"]: r for r in urls.judge(pages).collect()}
     assert [got[i]["verdict"] for i in range(1, 7)] == ["allow", "allow", "allow", "block", "block", "block"]
-    trust, edges = {}, {("good.org", "fine.net"), ("fine.net", "far.net"), ("farm.net", "bad.com"), ("farm.net", "good.org"), ("bad.com", "farm.net")}
-    seed = {"good.org": 1.0}
-    trust = dict(seed)
-    for _ in range(urls.ROUNDS):
-        after = {h: s * (1 - urls.DAMPING) for h, s in seed.items()}
-        for a, b in edges:
-            after[b] = after.get(b, 0) + urls.DAMPING * trust.get(a, 0) / sum(x == a for x, _ in edges)
-        trust = after
-    assert got[2]["trust"] == pytest.approx(trust["fine.net"]) and got[3]["trust"] == pytest.approx(trust["far.net"])
+    edges = {("good.org", "fine.net"), ("fine.net", "far.net"), ("farm.net", "bad.com"), ("farm.net", "good.org"), ("bad.com", "farm.net")}
+    hosts = {"good.org", "fine.net", "far.net", "farm.net", "bad.com"}
+    trust = plain_rank(edges, {"good.org": 1.0}, hosts)
+    distrust = plain_rank({(b, a) for a, b in edges}, {"bad.com": 1.0}, hosts)
+    for i, h in ((1, "good.org"), (2, "fine.net"), (3, "far.net"), (4, "farm.net"), (5, "bad.com")):
+        assert (got[i]["trust"], got[i]["distrust"]) == (pytest.approx(trust[h], abs=1e-3), pytest.approx(distrust[h], abs=1e-3))
+
+
+def plain_rank(edges, seeds, hosts, rounds=200):
+    """Personalised PageRank whose dangling rank returns to the seeds."""
+    total = sum(seeds.values())
+    start = {h: seeds.get(h, 0.0) / total if total else 0.0 for h in hosts}
+    out = {h: [b for a, b in edges if a == h] for h in hosts}
+    rank = dict(start)
+    for _ in range(rounds):
+        stuck = sum(rank[h] for h in hosts if not out[h])
+        after = {h: start[h] * (1 - urls.DAMPING + urls.DAMPING * stuck) for h in hosts}
+        for h in hosts:
+            for b in out[h]:
+                after[b] += urls.DAMPING * rank[h] / len(out[h])
+        rank = after
+    return rank
+
+
+def test_url_query_over_linked_hosts(spark, tmp_path):
+    """The query against plain PageRank, with many pages of some hosts."""
+    from cohortmill.llm import queries
+    rnd = random.Random(40)
+    hosts = [f"h{i}.net" for i in range(25)] + ["a.org", "b.org", "x.com", "example.org"]
+    rows = []
+    for n in range(300):
+        host = rnd.choice(hosts + ["a.org"] * 20)
+        path = rnd.choice(["/es/", "/de/", "/fr/", "/en/1", "/q"])
+        rows.append((n, f"https://{host}{path}", "".join(f'<a href="//{rnd.choice(hosts)}/">' for _ in range(rnd.choice([0, 0, 1, 3])))))
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in queries.op3_url_filter(spark, str(tmp_path)).collect()}
+    parts = {n: re.match(r"https://([^/]*)(.*)", u).groups() for n, u, _ in rows}
+    rules = sorted(urls.RULES, key=lambda r: -len(r.host + r.path))
+    fit = {n: next((r for r in rules if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)), None)
+           for n, (h, p) in parts.items()}
+    edges = {(parts[n][0], b) for n, _, m in rows for b in re.findall(r'href="//([^/]*)/"', m) if b != parts[n][0]}
+    ruled = {}
+    for n, r in fit.items():
+        if r:
+            ruled.setdefault(parts[n][0], []).append(r.verdict)
+    seeds = [{h: v.count(k) / len(v) for h, v in ruled.items()} for k in ("allow", "block")]
+    trust, distrust = plain_rank(edges, seeds[0], hosts), plain_rank({(b, a) for a, b in edges}, seeds[1], hosts)
+    for n, (h, p) in parts.items():
+        r = got[n]
+        assert (r["trust"], r["distrust"]) == (pytest.approx(trust[h], abs=1e-3), pytest.approx(distrust[h], abs=1e-3))
+        want = fit[n].verdict if fit[n] else "block" if distrust[h] > 0 and distrust[h] >= .5 * (trust[h] + distrust[h]) else "allow"
+        assert r["verdict"] == want and r["rule"] == (fit[n].host + fit[n].path if fit[n] else None)
+    assert {r["verdict"] for n, r in got.items() if not fit[n]} == {"allow", "block"}
 
 
 def test_links_without_scheme_and_with_blanks(spark):
@@ -464,8 +510,9 @@ def test_rank_reaches_far_hosts(spark):
     edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(6)] + [("x", "y"), ("y", "x")], "source string, target string")
     seeds = spark.createDataFrame([("h6", 0, 1), ("x", 2, 0)], "host string, trust bigint, distrust bigint")
     got = {r["host"]: r for r in urls.propagate(edges, seeds, damping=.5, rounds=2).collect()}
-    assert [got[f"h{i}"]["distrust"] for i in range(7)] == pytest.approx([.5 * .5 ** (6 - i) for i in range(7)])
-    assert (got["x"]["trust"], got["y"]["trust"]) == pytest.approx((4 / 3, 2 / 3), rel=1e-5)
+    assert [got[f"h{i}"]["distrust"] for i in range(7)] == pytest.approx(
+        [.5 * .5 ** (6 - i) / (1 - .5 ** 7) for i in range(7)], rel=1e-3)
+    assert (got["x"]["trust"], got["y"]["trust"]) == pytest.approx((2 / 3, 1 / 3), rel=1e-3)
 
 
 # --- markup ---------------------------------------------------------------------------
@@ -478,7 +525,11 @@ def test_rank_reaches_far_hosts(spark):
     ("a<script>var t='</p>'</script><style>p{}</style><!-- x -->b<template>c</template>", "ab"),
     ("<p hidden>x</p><p style='color:red; display : none'>y</p><p data-x=1>z", "z"), ("a<br>b<br/>c", "a\nb\nc"),
     ("<pre> x\n  y</pre>z", " x\n  y\n\nz".strip("\n")), ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("a < b <3", "a < b <3"),
-    ('<a title="x > y">t</a>', "t"), ("<a href='unclosed>t", "t"), ("</p>x</div>", "x"), ("<select><option>a<option>b</select>c", "c"),
+    ('<a title="x > y">t</a>', "t"), ("<a href='unclosed>t", "t"), ("</p>x</div>", "x"), ("<select><option>a<option>b</select>c", "a\nb\nc"),
+    ("Pick <select><option selected>Red<option>Blue</select> now", "Pick\nRed\nBlue\nnow"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h</table>", "a  b   c\n   dd  e\nf  g   h"),
+    ("<table><tr><td>a<td rowspan=3>b<tr><td>c<td>d<tr><td>e</table>", "a  b\nc     d\ne"),
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
     ("<!doctype html><html><head><title>T</title></head><body>b", "b"), ("x<!-- never closed", "x")])
 def test_render(markup, text):
     assert html_text.render(markup) == text
@@ -523,5 +574,31 @@ def test_render_keeps_every_visible_word_and_is_linear(spark):
     assert sorted(html_text.render("".join(parts)).replace("- ", " ").split()) == sorted(want)
     deep = html_text.render("<div><p><ul><li>" * 20000 + "end")
     assert deep.strip().endswith("end")
+
+
+@pytest.mark.parametrize("piece", ["<div><p><ul><li>", "<b><table><td><i>x</b>", "<span>x</b></i>", "<table><tr><td rowspan=9 colspan=99>x",
+                                   "<option><select>", "<svg><g>x</td>", "<td></p></table></tr>"])
+def test_twice_the_markup_takes_at_most_about_twice_as_long(piece):
+    took = []
+    for n in (3000, 6000, 12000):
+        start = time.process_time()
+        html_text.tree("<b>" + piece * n)
+        took.append(time.process_time() - start)
+    assert took[2] < 3.2 * took[1] + .2 and took[2] < 10 * took[0] + .4
+
+
+def test_tables_do_not_blow_up():
+    """A wide cell and spans: the text stays within the stated multiple of the markup, and nothing is lost."""
+    wide = "<table><tr><td>" + "w " * 20_000 + "<td>z" + "<tr><td>a<td>b" * 2000 + "</table>"
+    spans = "<table><tr>" + "<td>x" * 900 + "<tr><td colspan=1000>y<td>z" * 400 + "<tr><td rowspan=99>q<td>r" * 400 + "</table>"
+    for markup in (wide, spans):
+        text = html_text.render(markup)
+        assert len(text) < 100 * len(markup)
+        for mark in "abxyzqrw":
+            assert text.count(mark) == re.sub("<[^>]*>", "", markup).count(mark)
+    assert len(html_text.render(wide)) < 4 * len(wide)
+
+
+def test_extract_replaces_the_text(spark):
     got = html_text.extract(spark.createDataFrame([(1, None, "old"), (2, "<p>x", "old")], "page_id int, html string, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, ""), (2, "x")]
