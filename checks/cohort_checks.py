@@ -11,7 +11,7 @@ from checks.views import view
 from cohortmill import presets
 from cohortmill.operators import clean, cohort, measures, profile, split
 from cohortmill.plans import steps
-from cohortmill.session import materialize
+from cohortmill.session import written
 
 KEY = R.entity
 
@@ -349,7 +349,7 @@ CATEGORY_BASE = ["gender", "ethnicity", "unittype", "unitadmitsource"]
     + [f"(select '{c}' feature, null::double numeric_value, {c} category_value from ftable where {c} is not null "
        f"group by {c} order by count(*) desc, {c} limit 1)" for c in CATEGORY_BASE]))
 def _(spark, sf):
-    return profile.baseline_profile(feature_table(spark, sf), NUMERIC_BASE, CATEGORY_BASE)
+    return profile.baseline_profile(written(feature_table(spark, sf)), NUMERIC_BASE, CATEGORY_BASE)
 
 
 FOLDS_STEP = """
@@ -424,7 +424,7 @@ ENCODE_NUM = ["age_numeric", "admissionheight", "admissionweight"]
     f"select '{c}' feature, count({c}) n, quantile_cont({c}, 0.5) q from ftable" for c in VALUES + ENCODE_NUM) + ") where n > 0")
 def _(spark, sf):
     from cohortmill.operators.running import exact_medians
-    return exact_medians(materialize(feature_table(spark, sf)), VALUES + ENCODE_NUM).withColumnRenamed("q0", "median")
+    return exact_medians(written(feature_table(spark, sf)), VALUES + ENCODE_NUM).withColumnRenamed("q0", "median")
 
 
 SCALED = ["age_numeric", "admissionheight", "admissionweight"]

@@ -10,7 +10,7 @@ from cohortmill.functions.columns import (
     sql_text,
 )
 from cohortmill.operators.clean import time_flags, with_bounds
-from cohortmill.operators.running import exact_quantiles, same_keys
+from cohortmill.operators.running import same_keys, wide_quantiles
 from cohortmill.presets import LEAKAGE_PARTS
 
 
@@ -366,8 +366,8 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = long.groupBy("column_name").agg(
         F.count("v").alias("count"), F.count_if(F.col("v").isNull()).alias("null_count"),
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    quartiles = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column_name"]).select(
-        "column_name", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    quartiles = wide_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
+        F.col("feature").alias("column_name"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
     return same_keys(moments, quartiles, ["column_name"], "left")
 
 
@@ -444,8 +444,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 def baseline_profile(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Median of numeric and mode of categorical columns (ties to the smallest value)."""
-    medians = unpivot(df, [f"{sql_text(c)} as feature, cast(`{c}` as double) as v" for c in numeric])
-    numbers = exact_quantiles(medians, "v", [0.5], ["feature"]).select(
+    numbers = wide_quantiles(df, numeric, [0.5]).select(
         "feature", F.col("q0").alias("numeric_value"), F.lit(None).cast("string").alias("category_value"))
     words = unpivot(df, [f"{sql_text(c)} as feature, cast(`{c}` as string) as w" for c in categorical])
     modes = (words.where(F.col("w").isNotNull()).groupBy("feature", "w").agg(F.count(F.lit(1)).alias("n"))

@@ -96,6 +96,22 @@ def running_totals(df: DataFrame, by: list[str], order: str, totals: dict[str, C
     ).drop(BUCKET, *[f"__b_{n}" for n in totals])
 
 
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], output: str = "rn") -> DataFrame:
+    """Add the row number (from 1) within each key, though one key may hold most of the rows.
+
+    Rows are laid out in ranges of (keys, order) and written; numbers inside a
+    range continue after those of the key's earlier ranges. ``order`` should
+    tell the rows of a key apart.
+    """
+    laid = written(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = laid.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order)
+    joined = same_keys(laid, pieces, [*keys, "__part"], "inner")
+    return joined.withColumn(output, F.col("__before") + F.row_number().over(inside)).drop("__part", "__before")
+
+
 def value_counts_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Materialised (by, value, copies) for the non-null values."""
     counted = (df.where(F.col(value).isNotNull())
@@ -167,25 +183,44 @@ def near_ranks(df: DataFrame, value: str, probabilities: list[float], by: list[s
     return marked.where(kept).select(*by, value), sizes
 
 
-def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 2000) -> DataFrame:
-    """(feature, n, q0): exact median of every column with a value, all columns together.
+def wide_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 2000) -> DataFrame:
+    """(feature, n, q0, q1, ...): exact quantiles of every column with a value, all columns together.
 
-    One wide pass brackets every median, a second counts the values below each
-    bracket, and only the values inside are unpivoted and ranked. Brackets and
-    counts are a few numbers per column.
+    One wide pass brackets every wanted rank, a second counts what lies below
+    each bracket, and only the values inside are unpivoted, shuffled and ranked.
+    Brackets and counts are a few numbers per column. Pass a table that is cheap
+    to read column by column.
     """
+    wanted = range(len(probabilities))
+    empty = "feature string, n bigint, " + ", ".join(f"q{i} double" for i in wanted)
     if not columns:
-        return df.sparkSession.createDataFrame([], "feature string, n bigint, q0 double")
+        return df.sparkSession.createDataFrame([], empty)
     cast = {c: F.expr(f"cast(`{c}` as double)") for c in columns}
-    ends = [0.5 - 2.0 / accuracy, 0.5 + 2.0 / accuracy]
+    margin = 2.0 / accuracy
+    ends = [e for q in probabilities for e in (max(0.0, q - margin), min(1.0, q + margin))]
     found = df.agg(*[F.percentile_approx(v, ends, accuracy).alias(f"e{i}") for i, v in enumerate(cast.values())]).first()
     edges = {c: found[f"e{i}"] for i, c in enumerate(columns) if found[f"e{i}"] is not None}
     if not edges:
-        return df.sparkSession.createDataFrame([], "feature string, n bigint, q0 double")
-    row = df.agg(*[f for i, c in enumerate(edges) for f in (
-        F.count(cast[c]).alias(f"n{i}"), F.count_if(cast[c] < F.lit(edges[c][0])).alias(f"s{i}"))]).first()
+        return df.sparkSession.createDataFrame([], empty)
+
+    def inside(c: str) -> Column:
+        kept = F.lit(False)
+        for i in wanted:
+            kept = kept | cast[c].between(F.lit(edges[c][2 * i]), F.lit(edges[c][2 * i + 1]))
+        return kept
+
+    below = lambda c, i: cast[c] < F.lit(edges[c][2 * i])
+    row = df.agg(*[f for j, c in enumerate(edges) for f in (F.count(cast[c]).alias(f"n{j}"), *[
+        F.count_if(below(c, i) & ~inside(c)).alias(f"s{j}_{i}") for i in wanted])]).first()
     sizes = df.sparkSession.createDataFrame(
-        [(c, row[f"n{i}"], row[f"s{i}"]) for i, c in enumerate(edges)], "feature string, n bigint, __skip0 bigint")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(
-        cast[c].between(F.lit(low), F.lit(high)), cast[c]).alias("v")) for c, (low, high) in edges.items()])
-    return quantiles_of_counts(value_counts_table(df.select(F.inline(cells)), ["feature"], "v"), sizes, [0.5], ["feature"])
+        [(c, row[f"n{j}"], *[row[f"s{j}_{i}"] for i in wanted]) for j, c in enumerate(edges)],
+        "feature string, n bigint, " + ", ".join(f"__skip{i} bigint" for i in wanted))
+    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("feature"), F.when(inside(c), cast[c]).alias("v")) for c in edges]),
+                     lambda cell: cell["v"].isNotNull())
+    counts = value_counts_table(df.select(F.inline(cells)), ["feature"], "v")
+    return quantiles_of_counts(counts, sizes, probabilities, ["feature"])
+
+
+def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 2000) -> DataFrame:
+    """(feature, n, q0): exact median of every column with a value."""
+    return wide_quantiles(df, columns, [0.5], accuracy)

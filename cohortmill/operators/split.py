@@ -8,8 +8,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssemble
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from cohortmill.functions.columns import percent, share, sql_text, unit_hash
-from cohortmill.operators.running import exact_medians, same_keys
-from cohortmill.session import materialize
+from cohortmill.operators.running import attach, exact_medians, row_numbers, same_keys
+from cohortmill.session import materialize, written
 
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42,
@@ -39,6 +39,65 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
                            ((F.col("offset") + F.col("rn") - 1) % folds).cast("int").alias("fold"))
 
 
+def deal(load: list[int], second: list[int], item: int, n: int) -> list[int]:
+    """How many of n equal items each fold gets, always the least loaded first; ``load`` is updated.
+
+    Items go in bulk, so the work follows the folds and not the items.
+    """
+    folds, out = len(load), [0] * len(load)
+    while n:
+        order = sorted(range(folds), key=lambda f: (load[f], second[f], f))
+        if load[order[-1]] - load[order[0]] <= item and n >= folds:
+            each = n // folds
+            for f in range(folds):
+                out[f], load[f] = out[f] + each, load[f] + each * item
+            n -= each * folds
+            continue
+        f = order[0]
+        short = load[order[1]] - load[f] if folds > 1 else n * item
+        k = min(n, max(1, short // item))
+        out[f], load[f], n = out[f] + k, load[f] + k * item, n - k
+    return out
+
+
+def pack(types: list[tuple[int, int, int]], folds: int) -> dict[tuple[int, int], list[int]]:
+    """Per type (rows, positives) with its number of groups: how many of them each fold gets.
+
+    Largest first: groups with positives even out the positives, then groups
+    without even out the rows.
+    """
+    rows, positives = [0] * folds, [0] * folds
+    out: dict[tuple[int, int], list[int]] = {}
+    for size, pos, n in sorted((t for t in types if t[1]), key=lambda t: (-t[1], -t[0])):
+        out[size, pos] = deal(positives, rows, pos, n)
+        rows = [r + size * k for r, k in zip(rows, out[size, pos])]
+    for size, pos, n in sorted((t for t in types if not t[1]), key=lambda t: -t[0]):
+        out[size, pos] = deal(rows, positives, size, n)
+    return out
+
+
+def packed_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(group, rows, positives, fold): every group in one fold, with folds balanced on positives and on rows.
+
+    Groups are reduced to types (rows, positives), of which n rows have at most
+    about n^(2/3); how many groups of a type each fold gets is packed on the
+    driver. Positives of two folds differ by at most the most positives of a
+    group, and so do rows by the largest group, where groups without positives
+    can make up for what those with positives leave uneven. Which groups of a
+    type go where follows a seeded md5.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
+    groups = written(df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("positives")).withColumn("__digest", digest))
+    types = [(r["rows"], r["positives"], r["n"]) for r in
+             groups.groupBy("rows", "positives").agg(F.count(F.lit(1)).alias("n")).collect()]
+    plan = [(*key, [sum(counts[:f + 1]) for f in range(folds)]) for key, counts in pack(types, folds).items()]
+    planned = df.sparkSession.createDataFrame(plan, "rows bigint, positives bigint, upto array<bigint>")
+    numbered = row_numbers(groups, ["rows", "positives"], ["__digest", group])
+    placed = attach(numbered, planned, ["rows", "positives"])
+    return placed.select(group, "rows", "positives", F.size(F.filter("upto", lambda u: u < F.col("rn"))).alias("fold"))
+
+
 def split_name(fold: Column) -> Column:
     """Fold 0 tests, fold 1 validates, the others train."""
     return F.when(fold == 0, "test").when(fold == 1, "validation").otherwise("train")

@@ -10,6 +10,7 @@ from cohortmill import presets
 from cohortmill.config import Preset
 from cohortmill.functions.columns import unit_hash
 from cohortmill.operators import attribution, clean, cohort, measures, models, profile, reliability, split, trees
+from cohortmill.operators.boosting import BoostedTrees
 from cohortmill.operators.bootstrap import Ensemble, fit_ensemble
 from cohortmill.session import materialize, written
 from cohortmill.streaming.score import Artifacts
@@ -165,13 +166,17 @@ class Training:
         return self.rows.where(F.col("split") == name)
 
 
-def split_and_encode(features: DataFrame, entities: DataFrame, preset: Preset, seed: int = 42) -> tuple[DataFrame, split.Encoder]:
-    """Encoded rows (key, person, split, label, features); preprocessing is fitted on train only."""
+def split_and_encode(features: DataFrame, entities: DataFrame, preset: Preset, seed: int = 42,
+                     packed: bool = False) -> tuple[DataFrame, split.Encoder]:
+    """Encoded rows (key, person, split, label, features); preprocessing is fitted on train only.
+
+    ``packed`` balances the folds on rows and positives even if groups differ much in size.
+    """
     r, f = preset.roles, preset.features
     columns = feature_columns(features, preset)
     numeric, categorical = split.split_types(features, columns)
     rows = split.lookup_group(features, entities, r.entity, r.person)
-    folds = split.group_folds(rows, r.person, f.target, seed=seed)
+    folds = (split.packed_folds if packed else split.group_folds)(rows, r.person, f.target, seed=seed)
     placed = materialize(split.with_split(rows, folds, r.person, r.entity, seed=seed))
     split.require_disjoint(placed, r.person)
     encoder = split.fit_encoder(placed.where("split = 'train'"), numeric, categorical)
@@ -181,14 +186,19 @@ def split_and_encode(features: DataFrame, entities: DataFrame, preset: Preset, s
 
 def train_candidates(features: DataFrame, entities: DataFrame, preset: Preset, seed: int = 42,
                      logistic_grid=presets.LOGISTIC_GRID, forest_grid=presets.FOREST_GRID,
-                     boosted_grid=presets.BOOSTED_GRID, parallelism: int = 8) -> Training:
-    """Fit every candidate of the three families and rank them on validation."""
+                     boosted_grid=presets.BOOSTED_GRID, parallelism: int = 8, second_order: bool = True,
+                     packed: bool = False) -> Training:
+    """Fit every candidate of the three families and rank them on validation.
+
+    Boosted trees are second-order ones with shrunk Newton leaves, or Spark's own.
+    """
     target = preset.features.target
-    rows, encoder = split_and_encode(features, entities, preset, seed)
+    rows, encoder = split_and_encode(features, entities, preset, seed, packed)
     train = rows.where("split = 'train'")
     candidates = (models.fit_logistic_grid(train, target, logistic_grid, parallelism)
                   + models.fit_forest_grid(train, target, forest_grid, seed, parallelism)
-                  + models.fit_boosted_grid(train, target, boosted_grid, seed, parallelism))
+                  + (models.fit_newton_grid(train, target, boosted_grid, seed) if second_order
+                     else models.fit_boosted_grid(train, target, boosted_grid, seed, parallelism)))
     records = materialize(models.search_records(candidates, rows.where("split = 'validation'"), target))
     return Training(rows, encoder, candidates, records, models.best_of_families(candidates, records))
 
@@ -248,8 +258,13 @@ def calibrate_and_select(training: Training, preset: Preset, split_for_score: st
 def explain_scores(rows: DataFrame, fitted: models.Fitted, names: list[str], key: str, model_path: str,
                    k: int = 5) -> dict[str, DataFrame]:
     """Attributions of a tree model with global and local summaries; saves the model first."""
-    fitted.model.write().overwrite().save(model_path)
-    leaves = trees.read_leaves(rows.sparkSession, model_path, fitted.family)
+    spark = rows.sparkSession
+    if isinstance(fitted.model, BoostedTrees):
+        fitted.model.save(spark, model_path)
+        leaves = BoostedTrees.leaves(spark, model_path)
+    else:
+        fitted.model.write().overwrite().save(model_path)
+        leaves = trees.read_leaves(spark, model_path, fitted.family)
     attributed = materialize(trees.tree_shap_rows(rows, key, leaves))
     long = attribution.long_contributions(attributed, key, names)
     local = attribution.local_from_rows(attributed, key, names, k)

@@ -211,6 +211,55 @@ def test_folds_keep_groups_whole_and_balanced(spark):
         split.require_disjoint(placed.unionByName(placed.withColumn("split", F.lit("test"))), "g")
 
 
+def test_packed_folds_even_out_rows_and_positives(spark):
+    """Groups of very different sizes, one of them huge: sums of two folds differ by at most the largest group."""
+    rows = [(g, int(i < g % 4)) for g in range(400) for i in range(1 + (g * g) % 23)]
+    rows += [(1000, int(i % 90 == 0)) for i in range(1200)] + [(2000 + i, 0) for i in range(900)] + [(None, 1)] * 5
+    df = spark.createDataFrame(rows, "g long, y int")
+    folds = split.packed_folds(df, "g", "y")
+    held = {r["g"]: r for r in folds.collect()}
+    plain = {}
+    for g, y in rows:
+        if g is not None:
+            n, p = plain.get(g, (0, 0))
+            plain[g] = (n + 1, p + y)
+    assert {g: (r["rows"], r["positives"]) for g, r in held.items()} == plain
+    sums = [[sum(v) for v in zip(*[plain[g] for g, r in held.items() if r["fold"] == f])] for f in range(5)]
+    assert max(s[1] for s in sums) - min(s[1] for s in sums) <= max(p for _, p in plain.values())
+    assert max(s[0] for s in sums) - min(s[0] for s in sums) <= max(n for n, _ in plain.values())
+    # The other folds share what the huge group leaves them.
+    others = sorted(s[0] for s in sums)[:4]
+    assert others[-1] - others[0] <= 23
+    again = split.packed_folds(df.repartition(7), "g", "y")
+    assert {r["g"]: r["fold"] for r in again.collect()} == {g: r["fold"] for g, r in held.items()}
+    other = {r["g"]: r["fold"] for r in split.packed_folds(df, "g", "y", seed=1).collect()}
+    assert other != {g: r["fold"] for g, r in held.items()}
+    assert split.packed_folds(df.where("g < 0"), "g", "y").collect() == []
+
+
+def test_dealing_in_bulk_equals_dealing_one_by_one():
+    for load in ([0, 0, 0], [50, 3, 9], [7, 7, 100], [0]):
+        for item, n in ((1, 1000), (4, 17), (9, 2), (3, 0)):
+            slow = list(load)
+            for _ in range(n):
+                f = min(range(len(slow)), key=lambda i: (slow[i], i))
+                slow[f] += item
+            fast = list(load)
+            dealt = split.deal(fast, [0] * len(load), item, n)
+            assert sum(dealt) == n and [a + item * k for a, k in zip(load, dealt)] == fast
+            assert sorted(fast) == sorted(slow) or max(fast) - min(fast) <= max(item, max(slow) - min(slow))
+
+
+def test_row_numbers_of_a_key_that_holds_most_rows(spark):
+    from cohortmill.operators import running
+    df = spark.range(3000).select(F.when(F.col("id") % 10 < 8, 0).when(F.col("id") % 10 == 8, None).otherwise(F.col("id") % 7).alias("k"),
+                                  F.md5(F.col("id").cast("string")).alias("o"))
+    got, want = running.row_numbers(df, ["k"], ["o"]).collect(), {}
+    for r in got:
+        want.setdefault(r["k"], []).append((r["o"], r["rn"]))
+    assert len(got) == 3000 and all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in want.values())
+
+
 def test_encoder_constants_unseen_levels_and_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.0, 5.0, "a"), (2, None, 5.0, "b"), (3, 3.0, 5.0, None), (4, 8.0, 5.0, "a")],
                                "k long, x double, flat double, c string")
