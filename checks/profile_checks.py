@@ -226,14 +226,22 @@ def _(spark, sf):
     return profile.value_counts(view(spark, sf, "fx_patient"), "unitadmitsource")
 
 
-@query("top_names", """
+TOP_NAMES_SQL = """
 select labname, count(*) record_count, count(distinct patientunitstayid) entity_count,
   count(*) filter (where labresult is null) missing_results
-from fx_lab group by labname order by record_count desc, labname limit 20""")
+from fx_lab group by labname order by record_count desc, labname limit 20"""
+
+
+@query("top_names", TOP_NAMES_SQL)
 def _(spark, sf):
     return profile.top_names(view(spark, sf, "fx_lab"), R.long_name, KEY, R.long_value)
 
 
+@query("top_names_bitmap", TOP_NAMES_SQL)
+def _(spark, sf):
+    return profile.top_names(view(spark, sf, "fx_lab"), R.long_name, KEY, R.long_value, how="bitmap")
+
+
 DESCRIBED = ["admissionweight", "admissionheight", "unitdischargeoffset"]
 
 

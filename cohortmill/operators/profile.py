@@ -351,8 +351,39 @@ def value_counts(df: DataFrame, column: str, top: int = 10) -> DataFrame:
             .orderBy(F.desc("n"), F.asc_nulls_first("value")).limit(top))
 
 
-def top_names(df: DataFrame, name: str, key: str, value: str, top: int = 20) -> DataFrame:
-    """Most frequent names: records, distinct entities, null results."""
+def distinct_entities(df: DataFrame, name: str, key: str, how: str = "bitmap", log2_registers: int = 12) -> DataFrame:
+    """(name, entity_count): distinct keys per name, without a shuffle of the keys.
+
+    ``bitmap`` is exact and needs whole numbers: keys set bits in pieces of
+    32,768 consecutive numbers, and pieces are joined by "or", so a shuffle moves
+    a piece per (name, range of keys) that occurs and task. ``sketch`` takes any
+    key: a mergeable sketch per name whose relative standard error is about
+    1.04 / sqrt(2 ** log2_registers), 1.6 % for 4,096 registers.
+    """
+    present = df.where(F.col(key).isNotNull())
+    if how == "sketch":
+        counted = present.groupBy(name).agg(F.hll_sketch_estimate(F.hll_sketch_agg(key, log2_registers)).alias("entity_count"))
+    elif how == "bitmap":
+        number = F.col(key).cast("bigint")
+        pieces = present.groupBy(name, F.bitmap_bucket_number(number).alias("piece")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+        counted = pieces.groupBy(name).agg(F.sum(F.bitmap_count("bits")).alias("entity_count"))
+    else:
+        raise ValueError(f"unknown way to count {how!r}")
+    return counted
+
+
+def top_names(df: DataFrame, name: str, key: str, value: str, top: int = 20, how: str = "keys") -> DataFrame:
+    """Most frequent names: records, distinct entities, null results.
+
+    ``how`` counts entities by their keys, or by ``bitmap`` or ``sketch`` (``distinct_entities``).
+    """
+    if how != "keys":
+        sizes = df.groupBy(name).agg(F.count(F.lit(1)).alias("record_count"), F.count_if(F.col(value).isNull()).alias("missing_results"))
+        most = sizes.orderBy(F.desc("record_count"), F.asc(name)).limit(top)
+        counted = same_keys(most, distinct_entities(df, name, key, how), [name], "left")
+        return counted.select(name, "record_count", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), "missing_results").orderBy(
+            F.desc("record_count"), F.asc(name))
     per_key = df.groupBy(name, key).agg(F.count(F.lit(1)).alias("n"),
                                         F.count_if(F.col(value).isNull()).alias("nulls"))
     return (per_key.groupBy(name).agg(F.sum("n").alias("record_count"), F.count(key).alias("entity_count"),

@@ -211,6 +211,22 @@ def test_folds_keep_groups_whole_and_balanced(spark):
         split.require_disjoint(placed.unionByName(placed.withColumn("split", F.lit("test"))), "g")
 
 
+def test_distinct_entities_by_bitmap_and_sketch(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("name"), F.when(F.col("id") % 5 > 0, (
+        F.col("id") * F.col("id")) % 40_009 - 20_000).alias("key"), F.lit(None).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(99, None, 1.0), (None, 5, None), (None, 5, 2.0), (3, -(2 ** 62), None)], df.schema))
+    want = {r["name"]: r["entity_count"] for r in df.groupBy("name").agg(F.count_distinct("key").alias("entity_count")).collect()}
+    exact = {r["name"]: r["entity_count"] for r in profile.top_names(df, "name", "key", "v", how="bitmap").collect()}
+    assert exact == want and exact[99] == 0 and exact[None] == 1
+    sketch = {r["name"]: r["entity_count"] for r in profile.top_names(df, "name", "key", "v", how="sketch").collect()}
+    # Four standard errors of the stated size.
+    assert all(abs(sketch[n] - c) <= 4 * 1.04 / 64 * c + 1 for n, c in want.items()) and sketch != want
+    plain = profile.top_names(df, "name", "key", "v").collect()
+    assert [tuple(r) for r in profile.top_names(df, "name", "key", "v", how="bitmap").collect()] == [tuple(r) for r in plain]
+    with pytest.raises(ValueError):
+        profile.distinct_entities(df, "name", "key", "guess")
+
+
 def test_packed_folds_even_out_rows_and_positives(spark):
     """Groups of very different sizes, one of them huge: sums of two folds differ by at most the largest group."""
     rows = [(g, int(i < g % 4)) for g in range(400) for i in range(1 + (g * g) % 23)]

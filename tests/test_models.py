@@ -353,11 +353,25 @@ def test_scores_after_reload_and_in_a_stream(spark, data, tmp_path):
     batch = score_new(raw, artifacts)
     assert {r["decision"] for r in batch.collect()} == {"ACCEPT", "ABSTAIN"}
 
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    raw.repartition(3).write.parquet(source)
-    stream = score_stream(spark, source, raw.schema, loaded, sink, str(tmp_path / "cp"))
-    stream.awaitTermination(120)
+    source, sink, counts = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "counts")
+    raw.where("k < 400").repartition(3).write.parquet(source)
+
+    def run():
+        assert score_stream(spark, source, raw.schema, loaded, sink, str(tmp_path / "cp"), counts=counts).awaitTermination(120)
+
+    run()
+    # The sink has the batch, but a crash kept it from being committed: it runs again.
+    for name in ("0", ".0.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert spark.read.parquet(sink).count() == 400
+    raw.where("k >= 400").write.mode("append").parquet(source)
+    run()
     streamed = spark.read.parquet(sink)
+    assert {r["batch"] for r in streamed.select("batch").distinct().collect()} == {0, 1}
+    held = {(r["batch"], r["decision"]): r["n"] for r in spark.read.parquet(counts).collect()}
+    assert held == {(r["batch"], r["decision"]): r["count"] for r in streamed.groupBy("batch", "decision").count().collect()}
+    streamed = streamed.drop("batch")
     join = batch.alias("a").join(streamed.alias("b"), "k").select(
         F.max(F.abs(F.col("a.p") - F.col("b.p"))), F.max(F.abs(F.col("a.boot_std") - F.col("b.boot_std"))),
         F.count(F.lit(1)), F.count_if(F.col("a.decision") == F.col("b.decision"))).first()
