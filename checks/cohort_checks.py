@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -11,7 +14,7 @@ from checks.views import view
 from cohortmill import presets
 from cohortmill.operators import clean, cohort, measures, profile, split
 from cohortmill.plans import steps
-from cohortmill.session import written
+from cohortmill.session import checkpoint_dir, written
 
 KEY = R.entity
 
@@ -186,6 +189,17 @@ def audit_bounds(table, bounds):
     return ", ".join(f"('{table}', '{b.name}', {b.low}::double, {b.high}::double)" for b in bounds)
 
 
+@query("cohort_invariants", """
+select 'labs' table_name, count(*) "rows", 0 before, 0 after from fx_lab
+where labresultoffset between 0 and 1440 and patientunitstayid in (select patientunitstayid from cohort)
+union all
+select 'vitals', count(*), 0, 0 from fx_vital
+where observationoffset between 0 and 1440 and patientunitstayid in (select patientunitstayid from cohort)""")
+def _(spark, sf):
+    path = posixpath.join(checkpoint_dir(spark), f"cohort-{uuid.uuid4().hex}")
+    return steps.write_cohort(tables(spark, sf), P, path)["invariants"]
+
+
 @query("cleaning_audit", f"""
 with m as (
   select 'lab' table_name, labname "name", labresult v from fx_lab semi join cohort using (patientunitstayid)

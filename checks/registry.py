@@ -75,6 +75,8 @@ def expand(sql: str) -> str:
     ctes = ",\n".join(f"{n} as (\n{STEPS[n]}\n)" for n in order)
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

@@ -7,8 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -201,24 +201,42 @@ class Platt:
         return sigmoid(F.lit(self.slope) * score + F.lit(self.intercept))
 
 
-def fit_platt(df: DataFrame, y: str, score: str) -> Platt:
+def fit_platt(df: DataFrame, y: str, score: str, most_steps: int = 100) -> Platt:
     """Sigmoid calibration with smoothed targets.
 
-    Equal scores are merged; each becomes one row per class, weighted by its
-    target, so an ordinary unregularised logistic regression fits it.
+    Equal scores are merged and written once; every Newton step is one
+    aggregation over them. A step that doesn't lower the loss is halved. Scores
+    are centred, and if they are all equal the slope is 0.
     """
     counts = score_counts(df, y, score)
-    totals = counts.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    high = (F.col("n_pos") + 1.0) / (F.col("n_pos") + 2.0)
-    low = 1.0 / (F.col("n_neg") + 2.0)
-    up = F.col("pos") * high + F.col("neg") * low
-    down = F.col("pos") * (1.0 - high) + F.col("neg") * (1.0 - low)
-    rows = counts.join(F.broadcast(totals)).select("score", F.inline(F.array(
-        F.struct(F.lit(1.0).alias(LABEL), up.alias(WEIGHT)), F.struct(F.lit(0.0).alias(LABEL), down.alias(WEIGHT)))))
-    data = VectorAssembler(inputCols=["score"], outputCol=FEATURES).transform(rows)
-    model = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, regParam=0.0,
-                               maxIter=500, tol=1e-12).fit(data)
-    return Platt(float(model.coefficients[0]), float(model.intercept))
+    n = F.col("pos") + F.col("neg")
+    row = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.sum(n * F.col("score")) / F.sum(n)).alias("mean"),
+                     F.count(F.lit(1)).alias("scores")).first()
+    if not row["scores"]:
+        return Platt(0.0, 0.0)
+    high, low = (row["pos"] + 1.0) / (row["pos"] + 2.0), 1.0 / (row["neg"] + 2.0)
+    s, up = F.col("score") - F.lit(float(row["mean"])), F.col("pos") * high + F.col("neg") * low
+    at, best, step = np.zeros(2), np.inf, np.zeros(2)
+    now = at.copy()
+    for _ in range(most_steps):
+        z = F.lit(float(now[0])) * s + F.lit(float(now[1]))
+        p = sigmoid(z)
+        softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        curve = n * p * (1.0 - p)
+        t = counts.agg(F.sum(n * softplus - up * z).alias("loss"), F.sum((n * p - up) * s).alias("ga"), F.sum(n * p - up).alias("gb"),
+                       F.sum(curve * s * s).alias("aa"), F.sum(curve * s).alias("ab"), F.sum(curve).alias("bb")).first()
+        if t["loss"] > best + 1e-12 * abs(best):
+            step /= 2.0
+        else:
+            at, best = now, t["loss"]
+            if row["scores"] == 1:
+                step = np.array([0.0, -t["gb"] / t["bb"]])
+            else:
+                step = -np.linalg.solve([[t["aa"], t["ab"]], [t["ab"], t["bb"]]], [t["ga"], t["gb"]])
+        now = at + step
+        if np.abs(step).max() <= 1e-12 * (1.0 + np.abs(at).max()):
+            break
+    return Platt(float(now[0]), float(now[1] - now[0] * row["mean"]))
 
 
 def apply_isotonic(model: Any, df: DataFrame, score: str, output: str) -> DataFrame:

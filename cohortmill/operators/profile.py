@@ -221,15 +221,22 @@ def long_missingness(df: DataFrame, name: str, value: str, names: list[str]) ->
         percent(F.count_if(F.col(value).isNull()), F.count(F.lit(1))).alias("missing_pct"))
 
 
-def plausibility_wide(df: DataFrame, bounds: tuple[Bound, ...]) -> DataFrame:
-    """Per signal: bounds, non-null, negative and out-of-bounds values; one pass."""
-    present = [b for b in bounds if b.name in df.columns]
+def plausibility_counts(df: DataFrame, bounds: tuple[Bound, ...]) -> list[Column]:
+    """Per signal of ``df`` the non-null, negative and out-of-bounds values, as aggregates."""
     parts = []
-    for b in present:
-        v = lenient_double(b.name)
-        parts += [F.count(v).alias(f"n_{b.name}"), F.count_if(v < 0).alias(f"neg_{b.name}"),
-                  F.count_if(outside(v, b.low, b.high)).alias(f"oob_{b.name}")]
-    return long_table(df.agg(*parts), [F.struct(
+    for b in bounds:
+        if b.name in df.columns:
+            v = lenient_double(b.name)
+            parts += [F.count(v).alias(f"n_{b.name}"), F.count_if(v < 0).alias(f"neg_{b.name}"),
+                      F.count_if(outside(v, b.low, b.high)).alias(f"oob_{b.name}")]
+    return parts
+
+
+def plausibility_wide(df: DataFrame, bounds: tuple[Bound, ...], counted: DataFrame | None = None) -> DataFrame:
+    """Per signal: bounds, non-null, negative and out-of-bounds values; one pass, or none with ``counted`` at hand."""
+    present = [b for b in bounds if b.name in df.columns]
+    counted = df.agg(*plausibility_counts(df, bounds)) if counted is None else counted
+    return long_table(counted, [F.struct(
         F.lit(b.name).alias("signal"), F.lit(float(b.low)).alias("low"), F.lit(float(b.high)).alias("high"),
         F.col(f"n_{b.name}").alias("total_non_null"), F.col(f"neg_{b.name}").alias("negative_count"),
         F.col(f"oob_{b.name}").alias("out_of_bounds"),
@@ -245,15 +252,17 @@ def plausibility_long(df: DataFrame, name: str, value: str, bounds: tuple[Bound,
         bad.alias("out_of_bounds"), percent(bad, F.count(F.lit(1))).alias("out_of_bounds_pct"))
 
 
-def cleaning_audit(labs: DataFrame, vitals: DataFrame, preset: Preset) -> DataFrame:
+def cleaning_audit(labs: DataFrame, vitals: DataFrame, preset: Preset, counted: DataFrame | None = None) -> DataFrame:
     """What masking nulls in measurements that are not masked yet: one row per bounded signal and measured name.
 
+    ``counted`` is one row of ``plausibility_counts``, if the signals have been counted already.
+
     ``nullified`` counts values outside the bounds, ``negative_nullified`` those of
     them below zero; ``source`` says where the bounds come from, if that is known.
     """
     known = {(t, b.name): b.source for t, bounds in (("lab", preset.long_bounds), ("vital", preset.wide_bounds))
              for b in bounds if b.source}
-    wide = plausibility_wide(vitals, preset.wide_bounds).withColumnRenamed("signal", "name")
+    wide = plausibility_wide(vitals, preset.wide_bounds, counted).withColumnRenamed("signal", "name")
     long = plausibility_long(labs, preset.roles.long_name, preset.roles.long_value, preset.long_bounds)
     both = wide.withColumn("table_name", F.lit("vital")).unionByName(
         long.withColumnRenamed(preset.roles.long_name, "name").withColumn("table_name", F.lit("lab")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cohortmill import presets
 from cohortmill.config import Preset
@@ -109,6 +109,48 @@ def build_cohort(tables: Tables, preset: Preset, strategy: str = "visit_number")
     }
 
 
+def write_cohort(tables: Tables, preset: Preset, path: str, strategy: str = "visit_number") -> dict[str, DataFrame]:
+    """Write the cohort and its cleaned measurements below ``path`` and report on them, reading each raw table once.
+
+    Rows, rows outside the window and what masking nulls are observed while the
+    tables are written. The audit of names, whose values stay beside the masked
+    ones, and the coverage read the written tables. Rows outside the window are
+    an error. Returns cohort, labs, vitals, cleaning_audit, coverage, invariants
+    (table_name, rows, before, after).
+    """
+    r, w = preset.roles, preset.window
+    spark = tables.patient.sparkSession
+    select_cohort(tables.patient, preset, strategy).write.mode("overwrite").parquet(f"{path}/cohort")
+    entities = spark.read.parquet(f"{path}/cohort")
+    labs, vitals = window_rows(tables, entities.select(r.entity), preset)
+    seen: dict[str, dict[str, int]] = {}
+
+    def write(name: str, rows: DataFrame, offset: str, mask: Callable[[DataFrame], DataFrame], metrics: list[Column]) -> DataFrame:
+        observed = Observation(name)
+        time = F.col(offset)
+        mask(rows.observe(observed, F.count(F.lit(1)).alias("rows"), F.count_if(time < w.start).alias("before"),
+                          F.count_if(time > w.end).alias("after"), *metrics)).write.mode("overwrite").parquet(f"{path}/{name}")
+        seen[name] = observed.get
+        if seen[name]["before"] or seen[name]["after"]:
+            raise ValueError(f"{name}: {seen[name]['before']} rows before and {seen[name]['after']} rows after the window")
+        return spark.read.parquet(f"{path}/{name}")
+
+    done_labs = write("labs", labs, r.long_offset,
+                      lambda df: clean.mask_long(df, r.long_name, r.long_value, preset.long_bounds), [])
+    done_vitals = write("vitals", vitals, r.wide_offset, lambda df: clean.mask_wide(df, preset.wide_bounds),
+                        profile.plausibility_counts(vitals, preset.wide_bounds))
+    counted = spark.createDataFrame([tuple(seen["vitals"].values())], ", ".join(f"`{k}` bigint" for k in seen["vitals"]))
+    size = entities.agg(F.count(F.lit(1)).alias("n"))
+    return {
+        "cohort": entities, "labs": done_labs, "vitals": done_vitals,
+        "cleaning_audit": profile.cleaning_audit(done_labs, vitals, preset, counted),
+        "coverage": cohort.coverage(done_labs, r.entity, size, "lab").unionByName(
+            cohort.coverage(done_vitals, r.entity, size, "vital")),
+        "invariants": spark.createDataFrame([(n, v["rows"], v["before"], v["after"]) for n, v in seen.items()],
+                                            "table_name string, rows bigint, before bigint, after bigint"),
+    }
+
+
 def build_features(tables: Tables, preset: Preset, strategy: str = "visit_number",
                    reduce_first: bool = False, check: bool = True) -> DataFrame:
     """One feature row per cohort entity.

@@ -127,6 +127,31 @@ def test_training_to_reliability(spark, inputs, features, tmp_path):
     assert 0 < artifacts.ensemble.size <= 4
 
 
+def test_written_cohort_reports_what_it_wrote(spark, inputs, tmp_path, monkeypatch):
+    """The observed reports equal those taken from the tables, and a raw table is read once."""
+    plain = steps.build_cohort(inputs, P)
+    scans = {"lab": spark.sparkContext.accumulator(0), "vital": spark.sparkContext.accumulator(0)}
+
+    def watched(df, name):
+        def count(batches):
+            for batch in batches:
+                scans[name].add(batch.num_rows)
+                yield batch
+        return df.mapInArrow(count, df.schema)
+
+    tables = steps.Tables(inputs.patient, watched(inputs.lab, "lab"), watched(inputs.vital, "vital"))
+    out = steps.write_cohort(tables, P, str(tmp_path / "cohort"))
+    assert scans["lab"].value == inputs.lab.count() and scans["vital"].value == inputs.vital.count()
+    for name in ("cleaning_audit", "coverage", "labs", "vitals", "cohort"):
+        got, want = out[name].select(*plain[name].columns), plain[name]
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    held = {r["table_name"]: r for r in out["invariants"].collect()}
+    assert held["labs"]["rows"] == out["labs"].count() and held["vitals"]["before"] == held["vitals"]["after"] == 0
+    monkeypatch.setattr(steps, "window_rows", lambda t, keys, preset: (t.lab, t.vital))
+    with pytest.raises(ValueError):
+        steps.write_cohort(inputs, P, str(tmp_path / "unwindowed"))
+
+
 def test_dashboard(inputs, features):
     flags = profile.quality_flags(P, inputs.patient, inputs.lab, inputs.vital)
     out = steps.dashboard_tables(features, flags, P)
