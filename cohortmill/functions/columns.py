@@ -90,14 +90,6 @@ def band(column: Column, low: Column | float, high: Column | float,
     return F.when(column <= low, labels[0]).when(column >= high, labels[2]).otherwise(labels[1])
 
 
-def step_band(column: Column, cuts: list[tuple[float, str]], otherwise: str) -> Column:
-    """First label whose cut the value strictly exceeds; cuts in falling order."""
-    out = None
-    for cut, label in cuts:
-        out = F.when(column > cut, label) if out is None else out.when(column > cut, label)
-    return F.lit(otherwise) if out is None else out.otherwise(otherwise)
-
-
 def contains_any(column: Column, keywords: Iterable[str]) -> Column:
     """Lower-cased text holds one of the keywords; false for null."""
     tests = [F.contains(F.lower(column.cast("string")), F.lit(word)) for word in keywords]
