@@ -217,7 +217,7 @@ def quantile_bins(df: DataFrame, y: str, p: str, by: list[str] | None = None, n_
     edges left the bins are uniform.
     """
     by = by or []
-    quantiles = exact_quantiles(df, p, [i / n_bins for i in range(1, n_bins)], by, narrow=True)
+    quantiles = exact_quantiles(df, p, [i / n_bins for i in range(1, n_bins)], by)
     found = F.array_sort(F.array_distinct(F.array(
         F.lit(0.0), *[F.col(f"q{i}") for i in range(n_bins - 1)], F.lit(1.0))))
     uniform = F.array(*[F.lit(e) for e in uniform_edges(n_bins)])

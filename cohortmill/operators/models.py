@@ -23,7 +23,7 @@ from cohortmill.operators.curves import (
 from cohortmill.operators.isotonic import fit_isotonic  # noqa: F401
 from cohortmill.operators.running import running_totals, same_keys
 from cohortmill.operators.split import class_weights
-from cohortmill.session import checkpoint_dir, materialize
+from cohortmill.session import checkpoint_dir, materialize, written
 
 LABEL, WEIGHT, FEATURES = "label", "weight", "features"
 
@@ -208,7 +208,7 @@ def fit_platt(df: DataFrame, y: str, score: str, most_steps: int = 100) -> Platt
     aggregation over them. A step that doesn't lower the loss is halved. Scores
     are centred, and if they are all equal the slope is 0.
     """
-    counts = score_counts(df, y, score)
+    counts = written(score_counts(df, y, score))
     n = F.col("pos") + F.col("neg")
     row = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.sum(n * F.col("score")) / F.sum(n)).alias("mean"),
                      F.count(F.lit(1)).alias("scores")).first()

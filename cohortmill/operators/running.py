@@ -215,8 +215,7 @@ def wide_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]
     sizes = df.sparkSession.createDataFrame(
         [(c, row[f"n{j}"], *[row[f"s{j}_{i}"] for i in wanted]) for j, c in enumerate(edges)],
         "feature string, n bigint, " + ", ".join(f"__skip{i} bigint" for i in wanted))
-    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("feature"), F.when(inside(c), cast[c]).alias("v")) for c in edges]),
-                     lambda cell: cell["v"].isNotNull())
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(inside(c), cast[c]).alias("v")) for c in edges])
     counts = value_counts_table(df.select(F.inline(cells)), ["feature"], "v")
     return quantiles_of_counts(counts, sizes, probabilities, ["feature"])
 
