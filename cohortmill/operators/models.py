@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -135,6 +136,9 @@ def quiet(model: Any, probability_column: str) -> Any:
     copy.setProbabilityCol(probability_column)
     copy.setRawPredictionCol("")
     copy.setPredictionCol("")
+    if getattr(copy, "hasSummary", False):
+        # A training summary holds the session, which cannot travel to tasks once it has observed a query.
+        copy._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
     return copy
 
 

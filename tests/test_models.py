@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from cohortmill import presets
 from cohortmill.operators import attribution, bootstrap, isotonic, models, reliability, split, trees
@@ -127,6 +127,15 @@ def test_grids_records_and_choice(data):
     assert rows[best["logistic"].name]["val_pr_auc"] == max(rows[n]["val_pr_auc"] for n in ("logistic_0", "logistic_1"))
 
 
+def test_models_score_in_a_session_that_has_observed(spark, data):
+    vec = data[0]
+    seen = Observation("rows")
+    vec.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    fitted = models.fit_logistic_grid(vec, "y", (0.1,))[0]
+    assert models.probability(fitted, vec).where("p between 0 and 1").count() == seen.get["n"]
+    assert fitted.model.hasSummary
+
+
 def test_published_scorecard_parts(spark):
     # best calibrated variants of a published comparison: discrimination and calibration columns
     data = [("logistic", "sigmoid_platt", .8499, .4797, .0547, .0266), ("forest", "isotonic", .7787, .2284, .0650, .0412),
