@@ -279,3 +279,10 @@ def test_large_cohort_keeps_raw_rows_unshuffled(spark, inputs):
     plan = physical(steps.build_features(inputs, P, reduce_first=True)).split("Initial Plan")[-1]
     assert "partial_stddev_samp" in plan or "partial_avg" in plan
     assert "LeftSemi" not in plan
+
+
+def test_shuffles_have_enough_partitions_to_stay_small(spark):
+    # The session asks for four; adaptive execution merges what is small.
+    wide = spark.range(6_000_000).select(F.xxhash64("id").alias("v")).repartition("v")
+    assert wide.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert spark.range(100).repartition("id").select(F.spark_partition_id().alias("p")).distinct().count() == 1
