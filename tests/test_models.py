@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Observation, functions as F
 
 from cohortmill import presets
+from cohortmill.functions.columns import poisson_one, poisson_one_cdf, unit_hash
 from cohortmill.operators import attribution, bootstrap, isotonic, models, reliability, split, trees
 from cohortmill.streaming.score import Artifacts, score_new, score_stream
 
@@ -163,6 +164,26 @@ def test_resample_counts_are_poisson_and_stable(spark):
     assert w.exceptAll(again).count() == 0
 
 
+def test_counts_are_the_same_without_the_number(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    edges = poisson_one_cdf()
+    unit = unit_hash(F.concat((F.lit(42) + F.col("resample")).cast("string"), F.lit(":"), F.col("k").cast("string")))
+    want = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("u")))
+    got = bootstrap.resample_weights(df, "k", 3).withColumn("u", unit)
+    assert got.where(F.col("copies") != want).count() == 0
+    assert "conv(" not in bootstrap.resample_weights(df, "k", 3)._jdf.queryExecution().toString()
+    # The ends of the scale, and both sides of every edge.
+    near = sorted({v for e in edges for v in (math.ceil(e * 2 ** 32) - 1, math.ceil(e * 2 ** 32)) if v < 2 ** 32} | {0, 2 ** 32 - 1})
+    ends = spark.createDataFrame([(f"{v:08x}", sum(e <= v / 2 ** 32 for e in edges)) for v in near], "d string, want int")
+    assert ends.where(poisson_one(F.col("d")) != F.col("want")).count() == 0
+
+
+def test_resampling_spreads_rows_that_come_in_one_piece(spark):
+    df = spark.range(0, 2_000_000, 1, 1).select((F.col("id") * 7919).alias("k"))
+    w = bootstrap.resample_weights(df, "k", 1).groupBy(F.spark_partition_id()).agg(F.sum("copies")).collect()
+    assert len(w) > 1
+
+
 def test_ensemble_spread_matches_refits(data):
     vec, x, y, _ = data
     small = vec.where("k < 200")
