@@ -416,3 +416,13 @@ def test_fits_do_not_depend_on_how_rows_arrive(spark, data):
     for fit, settings in ((models.fit_forest_grid, grid), (models.fit_boosted_grid, boosted)):
         one, seven = (fit(rows.repartition(n), "y", settings)[0].model.toDebugString.split("\n", 1)[1] for n in (1, 7))
         assert one == seven
+
+
+def test_training_partitions_follow_the_rows(spark, data, monkeypatch):
+    vec = data[0]
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts(models.training_rows(vec)) == 4
+    monkeypatch.setattr(models, "ROWS_PER_PARTITION", 50)
+    laid = models.training_rows(vec)
+    assert 4 < parts(laid) <= 12
+    assert laid.exceptAll(vec).count() == 0 and laid.count() == 600
