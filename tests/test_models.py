@@ -217,6 +217,27 @@ def test_resamples_share_their_scans(data, monkeypatch):
     assert np.allclose(together.coefficients, apart.coefficients, atol=1e-8)
 
 
+@pytest.mark.parametrize("slow_after, slow_ratio", [(10, 0.3), (1, 0.0)])
+def test_many_rows_share_a_hessian(data, monkeypatch, slow_after, slow_ratio):
+    """One Hessian a scan for all resamples, the same models; slow ones go back to their own."""
+    vec, _, _, _ = data
+    apart = bootstrap.fit_ensemble(vec, "k", "y", resamples=12)
+    held, once = [], bootstrap.newton_terms
+
+    def counted(*a):
+        found = once(*a)
+        held.append(sum(len(t) > 1 + 5 for r, t in found.items() if r >= 0) + (-1 in found))
+        return found
+
+    monkeypatch.setattr(bootstrap, "newton_terms", counted)
+    for name, value in (("SHARED_FROM", 1), ("SLOW_AFTER", slow_after), ("SLOW_RATIO", slow_ratio)):
+        monkeypatch.setattr(bootstrap, name, value)
+    together = bootstrap.fit_ensemble(vec, "k", "y", resamples=12)
+    assert held[:slow_after] == [1] * slow_after and (slow_ratio > 0 or 12 in held)
+    assert np.allclose(together.coefficients, apart.coefficients, atol=1e-8)
+    assert np.allclose(together.intercepts, apart.intercepts, atol=1e-8)
+
+
 def test_newton_steps_are_halved_when_they_overshoot(spark):
     rows = [(i, int(i % 2), 40.0 * (i % 2) + (i % 7) * 3.0, float(i % 3) * 25.0) for i in range(90)]
     vec = spark.createDataFrame(rows, "k long, y int, a double, b double").select(
@@ -333,6 +354,15 @@ def test_a_deep_forest_is_explained_in_blocks(spark, data, tmp_path, monkeypatch
         assert r["base_value"] + sum(r["shap_values"]) == pytest.approx(r["p"], abs=1e-9)
 
 
+def test_one_block_of_leaves_moves_no_rows(spark, data, tmp_path):
+    vec, _, _, _ = data
+    fitted = models.fit_forest_grid(vec, "y", ({"trees": 3, "depth": 3, "min_split": 5},))[0]
+    fitted.model.write().overwrite().save(str(tmp_path / "small"))
+    rows = trees.tree_shap_rows(vec, "k", trees.read_leaves(spark, str(tmp_path / "small"), "forest"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and rows.count() == 600
+
+
 def test_blocks_of_leaves_give_what_one_block_gives(spark, data, tmp_path, monkeypatch):
     vec, _, _, _ = data
     fitted = models.fit_forest_grid(vec, "y", ({"trees": 6, "depth": 5, "min_split": 5},))[0]
