@@ -157,6 +157,10 @@ def quantiles_of_counts(counts: DataFrame, sizes: DataFrame, probabilities: list
     return ranked.groupBy(*by, "n").agg(*picks).select(*by, "n", *outs)
 
 
+#: Values per unit of accuracy below which brackets are not trusted.
+WHOLE = 3
+
+
 def near_ranks(df: DataFrame, value: str, probabilities: list[float], by: list[str],
                accuracy: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Rows whose value can hold a wanted rank, and per group n and the skipped counts.
@@ -164,20 +168,22 @@ def near_ranks(df: DataFrame, value: str, probabilities: list[float], by: list[s
     An approximate quantile is off by at most n / accuracy ranks, so the values
     between the approximate quantiles two such steps below and above enclose
     the wanted ranks. ``__skip{i}`` is what must be added to a rank among the
-    kept rows to get the rank among all rows, valid inside bracket i.
+    kept rows to get the rank among all rows, valid inside bracket i. In groups
+    of fewer than ``WHOLE`` times accuracy values, where a step is less than a
+    few ranks and a bracket may end before the rank above, all rows are kept.
     """
     v = F.col(value).cast("double")
     margin = 2.0 / accuracy
     edges = [e for q in probabilities for e in (max(0.0, q - margin), min(1.0, q + margin))]
-    sketch = df.groupBy(*by).agg(F.percentile_approx(v, edges, accuracy).alias("__e"))
+    sketch = df.groupBy(*by).agg(F.percentile_approx(v, edges, accuracy).alias("__e"), F.count(v).alias("__m"))
     marked = attach(df.select(*by, v.alias(value)), sketch, by)
     pairs = range(len(probabilities))
     low = [F.element_at("__e", 2 * i + 1) for i in pairs]
     high = [F.element_at("__e", 2 * i + 2) for i in pairs]
-    kept = None
+    kept = F.col("__m") < WHOLE * accuracy
     for i in pairs:
-        inside = F.col(value).between(low[i], high[i])
-        kept = inside if kept is None else kept | inside
+        kept = kept | F.col(value).between(low[i], high[i])
+    kept = F.col(value).isNotNull() & kept
     sizes = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         (F.count_if(F.col(value) < low[i]) - F.count_if((F.col(value) < low[i]) & kept)).alias(f"__skip{i}") for i in pairs])
     return marked.where(kept).select(*by, value), sizes
@@ -198,13 +204,15 @@ def wide_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]
     cast = {c: F.expr(f"cast(`{c}` as double)") for c in columns}
     margin = 2.0 / accuracy
     ends = [e for q in probabilities for e in (max(0.0, q - margin), min(1.0, q + margin))]
-    found = df.agg(*[F.percentile_approx(v, ends, accuracy).alias(f"e{i}") for i, v in enumerate(cast.values())]).first()
+    found = df.agg(*[f for i, v in enumerate(cast.values()) for f in (
+        F.percentile_approx(v, ends, accuracy).alias(f"e{i}"), F.count(v).alias(f"m{i}"))]).first()
+    whole = {c for i, c in enumerate(columns) if found[f"m{i}"] < WHOLE * accuracy}
     edges = {c: found[f"e{i}"] for i, c in enumerate(columns) if found[f"e{i}"] is not None}
     if not edges:
         return df.sparkSession.createDataFrame([], empty)
 
     def inside(c: str) -> Column:
-        kept = F.lit(False)
+        kept = F.lit(c in whole)
         for i in wanted:
             kept = kept | cast[c].between(F.lit(edges[c][2 * i]), F.lit(edges[c][2 * i + 1]))
         return kept

@@ -230,3 +230,15 @@ def test_quality_score_defaults(spark):
 def test_average_precision_of_huge_counts(spark):
     ranked = spark.createDataFrame([(0.5, 4_000_000_000, 5, 4_000_000_000, 5)], "score double, pos bigint, neg bigint, tp bigint, fp bigint")
     assert ranked.agg(curves.average_precision_column()).first()[0] == pytest.approx(1.0)
+
+
+def test_narrowed_quantiles_of_few_values(spark):
+    """A bracket that ends at the rank below would take the rank above from the next bracket."""
+    sizes, shares = range(1000, 1600, 40), [0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]
+    rows = spark.range(1600).crossJoin(spark.createDataFrame([(n,) for n in sizes], "g int")).where("id < g").select(
+        "g", (F.col("id") * 1.0).alias("v"))
+    for r in running.exact_quantiles(rows, "v", shares, ["g"], narrow=True).collect():
+        assert [r[f"q{i}"] for i in range(7)] == pytest.approx(list(np.quantile(np.arange(r["g"]), shares)), abs=1e-9)
+    for n in (1000, 1307):
+        r = running.wide_quantiles(rows.where(f"g = 1560 and id < {n}"), ["v"], shares).first()
+        assert [r[f"q{i}"] for i in range(7)] == pytest.approx(list(np.quantile(np.arange(n), shares)), abs=1e-9)
