@@ -153,6 +153,16 @@ def test_orphans_and_hot_keys(spark):
     assert (c["parents"], c["covered"]) == (3, 2)
 
 
+def test_identifier_validation_counts_orphans(spark, patients):
+    lab = spark.createDataFrame([(1, "Hgb", 5), (1, "Hgb", 5), (1, "Hct", 5), (99, "Hgb", 5), (99, "Hgb", 6), (None, "Hgb", 7)],
+                                "patientunitstayid long, labname string, labresultoffset long")
+    vital = spark.createDataFrame([(1, 5), (77, 5), (77, 5)], "patientunitstayid long, observationoffset long")
+    got = {r["table_name"]: r for r in profile.identifier_validation(P, patients, lab, vital).collect()}
+    columns = ("rows", "null_keys", "orphan_rows", "repeated_rows")
+    assert {t: tuple(r[c] for c in columns) for t, r in got.items()} == {
+        "patient": (8, 0, 0, 0), "lab": (6, 1, 3, 2), "vital": (3, 0, 2, 2)}
+
+
 def test_restriction_is_the_same_broadcast_or_not(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 10)
     ids = spark.range(3).withColumnRenamed("id", "k")
