@@ -10,7 +10,7 @@ from pyspark.sql import Observation, functions as F
 
 from cohortmill import presets
 from cohortmill.functions.columns import poisson_one, poisson_one_cdf, unit_hash
-from cohortmill.operators import attribution, bootstrap, isotonic, models, reliability, split, trees
+from cohortmill.operators import attribution, bootstrap, isotonic, logistic, models, reliability, split, trees
 from cohortmill.streaming.score import Artifacts, score_new, score_stream
 
 
@@ -52,6 +52,21 @@ def test_logistic_matches_penalised_newton(data):
     assert fitted.model.intercept == pytest.approx(want[-1], abs=1e-4)
 
 
+def test_a_logistic_grid_shares_few_scans_and_ends_at_its_minima(spark, data, monkeypatch):
+    vec, x, y, _ = data
+    weights = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    monkeypatch.setattr(logistic, "ROWS_PER_BLOCK", 64)
+    scans, count = [], logistic.terms
+    monkeypatch.setattr(logistic, "terms", lambda table, tasks, betas: scans.append(len(betas)) or count(table, tasks, betas))
+    grid = (0.001, 0.1, 10.0)
+    fits = models.fit_logistic_grid(vec, "y", grid)
+    assert scans[0] == 3 and len(scans) < 15
+    for c, f in zip(grid, fits):
+        want = newton_logistic(x, y, weights, c)
+        assert np.allclose([*f.model.coefficients.toArray(), f.model.intercept], want, rtol=1e-9, atol=1e-9)
+        assert f.model.summary.totalIterations <= len(scans) and f.model.summary.areaUnderROC > 0.6
+
+
 def test_platt_matches_newton_on_smoothed_targets(spark):
     rng = np.random.default_rng(5)
     score = rng.integers(0, 30, 300) / 30.0
