@@ -10,7 +10,7 @@ from pyspark.sql import Observation, functions as F
 
 from cohortmill import presets
 from cohortmill.functions.columns import poisson_one, poisson_one_cdf, unit_hash
-from cohortmill.operators import attribution, bootstrap, isotonic, logistic, models, reliability, split, trees
+from cohortmill.operators import attribution, bootstrap, forest, isotonic, logistic, models, reliability, split, trees
 from cohortmill.streaming.score import Artifacts, score_new, score_stream
 
 
@@ -410,6 +410,56 @@ def test_case_studies_leave_empty_quadrants_out(spark):
     assert got == {"TP": 2, "TN": 4}
 
 
+def test_attributions_by_pattern_are_those_by_row(monkeypatch):
+    rng = np.random.default_rng(3)
+    leaves = []
+    for m in (0, 1, 3, 9, 16, 33):
+        low = np.where(rng.random(m) < 0.3, -np.inf, rng.normal(size=m) - 0.8)
+        high = np.where(np.isinf(low) | (rng.random(m) < 0.5), low.clip(-1) + 1.0, np.inf)
+        leaves.append(trees.Leaf(rng.permutation(40)[:m], low, high, rng.uniform(0.1, 0.9, m), float(rng.normal())))
+    x = rng.normal(size=(1500, 40))
+    calls, by_pattern = [], trees._by_pattern
+    monkeypatch.setattr(trees, "_by_pattern", lambda *a: calls.append(len(a[0])) or by_pattern(*a))
+    got = trees.shap_matrix(x, leaves)
+    assert calls == [1500]
+    want = np.vstack([trees.shap_matrix(x[i:i + 500], leaves) for i in range(0, 1500, 500)])
+    assert len(calls) == 1 and np.allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_a_forest_is_the_same_in_place_and_by_shared_counts(spark, data, monkeypatch):
+    vec = data[0]
+    grid = ({"trees": 3, "depth": 3, "min_split": 5}, {"trees": 5, "depth": None, "min_split": 5}, {"trees": 2, "depth": 4, "min_split": 10})
+    text = lambda fits: [f.model.toDebugString.split("\n", 1)[1] for f in fits]
+    monkeypatch.setattr(forest, "ROWS_PER_BLOCK", 37)
+    alone = [text(models.fit_forest_grid(vec, "y", (g,)))[0] for g in grid[:2]]
+    together = models.fit_forest_grid(vec, "y", grid)
+    assert text(together)[:2] == alone and [f.model.getNumTrees for f in together] == [3, 5, 2]
+    passes, split = [], forest.split_frontiers
+    monkeypatch.setattr(forest, "split_frontiers", lambda *a: passes.append(1) or split(*a))
+    monkeypatch.setattr(forest, "GROUP_BYTES", 10 * 150)
+    monkeypatch.setattr(forest, "SHIP_LEVEL", 2)
+    monkeypatch.setattr(forest, "SHIP_BYTES", 10 * 900)
+    assert text(models.fit_forest_grid(vec, "y", grid)) == text(together) and len(passes) > 1
+
+
+def test_a_forest_splits_as_gini_asks(spark):
+    """Without drawn columns and rows, the root is the best of all splits, and leaves hold weighted shares."""
+    rng = np.random.default_rng(5)
+    bins, y = rng.integers(0, 6, (400, 3)).astype(np.uint8), (rng.random(400) < 0.4).astype(np.uint8)
+    y[bins[:, 1] > 3] = 1
+    rule = forest.Rule(1, (0.8, 1.4), 3, 3)
+    path, sums, feature, at = forest.in_place(bins, y, np.ones(400, np.uint8), np.array([1]), np.zeros(400, int), forest.Growth(0, 5, 3), rule)
+
+    def purity(rows):
+        a, b = 0.8 * (rows == 0).sum(), 1.4 * (rows == 1).sum()
+        return (a * a + b * b) / max(a + b, 1e-300)
+
+    best = max(((purity(y[bins[:, f] <= b]) + purity(y[bins[:, f] > b]), -f, -b) for f in range(3) for b in range(5)))
+    assert (feature[0], at[0]) == (-best[1], -best[2]) and tuple(sums[0]) == ((y == 0).sum(), (y == 1).sum())
+    leaf = (feature < 0)
+    assert sums[leaf].sum() == 400 and (sums[leaf].sum(axis=1) >= 5).all() and path.max() < 16
+
+
 # --- persistence and streaming --------------------------------------------------------------------
 
 def test_scores_after_reload_and_in_a_stream(spark, data, tmp_path):
